@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from starcell.functions import arguments, timeparts
 from starcell.functions.labels import TENURE_BANDS
 from starcell.plans import measures
-from starcell.plans.marts import KPIS, customer_block, kpi_means
+from starcell.plans.marts import EXACT_DIGITS, KPIS, customer_block, kpi_means
 from starcell.plans.measures import Measure
 from starcell.plans.star import Attribute, Condition, Star
 
@@ -46,7 +46,7 @@ def slice_conditions(star: Star, dimension: str, value) -> list[Condition]:
 @dataclass(frozen=True)
 class CustomerCube:
     star: Star
-    charge_digits: tuple[int | None, int | None] = (2, 2)
+    charge_digits: tuple[int | None, int | None] = (EXACT_DIGITS, EXACT_DIGITS)
     bands: Sequence = field(default=TENURE_BANDS)
 
     def _block(self, count: str, churned: str, retained: str | None, total: bool = True):
@@ -92,7 +92,7 @@ class CustomerCube:
 class NetworkCube:
     star: Star
     digits: Mapping[str, int | None] = field(
-        default_factory=lambda: {k: d for k, (d, _) in KPIS.items()})
+        default_factory=lambda: dict.fromkeys(KPIS, EXACT_DIGITS))
     # Foreign keys counted by the summary: output name -> fact column.
     counted: Mapping[str, str] = field(default_factory=lambda: {
         "number_of_cells": "cell_key",

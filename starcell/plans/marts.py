@@ -53,6 +53,10 @@ PLAN_COLUMNS = {
 # Plan attributes whose filter values are checked; others just match no row.
 CHECKED_NAMES = ("contract", "internet_service", "payment_method")
 
+# Decimals kept by exact sums unless a mart says otherwise: enough for any source
+# that writes up to six.
+EXACT_DIGITS = 6
+
 # The seven KPIs: decimals in storage, decimals in a per-cell summary's average.
 KPIS = {
     "latency_ms": (2, 2),
@@ -101,7 +105,7 @@ def time_attributes(ts: Column, home: str | None) -> dict[str, Attribute]:
 
 
 def customer_block(count: str, churned: str, retained: str | None,
-                   digits: tuple[int | None, int | None] = (2, 2),
+                   digits: tuple[int | None, int | None] = (EXACT_DIGITS, EXACT_DIGITS),
                    flag: str = "churn_flag", monthly: str = "monthly_charges",
                    total: str | None = "total_charges") -> list[Measure]:
     """Counts, churn rate and average charges under the given output names."""
