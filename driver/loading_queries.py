@@ -12,6 +12,7 @@ from starcell.functions.numeric import exact_mean, exact_sum, from_units
 from starcell.functions.timeparts import calendar_parts, stamp_text
 from starcell.operators import loading, quality
 from starcell.plans.marts import KPIS, PLAN_COLUMNS
+from starcell.plans.ordering import number_in_order
 from starcell.session import fresh_path
 from starcell.sources import files
 from starcell.sources.warehouse import Warehouse
@@ -70,8 +71,8 @@ def plan_dimension(s, d):
 def customer_dimension(s, d):
     """Numbered by sorted parts, as a large dimension is."""
     who = ["customerID", "gender", "SeniorCitizen", "Partner", "Dependents", "tenure"]
-    return loading.number_in_order(staged_customer(s, d).select(*who), ["customerID"],
-                                   "customer_key", max_rows=0)
+    return number_in_order(staged_customer(s, d).select(*who), ["customerID"], "customer_key",
+                           max_rows=0)
 
 
 def simple_dimensions(s, d):

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starcell.functions.labels import band_label
 from starcell.functions.timeparts import calendar_parts
 from starcell.operators import quality
 from starcell.plans.marts import KPIS, PLAN_COLUMNS
+from starcell.plans.ordering import number_in_order
 from starcell.plans.sizing import BROADCAST_ROWS, broadcast_if_small
 from starcell.session import write_and_read
 from starcell.sources.warehouse import Warehouse
@@ -68,29 +69,6 @@ def stage_network(raw: DataFrame, strict: bool = True) -> DataFrame:
     return rows.withColumns(calendar_parts("timestamp"))
 
 
-def number_in_order(rows: DataFrame, order: Sequence[str], name: str,
-                    max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Consecutive numbers from 1 in the given order.
-
-    A counted small table is numbered by one window. A larger one is range-sorted
-    and stored; each part's numbers then start after the rows of the parts before
-    it, so that only the part sizes pass through one task.
-    """
-    if rows.count() <= max_rows:
-        return rows.select(F.row_number().over(Window.orderBy(*order)).cast("bigint").alias(name), "*")
-    # The generated id holds the part in its upper bits and the place within it below.
-    placed = rows.orderBy(*order).withColumn("__id", F.monotonically_increasing_id())
-    placed = write_and_read(placed, "numbered")
-    part = F.shiftright("__id", 33)
-    sizes = placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    placed = placed.withColumn("__part", part).join(F.broadcast(starts), "__part")
-    number = F.col("__start") + F.col("__id").bitwiseAND(F.lit(2**33 - 1)) + 1
-    return placed.select(number.cast("bigint").alias(name),
-                         *[c for c in rows.columns])
-
-
 def build_dimension(staged: DataFrame, columns: Sequence[str | Column], natural: Sequence[str],
                     key: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Distinct members with a surrogate key in natural-key order."""
