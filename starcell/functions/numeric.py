@@ -21,6 +21,17 @@ def round_half_up(value, places: int) -> Column:
     return F.signum(value) * F.floor(F.abs(value) * power + 0.5) / power + F.lit(0.0)
 
 
+def fixed_text(value, places: int) -> Column:
+    """Text with exactly `places` decimals, made from whole numbers."""
+    value = as_column(value)
+    units = F.floor(F.abs(value) * float(10**places) + 0.5)
+    sign = F.when((value < 0) & (units > 0), "-").otherwise("")
+    if places == 0:
+        return F.concat(sign, units.cast("string"))
+    whole = F.floor(units / 10**places).cast("string")
+    return F.concat(sign, whole, F.lit("."), F.lpad((units % 10**places).cast("string"), places, "0"))
+
+
 def clamp(value, low: float, high: float) -> Column:
     """Limit to [low, high]; NULL stays NULL (greatest/least alone would skip it)."""
     value = as_column(value)
@@ -33,14 +44,32 @@ def fixed_point(value, digits: int) -> Column:
     return F.rint(as_column(value) * float(10**digits)).cast("bigint")
 
 
-def exact_sum(value, digits: int | None) -> Column:
-    """Sum that does not depend on row order when the decimals are known.
+# Exact sums split a unit count into two whole numbers at this bit.
+SPLIT_BITS = 20
+
+
+def sum_parts(value, digits: int) -> tuple[Column, Column]:
+    """Sums of the upper and the lower bits of the unit counts.
 
-    Units are added as decimal(38,0), so a fact of any size cannot overflow.
+    Both stay plain bigint sums, which are fast, and together they hold totals far
+    beyond bigint: the lower part alone would need 8e12 rows to overflow.
     """
+    units = fixed_point(value, digits)
+    low = units.bitwiseAND(F.lit(2**SPLIT_BITS - 1))
+    return F.sum(F.shiftright(units, SPLIT_BITS)), F.sum(low)
+
+
+def join_parts(high, low) -> Column:
+    """The total of `sum_parts` as decimal(38,0)."""
+    high, low = (as_column(c).cast("decimal(38,0)") for c in (high, low))
+    return (high * F.lit(2**SPLIT_BITS) + low).cast("decimal(38,0)")
+
+
+def exact_sum(value, digits: int | None) -> Column:
+    """Sum that does not depend on row order when the decimals are known."""
     if digits is None:
         return F.sum(as_column(value).cast("double"))
-    return F.sum(fixed_point(value, digits).cast("decimal(19,0)"))
+    return join_parts(*sum_parts(value, digits))
 
 
 def from_units(total, digits: int | None) -> Column:

@@ -40,7 +40,7 @@ DICE_NAMES = ("region", "technology", "cell_id")
 
 def slice_conditions(star: Star, dimension: str, value) -> list[Condition]:
     name = arguments.pick(dimension, star.names(), "dimension")
-    return [star.condition(name, value)]
+    return star.conditions(name, value)
 
 
 @dataclass(frozen=True)
@@ -69,7 +69,7 @@ class CustomerCube:
 
     def drilldown(self, tenure_band: str = "0-12 months", into: str = "contract") -> DataFrame:
         name = arguments.pick(into, self.star.names(), "drill-down level")
-        where = [self.star.condition("tenure_band", tenure_band)]
+        where = self.star.conditions("tenure_band", tenure_band)
         block = self._block("customer_count", "churned_customers", None, total=False)
         return self.star.aggregate(block, [name], where).orderBy(
             F.col("customer_count").desc(), name)
@@ -145,10 +145,10 @@ class NetworkCube:
 
     def drilldown(self, region: str, cell_id: str | None = None) -> DataFrame:
         """Cells of a region, or the time series of one of its cells."""
-        where = [self.star.condition("region", region)]
+        where = self.star.conditions("region", region)
         by = ["region", "cell_id", "technology"]
         if cell_id is not None and str(cell_id).strip():
-            where.append(self.star.condition("cell_id", cell_id))
+            where += self.star.conditions("cell_id", cell_id)
             rows = self.star.aggregate(self._means(), [*by, "timestamp"], where)
             rows = rows.orderBy("timestamp", "technology")
             return rows.select(*by, timeparts.stamp_text("timestamp").alias("time_grouping"),
@@ -186,7 +186,7 @@ class NetworkCube:
             tidy = arguments.pick(
                 name, [*DICE_NAMES, *THRESHOLDS, "start_time", "end_time"], "dice filter")
             if tidy in DICE_NAMES:
-                where.append(self.star.condition(tidy, value))
+                where += self.star.conditions(tidy, value)
             elif tidy in THRESHOLDS:
                 kpi, sign = THRESHOLDS[tidy]
                 if kpi == "active_connections":
@@ -195,10 +195,7 @@ class NetworkCube:
                     bound = arguments.number(value, tidy)
                 where.append(Condition(COMPARE[sign](F.col(kpi), bound)))
             else:
-                ts = self.star.attributes["timestamp"]
-                edge = F.lit(arguments.text(value)).cast("timestamp_ntz")
-                test = ts.column >= edge if tidy == "start_time" else ts.column <= edge
-                where.append(Condition(test, ts.home))
+                where += self.star.time_conditions(**{tidy.removesuffix("_time"): value})
         return where
 
     def dice(self, filters: Mapping | None = None, **named) -> DataFrame:

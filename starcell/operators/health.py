@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from starcell.functions import arguments
 from starcell.functions.labels import health_band
-from starcell.functions.numeric import as_column, clamp, round_half_up
+from starcell.functions.numeric import as_column, clamp, fixed_text, round_half_up
 from starcell.operators.telemetry import storage_rounding
 from starcell.plans.marts import KPIS
 
@@ -162,7 +162,6 @@ def _alert(kind: str, value: Column, limit: float) -> Column:
         past, critical = value > limit, value >= limit * CRITICAL_MULTIPLES[kind]
     else:
         past, critical = value < limit, value < limit - CRITICAL_MARGIN
-    reading = F.format_string(f"%.{shown}f", round_half_up(value, shown))
     ending = f"{between}{limit:.{shown_limit}f}{after}"
     return F.when(past, F.struct(
         F.lit(kind).alias("alert_type"),
@@ -170,27 +169,32 @@ def _alert(kind: str, value: Column, limit: float) -> Column:
         round_half_up(value, stored).alias("current_value"),
         F.lit(limit).alias("threshold"),
         F.lit("SIMULATED CONDITION").alias("condition_type"),
-        F.concat(F.lit(before), reading, F.lit(ending)).alias("message"),
+        F.concat(F.lit(before), fixed_text(value, shown), F.lit(ending)).alias("message"),
     ))
 
 
+def _found(thresholds: Mapping[str, float] | None, columns: Sequence[str]) -> Column:
+    """Array with one struct or NULL per alert kind."""
+    limits = dict(THRESHOLDS)
+    for name, value in (thresholds or {}).items():
+        limits[arguments.pick(name, THRESHOLDS, "alert threshold")] = arguments.number(value, name)
+    return F.array(*[_alert(kind, F.col(kpi).cast("double"), limits[kpi])
+                     for kind, (kpi, *_) in ALERTS.items() if kpi in columns])
+
+
 def alerts(thresholds: Mapping[str, float] | None = None, columns: Sequence[str] = tuple(KPIS)) -> Column:
     """Array of alert structs of one observation, in a fixed order.
 
     A KPI the frame lacks, or a NULL one, raises no alert.
     """
-    limits = dict(THRESHOLDS)
-    for name, value in (thresholds or {}).items():
-        limits[arguments.pick(name, THRESHOLDS, "alert threshold")] = arguments.number(value, name)
-    found = [_alert(kind, F.col(kpi).cast("double"), limits[kpi])
-             for kind, (kpi, *_) in ALERTS.items() if kpi in columns]
-    return F.array_compact(F.array(*found))
+    return F.array_compact(_found(thresholds, columns))
 
 
 def alert_rows(df: DataFrame, keys: Sequence[str], thresholds: Mapping[str, float] | None = None,
                ) -> DataFrame:
     """One row per alert, with the given columns of its observation."""
-    return df.select(*keys, F.inline(alerts(thresholds, df.columns)))
+    rows = df.select(*keys, F.inline(_found(thresholds, df.columns)))
+    return rows.where(F.col("alert_type").isNotNull())
 
 
 def clamp_kpis(df: DataFrame) -> DataFrame:

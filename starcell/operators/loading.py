@@ -72,7 +72,8 @@ def stage_network(raw: DataFrame, strict: bool = True) -> DataFrame:
 def build_dimension(staged: DataFrame, columns: Sequence[str | Column], natural: Sequence[str],
                     key: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Distinct members with a surrogate key in natural-key order."""
-    members = staged.select(*columns).distinct()
+    # Stored, so that counting and numbering do not each scan the staged rows.
+    members = write_and_read(staged.select(*columns).distinct(), "members")
     return number_in_order(members, natural, key, max_rows)
 
 
@@ -91,6 +92,12 @@ def resolve_keys(staged: DataFrame, dimensions: Mapping[str, tuple[DataFrame, Ma
     return rows
 
 
+def require_keys(keys: Sequence[str]) -> list[Column]:
+    """The key columns, which fail the job that writes them when one was not found."""
+    return [F.when(F.col(k).isNull(), F.raise_error(F.lit(f"unresolved {k}"))).otherwise(F.col(k)).alias(k)
+            for k in keys]
+
+
 def unresolved_keys(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return quality.null_counts(rows, keys)
 
@@ -98,6 +105,7 @@ def unresolved_keys(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 def extend_dimension(house: Warehouse, members: DataFrame, natural: Sequence[str], key: str,
                      name: str, reset: bool) -> DataFrame:
     """Write a dimension, or on append only its new members, numbered after the old ones."""
+    members = write_and_read(members, "members")
     if reset or not house.exists(name):
         return house.write(number_in_order(members, natural, key), name)
     held = house.read(name)
@@ -109,14 +117,17 @@ def extend_dimension(house: Warehouse, members: DataFrame, natural: Sequence[str
 
 def _store_fact(house: Warehouse, resolved: DataFrame, keys: Sequence[str], columns: Sequence,
                 surrogate: str, name: str, reset: bool, partition_by: str | None) -> DataFrame:
-    """Check that all keys were found, then write the fact with unique row ids."""
-    quality.require_zero(unresolved_keys(resolved, keys), "null_count", "unresolved foreign keys")
+    """Write the fact with unique row ids; a key that was not found fails the write."""
     start = 1
     if not reset and house.exists(name):
         last = house.read(name).agg(F.max(surrogate).alias("n")).first()["n"]
         start = 1 if last is None else last + 1
+    rows = resolved.select(*require_keys(keys), *columns)
+    if partition_by:
+        # One day per file where days are small; a day too large for one task is split.
+        rows = rows.hint("rebalance", partition_by)
     number = (F.monotonically_increasing_id() + start).alias(surrogate)
-    return house.write(resolved.select(number, *keys, *columns), name, reset, partition_by)
+    return house.write(rows.select(number, "*"), name, reset, partition_by)
 
 
 def _store_staged(staged: DataFrame, rules: Sequence[quality.Rule], keys: Sequence[str],

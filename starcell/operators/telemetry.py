@@ -53,7 +53,7 @@ def filter_options(star: Star) -> DataFrame:
 
 def cell_detail(star: Star, cell_id: str | None = None) -> DataFrame:
     """Observation count with first and last time, of one cell or of all."""
-    where = [] if cell_id is None else [star.condition("cell_id", cell_id)]
+    where = [] if cell_id is None else star.conditions("cell_id", cell_id)
     ts = star.attributes["timestamp"]
     block = [measures.row_count("available_observation_count")]
     if ts.home is None:
@@ -70,12 +70,7 @@ def cell_telemetry(star: Star, cell_id: str, start_time: str | None = None,
                    end_time: str | None = None, limit: int = 100) -> DataFrame:
     """The first observations of a cell in an inclusive time range."""
     limit = arguments.whole_number(limit, "limit", 1, 1000)
-    where = [star.condition("cell_id", cell_id)]
-    ts = star.attributes["timestamp"]
-    for bound, low in ((start_time, True), (end_time, False)):
-        if bound:
-            edge = F.lit(arguments.text(bound)).cast("timestamp_ntz")
-            where.append(Condition(ts.column >= edge if low else ts.column <= edge, ts.home))
+    where = [*star.conditions("cell_id", cell_id), *star.time_conditions(start_time, end_time)]
     rows = star.rows([*PLACE, "timestamp"], where)
     # All columns in the order make the cut the same on every run.
     rows = rows.orderBy("timestamp", "technology", *KPIS).limit(limit)
@@ -96,7 +91,7 @@ def _summary_block(digits: Mapping[str, int | None]) -> list[measures.Measure]:
 
 def cell_summary(star: Star, digits: Mapping[str, int | None], cell_id: str | None = None) -> DataFrame:
     """Minimum, maximum and average of every KPI, one wide row per cell."""
-    where = [] if cell_id is None else [star.condition("cell_id", cell_id)]
+    where = [] if cell_id is None else star.conditions("cell_id", cell_id)
     return star.aggregate(_summary_block(digits), PLACE, where)
 
 
@@ -134,7 +129,7 @@ def first_baselines(star: Star, cell_id: str | None = None) -> DataFrame:
     The minimum of (time, values) is one map-side combined aggregate, so a busy
     cell costs one row per task; on equal times the smallest values win.
     """
-    where = [] if cell_id is None else [star.condition("cell_id", cell_id)]
+    where = [] if cell_id is None else star.conditions("cell_id", cell_id)
     ts = star.attributes["timestamp"]
     if ts.home is None:
         fields = F.struct(ts.column.alias("timestamp"), *[F.col(k) for k in KPIS])

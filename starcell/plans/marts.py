@@ -158,4 +158,4 @@ def network_star(fact: DataFrame, cell: DataFrame, region: DataFrame, technology
         "region": Dimension(region, "region_key", "region_key"),
         "technology": Dimension(technology, "technology_key", "technology_key"),
         "time": Dimension(time, "time_key", "time_key"),
-    }, attributes)
+    }, attributes, "fact_date" if "fact_date" in fact.columns else None)

@@ -12,7 +12,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from starcell.functions.numeric import as_column, exact_mean, exact_sum, from_units, round_half_up
+from starcell.functions.numeric import (
+    as_column,
+    exact_mean,
+    exact_sum,
+    from_units,
+    join_parts,
+    round_half_up,
+    sum_parts,
+)
 
 MERGE: dict[str, Callable[[str], Column]] = {"sum": F.sum, "min": F.min, "max": F.max}
 
@@ -41,22 +49,32 @@ def count_where(name: str, test: Column) -> Measure:
     return Measure(name, (part,), F.coalesce(F.col(part.name), F.lit(0)).cast("bigint"))
 
 
+def _sum_of(name: str, value, digits: int | None) -> tuple[tuple[Part, ...], Column]:
+    """Parts of a sum, and the total they make."""
+    if digits is None:
+        part = Part(f"{name}__s", exact_sum(value, None), "sum")
+        return (part,), F.col(part.name)
+    high, low = sum_parts(value, digits)
+    parts = (Part(f"{name}__h", high, "sum"), Part(f"{name}__l", low, "sum"))
+    return parts, join_parts(*[p.name for p in parts])
+
+
 def mean(name: str, value, digits: int | None, places: int = 2, factor: float | None = None,
          empty: float | None = 0.0) -> Measure:
     """Rounded mean over the non-NULL values; `empty` stands in when there are none."""
-    total = Part(f"{name}__s", exact_sum(value, digits), "sum")
+    parts, whole = _sum_of(name, value, digits)
     count = Part(f"{name}__c", F.count(as_column(value)), "sum")
-    result = exact_mean(total.name, count.name, digits)
+    result = exact_mean(whole, count.name, digits)
     if factor is not None:
         result = result * factor
     if empty is not None:
         result = F.coalesce(result, F.lit(empty))
-    return Measure(name, (total, count), round_half_up(result, places))
+    return Measure(name, (*parts, count), round_half_up(result, places))
 
 
 def total(name: str, value, digits: int | None) -> Measure:
-    part = Part(f"{name}__s", exact_sum(value, digits), "sum")
-    return Measure(name, (part,), F.coalesce(from_units(part.name, digits), F.lit(0.0)))
+    parts, whole = _sum_of(name, value, digits)
+    return Measure(name, parts, F.coalesce(from_units(whole, digits), F.lit(0.0)))
 
 
 def lowest(name: str, value, places: int | None = None) -> Measure:

@@ -3,12 +3,12 @@
 `Star.aggregate` is the one plan behind every cube operator:
 
 * predicates on the fact reach its scan, and only named dimensions are joined;
-* a dimension that a count proves small is broadcast before aggregation, so the
-  fact is never shuffled and a hot key is combined inside each map task;
-* a filter on a large dimension is counted too and broadcast when few keys remain;
-* a large dimension needed only for its labels is joined after the fact has been
-  aggregated per foreign key. That aggregation is hash-partitioned by the key the
-  join needs and holds one row per key, so a key with a third of the fact is one row.
+* a dimension that a count proves small, whole or after its filter, is broadcast
+  before aggregation, so the fact is not shuffled and a hot key is combined inside
+  each map task;
+* any other dimension is joined after the fact has been aggregated per foreign key.
+  That aggregation is hash-partitioned by the key the join needs and holds one row
+  per key, so a key with a third of the fact meets the join as one row.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from starcell.functions import arguments
 from starcell.plans.measures import Measure, finish, first_pass, second_pass
-from starcell.plans.sizing import BROADCAST_ROWS, broadcast_if_small
+from starcell.plans.sizing import BROADCAST_ROWS
 
 
 @dataclass(frozen=True)
@@ -74,6 +74,8 @@ class Star:
     fact: DataFrame
     dimensions: Mapping[str, Dimension]
     attributes: Mapping[str, Attribute]
+    # The fact's partition column holding the day of an observation, if it has one.
+    day_column: str | None = None
 
     def with_broadcast_rows(self, max_rows: int) -> Star:
         dims = {n: Dimension(d.frame, d.fact_key, d.key, max_rows) for n, d in self.dimensions.items()}
@@ -86,66 +88,82 @@ class Star:
         """Attributes open to slicing and grouping; the raw timestamp is not one."""
         return [n for n in self.attributes if n != "timestamp"]
 
-    def condition(self, name: str, value) -> Condition:
+    def conditions(self, name: str, value) -> list[Condition]:
+        """The attribute equals the value; a calendar day also prunes the fact's files."""
         attribute = self.attributes[name]
-        return Condition(attribute.predicate(name, value), attribute.home)
+        found = [Condition(attribute.predicate(name, value), attribute.home)]
+        if name == "date" and self.day_column:
+            found.append(Condition(F.col(self.day_column) == F.lit(str(value).strip()).cast("date")))
+        return found
+
+    def time_conditions(self, start: str | None = None, end: str | None = None) -> list[Condition]:
+        """Observations from `start` to `end`, both inclusive and optional."""
+        ts = self.attributes["timestamp"]
+        found = []
+        for bound, compare in ((start, Column.__ge__), (end, Column.__le__)):
+            if bound is None or not arguments.text(bound):
+                continue
+            edge = F.lit(arguments.text(bound)).cast("timestamp_ntz")
+            found.append(Condition(compare(ts.column, edge), ts.home))
+            if self.day_column:
+                found.append(Condition(compare(F.col(self.day_column), edge.cast("date"))))
+        return found
 
-    def _side(self, home: str, names: Sequence[str], tests: Sequence[Column]) -> DataFrame:
+    def _side(self, home: str, names: Sequence[str], where: Sequence[Condition]) -> DataFrame:
         """The key and the wanted attributes of one dimension, filtered."""
         dim = self.dimensions[home]
         side = dim.frame
-        for test in tests:
-            side = side.where(test)
+        for condition in where:
+            if condition.home == home:
+                side = side.where(condition.test)
         return side.select(dim.frame[dim.key].alias(f"__{home}"),
-                           *[self.attributes[n].column.alias(n) for n in names])
-
-    def _attach(self, rows: DataFrame, home: str, side: DataFrame) -> DataFrame:
-        return rows.join(side, rows[self.dimensions[home].fact_key] == side[f"__{home}"]).drop(
-            f"__{home}")
-
-    def rows(self, names: Sequence[str] = (), where: Sequence[Condition] = (),
-             keep: Sequence[str] | None = None, late: Sequence[str] = ()) -> DataFrame:
-        """Fact rows that pass `where`, widened by the named attributes.
-
-        Dimensions in `late` are left for the caller to join.
-        """
+                           *[self.attributes[n].column.alias(n) for n in names
+                             if self.attributes[n].home == home])
+
+    def _sides(self, names: Sequence[str], where: Sequence[Condition],
+               ) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+        """The dimensions in use: those counted small, to broadcast, and the others."""
+        small, large = {}, {}
+        homes = [self.attributes[n].home for n in names] + [c.home for c in where]
+        for home in dict.fromkeys(h for h in homes if h is not None):
+            dim = self.dimensions[home]
+            side = self._side(home, names, where)
+            filtered = any(c.home == home for c in where)
+            if dim.is_small() or (filtered and side.count() <= dim.max_rows):
+                small[home] = F.broadcast(side)
+            else:
+                large[home] = side
+        return small, large
+
+    def _attach(self, rows: DataFrame, sides: Mapping[str, DataFrame]) -> DataFrame:
+        for home, side in sides.items():
+            match = rows[self.dimensions[home].fact_key] == side[f"__{home}"]
+            rows = rows.join(side, match).drop(f"__{home}")
+        return rows
+
+    def _facts(self, names: Sequence[str], where: Sequence[Condition]) -> DataFrame:
+        """Filtered fact rows with the fact's own attributes."""
         fact = self.fact
         for condition in where:
             if condition.home is None:
                 fact = fact.where(condition.test)
         own = {n: self.attributes[n].column.alias(n) for n in names
                if self.attributes[n].home is None}
-        kept = [c for c in (fact.columns if keep is None else keep) if c not in own]
-        fact = fact.select(*kept, *own.values())
-        wanted = dict.fromkeys(
-            [self.attributes[n].home for n in names] + [c.home for c in where])
-        for home in wanted:
-            if home is None or home in late:
-                continue
-            tests = [c.test for c in where if c.home == home]
-            side = self._side(home, [n for n in names if self.attributes[n].home == home], tests)
-            dim = self.dimensions[home]
-            if dim.is_small():
-                side = F.broadcast(side)
-            elif tests:
-                side = broadcast_if_small(side, dim.max_rows)
-            fact = self._attach(fact, home, side)
-        return fact
+        return fact.select(*[c for c in fact.columns if c not in own], *own.values())
+
+    def rows(self, names: Sequence[str] = (), where: Sequence[Condition] = ()) -> DataFrame:
+        """Fact rows that pass `where`, widened by the named attributes."""
+        small, large = self._sides(names, where)
+        return self._attach(self._facts(names, where), {**small, **large})
 
     def aggregate(self, block: Sequence[Measure], by: Sequence[str] = (),
                   where: Sequence[Condition] = ()) -> DataFrame:
         """One row of measures per combination of the attributes in `by`."""
-        filtered = {c.home for c in where}
-        homes = dict.fromkeys(self.attributes[n].home for n in by)
-        late = [h for h in homes
-                if h is not None and h not in filtered and not self.dimensions[h].is_small()]
-        rows = self.rows(by, where, late=late)
-        if not late:
+        small, large = self._sides(by, where)
+        rows = self._attach(self._facts(by, where), small)
+        if not large:
             return finish(first_pass(rows, by, block), by, block)
-        early = [n for n in by if self.attributes[n].home not in late]
-        keys = dict.fromkeys(self.dimensions[h].fact_key for h in late)
-        parts = first_pass(rows, [*keys, *early], block)
-        for home in late:
-            names = [n for n in by if self.attributes[n].home == home]
-            parts = self._attach(parts, home, self._side(home, names, ()))
+        early = [n for n in by if self.attributes[n].home not in large]
+        keys = dict.fromkeys(self.dimensions[h].fact_key for h in large)
+        parts = self._attach(first_pass(rows, [*keys, *early], block), large)
         return finish(second_pass(parts, by, block), by, block)
