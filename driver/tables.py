@@ -58,10 +58,11 @@ def line_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def event_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_kpis(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """events as telemetry with sub-minute times: users as cells."""
     value = F.col("value")
-    return table(spark, sf_dir, "events").select(
+    events = table(spark, sf_dir, "events") if events is None else events
+    return events.select(
         "event_id",
         F.concat(F.lit("Cell_"), F.lpad(F.col("user_id").cast("string"), 6, "0")).alias("cell_id"),
         F.col("event_type").alias("technology"),

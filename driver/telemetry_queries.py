@@ -221,6 +221,9 @@ def _summary_columns(digits) -> str:
         for k in KPIS)
 
 
+EVENT_HEALTH_SQL = (f"WITH {EVENTS}, scored AS (SELECT event_id, {_score()} AS health_score FROM obs) "
+                    f"SELECT *, {_band('health_score')} AS health_band FROM scored")
+
 SQL = {
     "d1_cell_inventory": f"WITH {OBS} SELECT DISTINCT cell_id, region, technology FROM obs",
     "d1_cell_inventory_filtered": f"WITH {OBS} SELECT DISTINCT cell_id, region, technology FROM obs "
