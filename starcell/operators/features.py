@@ -108,15 +108,19 @@ class Preprocessor:
         rows = [(n, None, m, d) for n, (m, d) in self.scaling.stats.items()]
         rows += [(n, level, None, None) for n, levels in self.encoding.levels.items() for level in levels]
         return spark.createDataFrame(
-            rows, "name string, level string, mean double, deviation double")
+            [(place, *row) for place, row in enumerate(rows)],
+            "place int, name string, level string, mean double, deviation double")
 
     @staticmethod
     def from_rows(stored: DataFrame) -> Preprocessor:
-        """Read back; the table has at most MAX_LEVELS lines plus the numerics."""
+        """Read back; the table has at most MAX_LEVELS lines plus the numerics.
+
+        The order of features is that of the models' coefficients, so it is stored too.
+        """
         scaling, levels = {}, {}
-        for row in stored.collect():
+        for row in sorted(stored.collect(), key=lambda r: r["place"]):
             if row["level"] is None:
                 scaling[row["name"]] = (row["mean"], row["deviation"])
             else:
                 levels.setdefault(row["name"], []).append(row["level"])
-        return Preprocessor(Scaling(scaling), OneHot({n: tuple(sorted(v)) for n, v in levels.items()}))
+        return Preprocessor(Scaling(scaling), OneHot({n: tuple(v) for n, v in levels.items()}))
