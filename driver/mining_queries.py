@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from driver.raw import STAGED_CUSTOMER_SQL, raw_customer, warehouse
 from driver.sql import KPIS, LINE_DIGITS, LINES, OBS, avg, rnd
-from driver.tables import line_kpis, network_star, table
+from driver.tables import customer_star, line_kpis, network_star, table
 from starcell.functions.numeric import round_half_up
 from starcell.functions.timeparts import stamp_text
 from starcell.operators import churn, clusters, features, loading, quality, rules
+from starcell.plans import measures
 from starcell.plans.marts import PLAN_COLUMNS
 from starcell.session import fresh_path, write_and_read
 from starcell.sources import files
@@ -173,10 +174,10 @@ def stored_rules(s, d):
 
 def line_rules(s, d):
     """Any consequent, over order lines with their order and part."""
-    rows = (table(s, d, "lineitem").join(table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-            .join(table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey")))
-    names = ("o_orderpriority", "o_orderstatus", "p_type", "l_linestatus", "l_returnflag")
-    counted = rules.baskets(rows, {n: F.col(n) for n in names})
+    names = {"o_orderpriority": "contract", "o_orderstatus": "internet_service", "p_type": "payment_method",
+             "l_linestatus": "line_status", "l_returnflag": "return_flag"}
+    counts = customer_star(s, d).aggregate([measures.row_count("n")], list(names.values()))
+    counted = rules.baskets(counts, {n: F.col(a) for n, a in names.items()}, F.col("n"))
     return rules.association_rules(rules.frequent_itemsets(counted, 0.01), 0.3, 1.0, target=None)
 
 

@@ -83,6 +83,7 @@ def charges(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey",
         "l_partkey",
         "l_linestatus",
+        "l_returnflag",
         F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("churn_flag"),
         F.col("l_extendedprice").alias("monthly_charges"),
         (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("total_charges"),
@@ -119,6 +120,7 @@ def _customer_star(spark: SparkSession, sf_dir: str) -> Star:
         "size": Attribute(F.col("p_size"), "customer", parse=whole),
         "tenure_band": band_attribute(F.col("p_size"), "customer"),
         "line_status": Attribute(F.col("l_linestatus"), domain=LINE_STATUSES),
+        "return_flag": Attribute(F.col("l_returnflag"), domain=("A", "N", "R")),
         "churn_flag": flag_attribute(F.col("churn_flag")),
     }
     dimensions = {

@@ -60,12 +60,14 @@ def stage_customer(raw: DataFrame, strict: bool = True) -> DataFrame:
 
 
 def stage_network(raw: DataFrame, strict: bool = True) -> DataFrame:
-    """Trimmed telemetry with parsed time and calendar parts."""
+    """Trimmed telemetry with parsed time and calendar parts; NaN counts as missing."""
     convert = Column.cast if strict else Column.try_cast
     rows = trim_text(raw)
     rows = rows.withColumn("timestamp", convert(F.col("timestamp"), "timestamp_ntz"))
-    rows = rows.withColumns({k: convert(F.col(k), "int" if k == "active_connections" else "double")
-                             for k in KPIS})
+    missing = F.lit(None).cast("double")
+    rows = rows.withColumns({
+        k: convert(F.col(k), "int") if k == "active_connections"
+        else F.nanvl(convert(F.col(k), "double"), missing) for k in KPIS})
     return rows.withColumns(calendar_parts("timestamp"))
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from starcell.functions import arguments
 from starcell.plans.measures import Measure, finish, first_pass, second_pass
-from starcell.plans.sizing import BROADCAST_ROWS
+from starcell.plans.sizing import BROADCAST_ROWS, fits_broadcast
 
 
 @dataclass(frozen=True)
@@ -53,12 +53,14 @@ class Dimension:
     fact_key: str
     key: str
     max_rows: int = BROADCAST_ROWS
-    _rows: int | None = field(default=None, repr=False)
+    _fits: dict = field(default_factory=dict, repr=False)
 
-    def is_small(self) -> bool:
-        if self._rows is None:
-            self._rows = self.frame.select(self.key).count()
-        return self._rows <= self.max_rows
+    def fits(self, side: DataFrame) -> bool:
+        """Whether these columns of the whole dimension may be broadcast; checked once."""
+        names = tuple(side.columns)
+        if names not in self._fits:
+            self._fits[names] = fits_broadcast(side, self.max_rows)
+        return self._fits[names]
 
 
 @dataclass(frozen=True)
@@ -129,7 +131,8 @@ class Star:
             dim = self.dimensions[home]
             side = self._side(home, names, where)
             filtered = any(c.home == home for c in where)
-            if dim.is_small() or (filtered and side.count() <= dim.max_rows):
+            if dim.fits(self._side(home, names, ())) or (
+                    filtered and fits_broadcast(side, dim.max_rows)):
                 small[home] = F.broadcast(side)
             else:
                 large[home] = side

@@ -36,7 +36,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
+    """A new path below one folder per application, which can be dropped as a whole afterwards."""
+    owner = f"starcell-{spark.conf.get('spark.app.id', 'local')}"
+    return os.path.join(shared_folder(spark), owner, f"{name}-{uuid.uuid4().hex}")
 
 
 def write_and_read(df: DataFrame, name: str) -> DataFrame:
