@@ -281,6 +281,8 @@ def train_models(table: DataFrame, test_size: float = 0.2, seed: int = 42,
     """Split, fit the preprocessing on the training rows alone, and fit both models."""
     features = feature_columns(table.columns, target, (key,))
     require_no_leak([*numeric, *categorical], target, (key,))
+    # Checked, counted and split in several passes; the joins behind it run once.
+    table = write_and_read(table, "modelling")
     require_zero(null_counts(table, features), "null_count", "missing feature values")
     split = write_and_read(stratified_split(table, target, key, test_size, seed), "split")
     train, test = (split.where(F.col("split") == part) for part in ("train", "test"))

@@ -53,14 +53,13 @@ class Dimension:
     fact_key: str
     key: str
     max_rows: int = BROADCAST_ROWS
-    _fits: dict = field(default_factory=dict, repr=False)
+    _fits: bool | None = field(default=None, repr=False)
 
-    def fits(self, side: DataFrame) -> bool:
-        """Whether these columns of the whole dimension may be broadcast; checked once."""
-        names = tuple(side.columns)
-        if names not in self._fits:
-            self._fits[names] = fits_broadcast(side, self.max_rows)
-        return self._fits[names]
+    def fits(self, whole: DataFrame) -> bool:
+        """Whether the key with all attributes may be broadcast; checked once per star."""
+        if self._fits is None:
+            self._fits = fits_broadcast(whole, self.max_rows)
+        return self._fits
 
 
 @dataclass(frozen=True)
@@ -131,7 +130,7 @@ class Star:
             dim = self.dimensions[home]
             side = self._side(home, names, where)
             filtered = any(c.home == home for c in where)
-            if dim.fits(self._side(home, names, ())) or (
+            if dim.fits(self._side(home, list(self.attributes), ())) or (
                     filtered and fits_broadcast(side, dim.max_rows)):
                 small[home] = F.broadcast(side)
             else:
