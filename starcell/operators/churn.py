@@ -202,6 +202,7 @@ def roc_auc(df: DataFrame, label: str = TARGET, probability: str = "probability"
     """
     groups = df.groupBy(F.col(probability).alias("score")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
+    groups = write_and_read(groups, "scores")
     ranked = totals_before(groups, ["score"], "neg", "below", max_rows)
     pos, neg, below = (F.col(c).cast("decimal(19,0)") for c in ("pos", "neg", "below"))
     area = ranked.agg(F.sum(pos * (below * 2 + neg)).alias("area"), F.sum("pos").alias("p"),

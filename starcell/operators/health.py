@@ -155,15 +155,35 @@ CRITICAL_MULTIPLES = {"HIGH_CALL_DROP": 2.5, "HIGH_LATENCY": 2.0, "HIGH_PACKET_L
 CRITICAL_MARGIN = 10.0
 
 
-def _alert(kind: str, value: Column, limit: float) -> Column:
-    """The alert struct when the reading is past its limit, else NULL."""
-    _, before, between, after, shown, shown_limit, stored = ALERTS[kind]
+def _limits(thresholds: Mapping[str, float] | None) -> dict[str, float]:
+    limits = dict(THRESHOLDS)
+    for name, value in (thresholds or {}).items():
+        limits[arguments.pick(name, THRESHOLDS, "alert threshold")] = arguments.number(value, name)
+    return limits
+
+
+def _kinds(columns: Sequence[str]) -> list[str]:
+    """The alert kinds whose KPI is at hand."""
+    return [kind for kind, (kpi, *_) in ALERTS.items() if kpi in columns]
+
+
+def _past(kind: str, limits: Mapping[str, float]) -> Column:
+    """Whether the reading is past the limit of this kind."""
+    kpi = ALERTS[kind][0]
+    value = F.col(kpi).cast("double")
+    return value > limits[kpi] if kind in CRITICAL_MULTIPLES else value < limits[kpi]
+
+
+def _alert(kind: str, limits: Mapping[str, float], raised: Column) -> Column:
+    """The alert struct where it is raised, else NULL."""
+    kpi, before, between, after, shown, shown_limit, stored = ALERTS[kind]
+    value, limit = F.col(kpi).cast("double"), limits[kpi]
     if kind in CRITICAL_MULTIPLES:
-        past, critical = value > limit, value >= limit * CRITICAL_MULTIPLES[kind]
+        critical = value >= limit * CRITICAL_MULTIPLES[kind]
     else:
-        past, critical = value < limit, value < limit - CRITICAL_MARGIN
+        critical = value < limit - CRITICAL_MARGIN
     ending = f"{between}{limit:.{shown_limit}f}{after}"
-    return F.when(past, F.struct(
+    return F.when(raised, F.struct(
         F.lit(kind).alias("alert_type"),
         F.when(critical, F.lit("CRITICAL")).otherwise(F.lit("WARNING")).alias("severity"),
         round_half_up(value, stored).alias("current_value"),
@@ -175,11 +195,8 @@ def _alert(kind: str, value: Column, limit: float) -> Column:
 
 def _found(thresholds: Mapping[str, float] | None, columns: Sequence[str]) -> Column:
     """Array with one struct or NULL per alert kind."""
-    limits = dict(THRESHOLDS)
-    for name, value in (thresholds or {}).items():
-        limits[arguments.pick(name, THRESHOLDS, "alert threshold")] = arguments.number(value, name)
-    return F.array(*[_alert(kind, F.col(kpi).cast("double"), limits[kpi])
-                     for kind, (kpi, *_) in ALERTS.items() if kpi in columns])
+    limits = _limits(thresholds)
+    return F.array(*[_alert(kind, limits, _past(kind, limits)) for kind in _kinds(columns)])
 
 
 def alerts(thresholds: Mapping[str, float] | None = None, columns: Sequence[str] = tuple(KPIS)) -> Column:
@@ -297,22 +314,24 @@ def alert_onsets(df: DataFrame, cell: str = "cell_id", ts: str = "timestamp",
     busy cell's history. The first step of a chunk takes its predecessor from the
     last step of the cell's preceding chunk, found on one row per chunk.
     """
+    limits, kinds = _limits(thresholds), _kinds(df.columns)
     order = [F.col(ts), *[F.col(c) for c in tie]]
-    found = df.select(cell, ts, *tie, alerts(thresholds, df.columns).alias("__alerts"))
-    rows = found.withColumns({
-        "__types": F.transform("__alerts", lambda a: a["alert_type"]),
-        "__chunk": F.date_trunc(chunk, F.col(ts)),
-    })
+    # One bit per active kind: the texts are made only for what is new.
+    bits = {kind: 2**place for place, kind in enumerate(kinds)}
+    active = sum((F.when(_past(kind, limits), bit).otherwise(0) for kind, bit in bits.items()), F.lit(0))
+    rows = df.select(cell, ts, *tie, *[ALERTS[kind][0] for kind in kinds], active.alias("__active"),
+                     F.date_trunc(chunk, F.col(ts)).alias("__chunk"))
     last = rows.groupBy(cell, "__chunk").agg(
-        F.max(F.struct(*order, F.col("__types"))).alias("__last"))
+        F.max(F.struct(*order, F.col("__active"))).alias("__last"))
     per_cell = Window.partitionBy(cell).orderBy("__chunk")
     carried = last.select(
         F.col(cell).alias("__cell"), F.col("__chunk").alias("__at"),
-        F.lag("__last.__types").over(per_cell).alias("__carried"))
+        F.lag("__last.__active").over(per_cell).alias("__carried"))
     within = Window.partitionBy(cell, "__chunk").orderBy(*order)
-    rows = rows.withColumn("__before", F.lag("__types").over(within))
+    rows = rows.withColumn("__before", F.lag("__active").over(within))
     rows = rows.join(carried, (rows[cell] == carried["__cell"])
                      & (rows["__chunk"] == carried["__at"]), "left")
-    before = F.coalesce("__before", "__carried", F.array().cast("array<string>"))
-    fresh = F.filter("__alerts", lambda a: ~F.array_contains(before, a["alert_type"]))
-    return rows.select(cell, ts, *tie, F.inline(fresh))
+    before = F.coalesce("__before", "__carried", F.lit(0))
+    fresh = F.array(*[_alert(kind, limits, _past(kind, limits) & (before.bitwiseAND(F.lit(bit)) == 0))
+                      for kind, bit in bits.items()])
+    return rows.select(cell, ts, *tie, F.inline(fresh)).where(F.col("alert_type").isNotNull())
