@@ -29,12 +29,14 @@ def cell(value):
     return repr(value)
 
 
-def compare(spark, con, name, query, sql, sf_dir) -> tuple[str, float, float]:
+def compare(spark, con, name, query, sql, sf_dir, need_rows=False) -> tuple[str, float, float]:
     """'' when equal, else what differs; and the seconds of both sides."""
     start = time.time()
     frame = query(spark, sf_dir)
     rows = [r.asDict() for r in frame.collect()]
     middle = time.time()
+    if need_rows and not rows:
+        return "no rows", middle - start, 0.0
     if sql is None:
         return "", middle - start, 0.0
     cursor = con.execute(sql)
