@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starcell.llm import classifier, idfiles, mixing, packing, quality, tokens, urlrules
+from starcell.llm import classifier, idfiles, mixing, packing, quality, suffixes, tokens, urlrules
 from starcell.session import fresh_path
 
 BPE_50K = public_tokenizers.path("byte_bpe_50k.json")
@@ -20,6 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffixes.mark_repeats(docs, 200).drop("text")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return tokens.token_counts(docs, PIECE_32K, 4096).drop("text")
@@ -82,6 +87,6 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_token_counts, op4_url_filters, op5_id_files, op6_best_fit_packing, op7_quality_rules,
+    op1_suffix_dedup, op3_token_counts, op4_url_filters, op5_id_files, op6_best_fit_packing, op7_quality_rules,
     op8_quality_classifier, op9_source_mix)}
 SQL: dict[str, str] = {}
