@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starcell.llm import classifier, idfiles, mixing, packing, quality, suffixes, tokens, urlrules
+from starcell.llm import classifier, idfiles, jaccard, mixing, packing, quality, suffixes, tokens, urlrules
 from starcell.session import fresh_path
 
 BPE_50K = public_tokenizers.path("byte_bpe_50k.json")
@@ -86,7 +86,12 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
                         mix_tokens().alias("n_tokens"), F.col("__epoch").alias("epoch"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard.classes(docs, 5, 75).select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_suffix_dedup, op3_token_counts, op4_url_filters, op5_id_files, op6_best_fit_packing, op7_quality_rules,
-    op8_quality_classifier, op9_source_mix)}
+    op8_quality_classifier, op9_source_mix, op10_jaccard_join)}
 SQL: dict[str, str] = {}
