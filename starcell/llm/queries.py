@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starcell.llm import classifier, idfiles, jaccard, mixing, packing, quality, suffixes, tokens, urlrules
+from starcell.llm import classifier, idfiles, jaccard, mixing, packing, quality, suffixes, tokens, urlrules, vectors
 from starcell.session import fresh_path
 
 BPE_50K = public_tokenizers.path("byte_bpe_50k.json")
@@ -25,6 +25,11 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.mark_repeats(docs, 200).drop("text")
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vectors.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), 0.9)
+    return found.drop("embedding")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return tokens.token_counts(docs, PIECE_32K, 4096).drop("text")
@@ -92,6 +97,6 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_suffix_dedup, op3_token_counts, op4_url_filters, op5_id_files, op6_best_fit_packing, op7_quality_rules,
+    op1_suffix_dedup, op2_embedding_dedup, op3_token_counts, op4_url_filters, op5_id_files, op6_best_fit_packing, op7_quality_rules,
     op8_quality_classifier, op9_source_mix, op10_jaccard_join)}
 SQL: dict[str, str] = {}
