@@ -4,7 +4,7 @@ A byte-level pre-tokenizer never puts a character that is no white space and a s
 line feed after it into one piece, nor a letter and a mark such as a comma after it, and what
 it does after such a place does not depend on what was before. A text is therefore cut there,
 every distinct stretch goes to the library
-once per worker (many of them joined in one text, whose offsets part their ids again), and
+once per worker (many of them joined in one text, whose ids are parted again by their bytes), and
 the ids of a text are the ids of its stretches joined. Files with any other normalizer or
 pre-tokenizer get whole texts.
 """
@@ -49,6 +49,13 @@ class Encoder:
                      for t in parts.get("added_tokens") or [])
         self.cuts = (parts.get("normalizer") is None and before.get("type") == "ByteLevel"
                      and before.get("use_regex", True) and not before.get("add_prefix_space") and not spaced)
+        # Bytes of each token: one for each character of a byte-level token, and an added one's own.
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, number in vocabulary.items():
+            self.sizes[number] = len(token)
+        for number, token in self.library.get_added_tokens_decoder().items():
+            self.sizes[number] = len(token.content.encode())
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -73,15 +80,17 @@ class Encoder:
         return out
 
     def _learn(self, stretches: list[str]) -> None:
-        """Ids of stretches that may follow each other in one text."""
+        """Ids of stretches that may follow each other in one text; the tokens' bytes tell them apart."""
         groups = [stretches[i:i + JOINED_STRETCHES] for i in range(0, len(stretches), JOINED_STRETCHES)]
-        for group, coded in zip(groups, self.library.encode_batch(["".join(g) for g in groups],
-                                                                  add_special_tokens=False)):
-            ids = np.array(coded.ids, "<u4")
-            begins = np.array(coded.offsets, np.int64)[:, 0]
-            ends = np.cumsum([len(s) for s in group])
-            cuts = np.concatenate(([0], np.searchsorted(begins, ends, "left")))
-            self.known.update((s, ids[i:j].tobytes()) for s, i, j in zip(group, cuts, cuts[1:]))
+        coded = self.library.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)
+        for group, found in zip(groups, coded):
+            ids = np.array(found.ids, "<u4")
+            ends = np.cumsum([len(s.encode()) for s in group])
+            cuts = 4 * (np.searchsorted(np.cumsum(self.sizes[ids]), ends, "left") + 1)
+            held, first = ids.tobytes(), 0
+            for stretch, last in zip(group, cuts.tolist()):
+                self.known[stretch] = held[first:last]
+                first = last
 
     def _finish(self, todo: list[list[str]], new: list[str], out: list[np.ndarray]) -> None:
         again = [s for s in new if s in self.older]

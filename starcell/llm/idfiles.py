@@ -120,12 +120,15 @@ def blocks(spark: SparkSession, path: str) -> DataFrame:
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = (stored.groupBy("part").agg(F.sum("n_ids").alias("n"))
              .select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")))
-    return (stored.join(parts, "part").withColumn("start", F.col("before") + F.col("part_start"))
+    # There are as many parts as the write had partitions, a number that the session sets.
+    return (stored.join(F.broadcast(parts), "part").withColumn("start", F.col("before") + F.col("part_start"))
             .drop("before", "part_start"))
 
 
-def documents(spark: SparkSession, path: str) -> DataFrame:
-    """Per document of the files: doc_id, start, n_tokens, ids_crc32 and the ids themselves."""
+def documents(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """Per document of the files: doc_id, start, n_tokens, ids_crc32 and, if asked for, the ids themselves."""
+    names = ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
@@ -133,15 +136,15 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
                 ends = np.array(row["ends"], np.int64)
                 begins = np.concatenate(([0], ends[:-1]))
                 sums = [zlib.crc32(ids[i:j].astype("<u4").tobytes()) for i, j in zip(begins, ends)]
-                lists = pa.ListArray.from_arrays(
-                    pa.array(np.concatenate((begins, ends[-1:])), pa.int32()), pa.array(ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["doc_ids"], pa.int64()), pa.array(row["start"] + begins),
-                     pa.array(ends - begins), pa.array(sums, pa.int64()), lists],
-                    ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
-
-    return blocks(spark, path).mapInArrow(
-        run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, ids array<int>")
+                columns = [pa.array(row["doc_ids"], pa.int64()), pa.array(row["start"] + begins),
+                           pa.array(ends - begins), pa.array(sums, pa.int64())]
+                if with_ids:
+                    columns.append(pa.ListArray.from_arrays(
+                        pa.array(np.append(begins, ends[-1]), pa.int32()), pa.array(ids.astype(np.int32))))
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
+    return blocks(spark, path).mapInArrow(run, schema + ", ids array<int>" * with_ids)
 
 
 def stream_slice(spark: SparkSession, path: str, first: int, count: int) -> DataFrame:

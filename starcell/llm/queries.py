@@ -43,7 +43,7 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "ids")
     idfiles.write(table(spark, sf_dir, "documents"), path, BPE_50K, end_id=0)
-    return idfiles.documents(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return idfiles.documents(spark, path, with_ids=False)
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
