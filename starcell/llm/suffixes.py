@@ -229,7 +229,7 @@ def sorted_edges(rows: pa.RecordBatch, length: int, width: int) -> pa.RecordBatc
         held, group = (x[members[group] > 1] for x in (held, group))
     held = np.sort(held[~again[run[held]]])
     row, begins = np.unique(run[held], return_index=True)
-    ends = np.append(begins[1:], len(held)) - 1
+    ends = np.append(begins, len(held))[1:] - 1
     low = rows.column("low").to_numpy()[row]
     take = pa.array(row)
     return pa.RecordBatch.from_arrays(
