@@ -350,7 +350,7 @@ def keep_one(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Da
     """
     found = stored(classes(docs, size, percent), "jaccard-kept")
     first = found.where("n_shingles > 0").groupBy("component_id").agg(
-        F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "mark")).alias("at"))
+        F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "mark")).alias("at"))
     kept = (found.where("n_shingles = 0").select("doc_id", "mark", F.lit(False).alias("one"))
             .union(first.select("at.doc_id", "at.mark", F.lit(True))).distinct()
             .select(F.col("doc_id").alias("__doc"), F.col("mark").alias("__mark"), F.col("one").alias("__one")))
