@@ -1,19 +1,23 @@
 """N-gram Jaccard join: documents whose sets of word shingles overlap enough, and their classes.
 
 Two sets with a Jaccard similarity of `percent` share at least T = ceil(percent * n / 100)
-of either's n shingles (T-occurrence). Shingles have one order for all documents, rare ones
-first by a bounded sample, so that the n - T + 1 first ones of a set stand for its short
-inverted lists, and documents without a common short list need not be compared.
+of either's n shingles (T-occurrence).
 
 1. Equal sets become one node (a 128-bit fingerprint), by an aggregation.
-2. Short lists are built from packed postings, a bucket of shingles per task; lists of
-   shingles that are frequent in the sample are split over many buckets. A list only ties
-   its documents together, in the order of their sizes, so that no pairs come out.
-3. What is tied together is a group, and its sets go to one task, or, for a large group, to
-   one task for each pair of its blocks. There each set is a query: the short lists of the
+2. The whole inverted index is built once, in packed postings, a bucket of shingles per
+   task. Lists of one document end there. A document that is left with fewer than T lists
+   can have no partner and leaves; of the others, all but the T - 1 longest lists are short.
+   Lists that a bounded sample shows to be very long are never gathered: their postings are
+   dealt by document, as their length only matters for the order.
+3. Short lists tie their documents together, in the order of sizes, so that no pairs come
+   out. What is tied together is a group, and its sets go to one task, or, for a large group,
+   to one task for each pair of its blocks. There each set is a query: the short lists of the
    group are merged, and those found often enough are probed in the long lists by binary
    search (DivideSkip). Pairs that earlier links already connect are skipped.
 
+The index keys are shortened hashes. Where two shingles or documents share one, a document
+stays or is tied that need not be; links are decided on the sets alone.
+
 Classes are the connected components of the links, found by stored rounds of joins.
 """
 
@@ -32,19 +36,27 @@ from starcell.llm.shared import (LOWER, components, gram_hashes, mixed, row_bloc
 
 SHINGLE = 5
 PERCENT = 75
-# Documents, as expected, whose shingles give the order; it never decides what is linked.
+# Documents, as expected, whose shingles show which lists are very long.
 SAMPLE_DOCS = 4000
-# A shingle that so many sampled documents have is split over SPLITS buckets.
-SPLIT_FROM = 12
+# Sampled documents that a very long list has at least, and the parts it is tied in.
+LONG_FROM = 12
 SPLITS = 64
+# Documents whose postings are packed together.
+PACKED_DOCS = 2000
+# Buckets of postings for each shuffle partition.
+BUCKETS = 8
 # Blocks that a group is cut into before they grow, their size until then, and after it.
 BLOCKS = 20
 BLOCK_ROWS = 128
 MOST_BLOCK_ROWS = 2048
 
-_COUNT_BITS = 12
+# A posting: list key, document (48 bits of its node), size code, and the list's length once known.
+ENTRY = np.dtype([("key", "<u8"), ("node", "<u8"), ("size", "<u2"), ("length", "<u4")])
+_LONG = np.uint64(1 << 62)
+_SIZE_STEP = 2000
+
 SETS = "doc_id bigint, mark int, n_shingles bigint, node binary"
-POSTINGS = "bucket int, keys binary, nodes binary, sizes binary"
+PACKED = "bucket int, entries binary"
 MEMBERS = "grp bigint, one int, two int, block int, node binary, shingles binary"
 
 
@@ -70,32 +82,22 @@ def fingerprint(shingles: np.ndarray) -> bytes:
     return np.array([one, two], ">u8").tobytes()
 
 
-def short_node(nodes: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(n[:8] for n in nodes), ">i8").astype(np.int64)
+def short_nodes(nodes: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(b"\0\0" + n[:6] for n in nodes), ">u8").astype(np.uint64)
 
 
-def needed(n: int, percent: int) -> int:
-    return -(-percent * n // 100)
+def size_code(n: int) -> int:
+    """A size in 16 bits: exact up to 32768, then rounded down by less than 0.04 percent."""
+    return n if n <= 32768 else 32768 + int(np.log2(n / 32768) * _SIZE_STEP)
 
 
-class Order:
-    """Rare shingles first: by their count in the sample, then by hash."""
+def size_of(code: np.ndarray) -> np.ndarray:
+    code = code.astype(np.int64)
+    return np.where(code <= 32768, code, np.floor(32768 * 2.0 ** ((code - 32768) / _SIZE_STEP)).astype(np.int64) - 1)
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        self.keys, self.counts = keys, np.minimum(counts, (1 << _COUNT_BITS) - 1).astype(np.uint64)
 
-    def count(self, shingles: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros(len(shingles), np.uint64)
-        at = np.minimum(np.searchsorted(self.keys, shingles), len(self.keys) - 1)
-        return np.where(self.keys[at] == shingles, self.counts[at], np.uint64(0))
-
-    def first(self, shingles: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """The n first of a set's shingles and their counts."""
-        count = self.count(shingles)
-        rank = (count << np.uint64(64 - _COUNT_BITS)) | (shingles >> np.uint64(_COUNT_BITS))
-        at = np.argpartition(rank, n - 1)[:n] if n < len(rank) else np.arange(len(rank))
-        return shingles[at], count[at]
+def needed(n: int, percent: int) -> int:
+    return -(-percent * n // 100)
 
 
 def _sets(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,31 +115,116 @@ def _sampled(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], ["shingle"])
 
 
-def _postings(size: int, percent: int, order: Order, buckets: int,
+def _rows(bucket: np.ndarray, entries: np.ndarray) -> pa.RecordBatch:
+    """Arrays of postings as one row per bucket."""
+    by = np.argsort(bucket, kind="stable")
+    bucket, entries = bucket[by], entries[by]
+    cuts = np.flatnonzero(np.diff(bucket)) + 1
+    begins, ends = np.concatenate(([0], cuts)), np.append(cuts, len(bucket))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(bucket[begins].astype(np.int32)),
+         pa.array([entries[i:j].tobytes() for i, j in zip(begins, ends)], pa.binary())], ["bucket", "entries"])
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
+    """Each bucket with all its postings; the input is sorted by bucket."""
+    bucket, held = None, []
+    for batch in batches:
+        for number, entries in zip(batch.column("bucket").to_pylist(), batch.column("entries").to_pylist()):
+            if number != bucket and held:
+                yield bucket, b"".join(held)
+                held = []
+            bucket = number
+            held.append(entries)
+    if held:
+        yield bucket, b"".join(held)
+
+
+def _postings(size: int, long: np.ndarray, buckets: int,
               batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries of short lists, packed into a row for each bucket and batch."""
+    """All postings in 11 bytes: 3 of the shingle, 6 of the document, 2 of its size.
+
+    Those of very long lists hold the list's number, in buckets after the others.
+    """
+    def packed(held: dict[bytes, np.ndarray]) -> pa.RecordBatch:
+        lengths = [len(x) for x in held.values()]
+        keys = np.concatenate(list(held.values()))
+        nodes = np.repeat(short_nodes(list(held)), lengths)
+        code = np.repeat(np.array([size_code(n) for n in lengths], np.uint16), lengths)
+        hashed = mixed(keys.copy())
+        bucket, short = hashed % np.uint64(buckets), hashed // np.uint64(buckets) & np.uint64(0xFFFFFF)
+        if len(long):
+            at = np.minimum(np.searchsorted(long, keys), len(long) - 1)
+            known = long[at] == keys
+            bucket = np.where(known, np.uint64(buckets) + nodes % np.uint64(buckets), bucket)
+            short = np.where(known, at.astype(np.uint64), short)
+        entries = np.concatenate((short.view(np.uint8).reshape(-1, 8)[:, :3],
+                                  nodes.view(np.uint8).reshape(-1, 8)[:, :6], code.view(np.uint8).reshape(-1, 2)), 1)
+        return _rows(bucket.astype(np.int64), entries)
+
     for batch in batches:
-        held: dict[bytes, tuple[np.ndarray, np.ndarray, int]] = {}
+        held: dict[bytes, np.ndarray] = {}
         for s in shingle_sets(*text_bytes(batch.column("text")), size):
-            if len(s) and (node := fingerprint(s)) not in held:
-                held[node] = (*order.first(s, len(s) - needed(len(s), percent) + 1), len(s))
-        if not held:
-            continue
-        lengths = [len(k) for k, _, _ in held.values()]
-        keys = np.concatenate([k for k, _, _ in held.values()])
-        counts = np.concatenate([c for _, c, _ in held.values()])
-        nodes = np.repeat(short_node(list(held)), lengths)
-        sizes = np.repeat(np.array([n for _, _, n in held.values()], np.uint32), lengths)
-        split = np.where(counts >= SPLIT_FROM, nodes.view(np.uint64) % np.uint64(SPLITS), np.uint64(0))
-        bucket = (mixed(keys + split * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.int32)
-        by = np.argsort(bucket, kind="stable")
-        bucket, keys, nodes, sizes = bucket[by], keys[by], nodes[by], sizes[by]
-        cuts = np.flatnonzero(np.diff(bucket)) + 1
-        begins, ends = np.concatenate(([0], cuts)), np.append(cuts, len(bucket))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(bucket[begins]), *[pa.array([x[i:j].tobytes() for i, j in zip(begins, ends)], pa.binary())
-                                         for x in (keys, nodes, sizes)]],
-            ["bucket", "keys", "nodes", "sizes"])
+            if len(s):
+                held.setdefault(fingerprint(s), s)
+            if len(held) >= PACKED_DOCS:
+                yield packed(held)
+                held = {}
+        if held:
+            yield packed(held)
+
+
+def _lists(counts: np.ndarray, buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of lists with several documents, with the lists' lengths, dealt by document."""
+    ready, held = [], 0
+    for bucket, packed in _gathered(batches):
+        raw = np.frombuffer(packed, np.uint8).reshape(-1, 11)
+        wide = np.zeros((len(raw), 2, 8), np.uint8)
+        wide[:, 0, :3], wide[:, 1, :6] = raw[:, :3], raw[:, 3:9]
+        key, node = np.ascontiguousarray(wide.view("<u8")[:, :, 0]).T
+        code = np.ascontiguousarray(raw[:, 9:]).view("<u2")[:, 0]
+        by = np.lexsort((node, key))
+        key, node, code = key[by], node[by], code[by]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+        key, node, code = key[new], node[new], code[new]
+        out = np.zeros(len(key), ENTRY)
+        if bucket >= buckets:
+            out["length"] = counts[key.astype(np.int64)]
+            key = key | _LONG
+        else:
+            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            out["length"] = np.repeat(np.diff(np.append(first, len(key))), np.diff(np.append(first, len(key))))
+            key = key | np.uint64(bucket << 24)
+        out["key"], out["node"], out["size"] = key, node, code
+        out = out[out["length"] > 1]
+        ready.append(out)
+        held += len(out)
+        if held >= 1 << 19:
+            out = np.concatenate(ready)
+            yield _rows((mixed(out["node"].copy()) % np.uint64(buckets)).astype(np.int64), out)
+            ready, held = [], 0
+    if held:
+        out = np.concatenate(ready)
+        yield _rows((mixed(out["node"].copy()) % np.uint64(buckets)).astype(np.int64), out)
+
+
+def _short_lists(percent: int, buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of documents with T lists or more, the postings in all but their T - 1 longest lists, dealt by list."""
+    for _, packed in _gathered(batches):
+        e = np.frombuffer(packed, ENTRY)
+        e = e[np.lexsort((e["key"], e["length"], e["node"]))]
+        new = np.ones(len(e), bool)
+        new[1:] = (e["node"][1:] != e["node"][:-1]) | (e["key"][1:] != e["key"][:-1])
+        e = e[new]
+        first = np.flatnonzero(np.concatenate(([True], e["node"][1:] != e["node"][:-1])))
+        count = np.diff(np.append(first, len(e)))
+        short = count - -(-percent * size_of(e["size"][first]) // 100) + 1
+        e = e[np.arange(len(e)) - np.repeat(first, count) < np.repeat(short, count)]
+        if len(e):
+            part = np.where(e["key"] >= _LONG, e["node"] % np.uint64(SPLITS), np.uint64(0))
+            yield _rows((mixed(e["key"] + part * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets))
+                        .astype(np.int64), e)
 
 
 class Forest:
@@ -158,27 +245,25 @@ class Forest:
         self.up[max(x, y)] = min(x, y)
 
 
-def list_ties(keys: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, percent: int,
-              split: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def list_ties(e: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges that tie the documents of each list together, where sizes allow a link.
 
-    Parts of a list that was split are also tied to a node made from their shingle.
+    Parts of a very long list are also tied to a node made from its key.
     """
-    by = np.lexsort((nodes, sizes, keys))
-    keys, nodes, sizes, split = keys[by], nodes[by], sizes[by].astype(np.int64), split[by]
-    same = (keys[1:] == keys[:-1]) & (nodes[1:] != nodes[:-1]) & (100 * sizes[:-1] >= percent * sizes[1:])
-    a, b = nodes[:-1][same], nodes[1:][same]
-    heads = split.copy()
-    heads[1:] &= ~((keys[1:] == keys[:-1]) & (100 * sizes[:-1] >= percent * sizes[1:]))
-    return np.concatenate((a, nodes[heads])), np.concatenate((b, mixed(keys[heads] + np.uint64(5)).view(np.int64)))
-
-
-def _ties(percent: int, order: Order, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def ties(rows: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
-        keys, nodes, sizes = (np.frombuffer(b"".join(x), kind) for x, kind in zip(zip(*rows), ("<u8", "<i8", "<u4")))
-        a, b = list_ties(keys, nodes, sizes, percent, order.count(keys) >= SPLIT_FROM)
-        a, b = np.minimum(a, b), np.maximum(a, b)
-        pairs = np.unique(np.stack((a, b), 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+    size = size_of(e["size"])
+    by = np.lexsort((e["node"], size, e["key"]))
+    keys, nodes, size = e["key"][by], e["node"][by], size[by]
+    near = (keys[1:] == keys[:-1]) & (1001 * size[:-1] >= 10 * percent * size[1:])
+    heads = keys >= _LONG
+    heads[1:] &= ~near
+    marks = mixed(keys[heads] + np.uint64(5)) >> np.uint64(2) | _LONG
+    return np.concatenate((nodes[:-1][near], nodes[heads])), np.concatenate((nodes[1:][near], marks))
+
+
+def _ties(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, packed in _gathered(batches):
+        a, b = list_ties(np.frombuffer(packed, ENTRY), percent)
+        pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), 1), axis=0)
         # Only what connects: a tree of each tied set.
         names, places = np.unique(pairs, return_inverse=True)
         forest = Forest(len(names))
@@ -186,18 +271,8 @@ def _ties(percent: int, order: Order, batches: Iterator[pa.RecordBatch]) -> Iter
             forest.join(x, y)
         roots = np.array([forest.root(x) for x in range(len(names))], np.int64)
         kept = roots != np.arange(len(names))
-        return pa.RecordBatch.from_arrays([pa.array(names[roots[kept]]), pa.array(names[kept])], ["a", "b"])
-
-    bucket, held = None, []
-    for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "keys", "nodes", "sizes"))):
-            if row[0] != bucket and held:
-                yield ties(held)
-                held = []
-            bucket = row[0]
-            held.append(row[1:])
-    if held:
-        yield ties(held)
+        names = names.astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(names[roots[kept]]), pa.array(names[kept])], ["a", "b"])
 
 
 def _members(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,14 +356,17 @@ def _links(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         yield links(held)
 
 
-def _sample_order(texts: DataFrame, size: int, documents: int, sample: int) -> Order:
+def _long_lists(texts: DataFrame, size: int, documents: int, sample: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many documents of a bounded sample have, and their expected list lengths."""
     share = min(1.0, sample / max(1, documents))
     part = texts.where(F.pmod(F.xxhash64("doc_id", "mark"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    # At most as many as the sampled documents have shingles, over LONG_FROM; keys and counts go to all tasks.
     found = (part.select("text").mapInArrow(partial(_sampled, size), "shingle bigint")
-             .groupBy("shingle").count().where("count > 1").toPandas())
+             .groupBy("shingle").count().where(F.col("count") >= LONG_FROM).toPandas())
     keys = found["shingle"].to_numpy().astype(np.int64).view(np.uint64)
     by = np.argsort(keys)
-    return Order(keys[by], found["count"].to_numpy()[by])
+    counts = np.minimum(found["count"].to_numpy()[by] / share, 2**32 - 1).astype(np.uint32)
+    return keys[by][:1 << 24], counts
 
 
 def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, sample: int = SAMPLE_DOCS) -> DataFrame:
@@ -306,20 +384,22 @@ def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, sample
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"),
                         F.hash(F.coalesce("text", F.lit(""))).alias("mark"), "text")
     sets = stored(texts.mapInArrow(partial(_sets, size), SETS), "jaccard-sets")
-    order = _sample_order(texts, size, sets.count(), sample)
+    long, counts = _long_lists(texts, size, sets.count(), sample)
     nodes = stored(sets.where("node is not null").groupBy("node").agg(
         F.min(F.struct("doc_id", "mark")).alias("at"), F.min("doc_id").alias("least")), "jaccard-nodes")
 
-    buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ties = stored(texts.mapInArrow(partial(_postings, size, percent, order, buckets), POSTINGS)
-                  .repartition("bucket").sortWithinPartitions("bucket")
-                  .mapInArrow(partial(_ties, percent, order), "a bigint, b bigint"), "jaccard-ties")
+    buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    entries = texts.mapInArrow(partial(_postings, size, long, buckets), PACKED)
+    for step in (partial(_lists, counts, buckets), partial(_short_lists, percent, buckets)):
+        entries = entries.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(step, PACKED)
+    ties = stored(entries.repartition("bucket").sortWithinPartitions("bucket")
+                  .mapInArrow(partial(_ties, percent), "a bigint, b bigint"), "jaccard-ties")
     groups = stored(components(ties, "jaccard-groups"), "jaccard-groups")
 
-    # A node's first half is its name among the ties.
-    half = F.conv(F.hex(F.substring("node", 1, 8)), 16, -10).cast("bigint")
-    grouped = nodes.select("node", "at", half.alias("half")).join(
-        groups.select(F.col("node").alias("half"), F.col("component").alias("grp")), "half")
+    # A node's first bytes are its name among the ties.
+    name = F.conv(F.hex(F.substring("node", 1, 6)), 16, 10).cast("bigint")
+    grouped = nodes.select("node", "at", name.alias("name")).join(
+        groups.select(F.col("node").alias("name"), F.col("component").alias("grp")), "name")
     counts = grouped.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     blocks = F.greatest(F.least(F.lit(BLOCKS), F.ceil(F.col("n") / BLOCK_ROWS)), F.ceil(F.col("n") / MOST_BLOCK_ROWS))
     wanted = (grouped.join(counts.select("grp", blocks.cast("int").alias("blocks")), "grp")

@@ -35,7 +35,7 @@ def brute(rows):
 @pytest.mark.parametrize("block,split", [(128, 12), (3, 2)])
 def test_brute_force(spark, monkeypatch, block, split):
     monkeypatch.setattr(jaccard, "BLOCK_ROWS", block)
-    monkeypatch.setattr(jaccard, "SPLIT_FROM", split)
+    monkeypatch.setattr(jaccard, "LONG_FROM", split)
     rows = texts(block, 90)
     docs = frame(spark, rows)
     want = brute(rows)
