@@ -18,8 +18,9 @@ lets most suffixes drop out early, and treat suffixes that stay neighbours toget
 
 The first two passes are aggregations with partial sums, and the joins back to runs may
 split hot keys. The last ones sort the runs of a first digit in one task as long as those
-are few; strings of a first digit with many different runs are counted by an aggregation
-instead. Digits are 64-bit hashes, refined pass by pass: a second digit only counts within
+are few. Many different runs of a first digit are cut into cells of neighbouring strings, whose
+common bytes and whose whole bytes are two more digits, counted by aggregations; only strings
+of cells that these leave open are counted one by one. Digits are 64-bit hashes, refined pass by pass: a second digit only counts within
 its first, and single strings agree in all digits that cover them.
 """
 
@@ -46,6 +47,10 @@ RUNS = "doc_id bigint, mark int, low int, size int, digit bigint, stretch bigint
 CUTS = "doc_id bigint, mark int, low int, again boolean, digit bigint, hot boolean, bytes binary"
 STRINGS = "doc_id bigint, mark int, low int, start int, again boolean, s1 bigint, s2 bigint"
 EDGES = "doc_id bigint, mark int, begin int, end int"
+CELLS = ("doc_id bigint, mark int, low int, count int, again boolean, digit bigint, cell int, core bigint, "
+         "whole bigint, bytes binary")
+# Strings of a cell; cells are counted from the first digit, so that equal strings lie in equal ones.
+CELL = 8
 # Different runs of one first digit whose strings are sorted in one task, and rows sorted together.
 HOT_RUNS = 256
 SORTED_ROWS = 8192
@@ -207,6 +212,69 @@ def _strings(length: int):
     return run
 
 
+def _cells(length: int):
+    """Cells of runs, with the bytes that all strings of a cell hold (core) and, of full ones, all bytes."""
+    width = digit_width(length)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for all_rows in batches:
+            for part in range(0, all_rows.num_rows, 2000):
+                batch = all_rows.slice(part, 2000)
+                data, starts = text_bytes(batch.column("bytes"))
+                data, starts = data[starts[0]:starts[-1]], starts - starts[0]
+                keys, begin = digits(data, width), starts[:-1]
+                strings = np.diff(starts) - length + 1
+                place = least_places(keys, length - width + 1)[begin] - begin
+                least = -place // CELL
+                count = (strings - 1 - place) // CELL - least + 1
+                row = np.repeat(np.arange(len(begin)), count)
+                cell = least[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                at = cell * CELL + place[row]
+                first, last = np.maximum(at, 0), np.minimum(at + CELL, strings[row])
+                core = spans_hash(keys, width, begin[row] + at + CELL - 1,
+                                  np.full(len(row), length - CELL + 1), MIX_A)
+                full = last - first == CELL
+                whole = np.zeros(len(row), np.uint64)
+                whole[full] = spans_hash(keys, width, begin[row][full] + first[full],
+                                         np.full(int(full.sum()), length + CELL - 1))
+                cuts = [data[i:j].tobytes() for i, j in zip(begin[row] + first, begin[row] + last - 1 + length)]
+                low = batch.column("low").to_numpy()[row] + first
+                row = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(row), batch.column("mark").take(row), pa.array(low.astype(np.int32)),
+                     pa.array((last - first).astype(np.int32)), batch.column("again").take(row),
+                     batch.column("digit").take(row), pa.array(cell.astype(np.int32)), pa.array(core.view(np.int64)),
+                     pa.array(whole.view(np.int64), mask=~full), pa.array(cuts, pa.binary())],
+                    ["doc_id", "mark", "low", "count", "again", "digit", "cell", "core", "whole", "bytes"])
+
+    return run
+
+
+def _hot_edges(runs: DataFrame, length: int) -> DataFrame:
+    """EDGES of the runs of first digits that have many, without gathering a digit's runs."""
+    weight = F.sum(F.when(F.col("again"), 2).otherwise(1))
+    cells = stored(runs.mapInArrow(_cells(length), CELLS), "suffix-cells")
+    cores = cells.groupBy("digit", "cell", "core").agg(weight.alias("n")).where("n > 1").drop("n")
+    cells = stored(cells.join(cores, ["digit", "cell", "core"]), "suffix-cores")
+    full = cells.where("whole is not null")
+    wholes = stored(full.groupBy("digit", "cell", "whole").agg(weight.alias("n"), F.min("bytes").alias("bytes"))
+                    .where("n > 1"), "suffix-wholes")
+    key = ["digit", "cell", "whole"]
+    done = full.where("not again").join(wholes.select(*key), key).select(
+        "doc_id", "mark", F.col("low").alias("begin"), (F.col("low") + F.col("count") - 1 + length).alias("end"))
+    names = ["doc_id", "mark", "low", "again", "bytes"]
+    rest = (cells.where("whole is null").select(*names)
+            .union(full.join(wholes.select(*key), key, "left_anti").select(*names))
+            # Strings of a repeated cell may be those of an open one, so that one of each counts too.
+            .union(wholes.select(F.lit(None).cast("bigint"), F.lit(0), F.lit(0), F.lit(True), "bytes")))
+    strings = rest.mapInArrow(_strings(length), STRINGS)
+    twice = strings.groupBy("s1", "s2").agg(weight.alias("n")).where("n > 1").select("s1", "s2")
+    single = (strings.where("not again").join(twice, ["s1", "s2"]).groupBy("doc_id", "mark", "low")
+              .agg(F.min("start").alias("begin"), (F.max("start") + length).alias("end"))
+              .select("doc_id", "mark", "begin", "end"))
+    return done.union(single)
+
+
 def sorted_edges(rows: pa.RecordBatch, length: int, width: int) -> pa.RecordBatch:
     """What the repeated strings of runs cover, from passes over the digits of all their strings.
 
@@ -314,13 +382,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                   .mapInArrow(_cut_runs, CUTS), "suffix-cuts")
     few = (cuts.where("not hot").repartition("digit").sortWithinPartitions("digit")
            .mapInArrow(_edges(length), EDGES))
-    strings = cuts.where("hot").mapInArrow(_strings(length), STRINGS)
-    twice = (strings.groupBy("s1", "s2").agg(F.sum(F.when(F.col("again"), 2).otherwise(1)).alias("n"))
-             .where("n > 1").select("s1", "s2"))
-    many = (strings.where("not again").join(twice, ["s1", "s2"]).groupBy("doc_id", "mark", "low")
-            .agg(F.min("start").alias("begin"), (F.max("start") + length).alias("end"))
-            .select("doc_id", "mark", "begin", "end"))
-    edges = few.union(many)
+    edges = few.union(_hot_edges(cuts.where("hot"), length))
     spans = whole.union(again).select("doc_id", "mark", F.col("low").alias("begin"),
                                       (F.col("low") + F.col("size")).alias("end"))
     return stored(spans.union(edges), "suffix-spans")
