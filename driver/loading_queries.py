@@ -71,8 +71,7 @@ def plan_dimension(s, d):
 def customer_dimension(s, d):
     """Numbered by sorted parts, as a large dimension is."""
     who = ["customerID", "gender", "SeniorCitizen", "Partner", "Dependents", "tenure"]
-    return number_in_order(staged_customer(s, d).select(*who), ["customerID"], "customer_key",
-                           max_rows=0)
+    return number_in_order(staged_customer(s, d).select(*who), ["customerID"], "customer_key")
 
 
 def simple_dimensions(s, d):

@@ -6,17 +6,17 @@ from driver.raw import STAGED_CUSTOMER_SQL, STAGED_NETWORK_SQL, warehouse
 from driver.sql import KPIS, avg, kpi_avgs, rnd
 from starcell.operators import telemetry
 from starcell.operators.cube import CustomerCube, NetworkCube
-from starcell.plans.marts import EXACT_DIGITS
 
-SIX = dict.fromkeys(KPIS, EXACT_DIGITS)
+# Decimals of the loaded marts.
+SIX = dict.fromkeys(KPIS, 6)
 
 
 def customers(s, d) -> CustomerCube:
-    return CustomerCube(warehouse(s, d).customer_star())
+    return CustomerCube(warehouse(s, d).customer_star(), (6, 6))
 
 
 def network(s, d) -> NetworkCube:
-    return NetworkCube(warehouse(s, d).network_star())
+    return NetworkCube(warehouse(s, d).network_star(), SIX)
 
 
 QUERIES = {

@@ -134,12 +134,12 @@ def kmeans_inputs(s, d):
 
 @lru_cache(maxsize=4)
 def chosen_model(s, d):
-    return clusters.best_model(kmeans_inputs(s, d), clusters.SELECTED_K, restarts=3)
+    return clusters.best_model(kmeans_inputs(s, d), clusters.SELECTED_K)
 
 
 @lru_cache(maxsize=4)
 def sweep(s, d):
-    return clusters.k_sweep(kmeans_inputs(s, d), restarts=2)
+    return clusters.k_sweep(kmeans_inputs(s, d))
 
 
 def assigned(s, d):
@@ -198,7 +198,7 @@ QUERIES = {
     "e11_confusion": lambda s, d: churn.confusion(predictions(s, d)),
     "e12_metrics": lambda s, d: churn.classification_metrics(churn.confusion(predictions(s, d))),
     "e13_roc_auc": lambda s, d: churn.roc_auc(predictions(s, d)),
-    "e13_roc_auc_by_parts": lambda s, d: churn.roc_auc(predictions(s, d), max_rows=0),
+    "e13_roc_auc_by_parts": lambda s, d: churn.roc_auc(predictions(s, d).repartition(5)),
     "e14_feature_table": lambda s, d: trained(s, d).features(s),
     "e14_feature_ranks": ranked_levels,
     "e15_saved_models": persisted,
@@ -272,24 +272,28 @@ def _stats(columns: dict, source: str) -> str:
     return f"SELECT {', '.join(parts)} FROM {source}"
 
 
+# Equal profiles are counted first; items of a profile stand for that many rows.
 _ITEMS = f"""{STAGED_CUSTOMER_SQL},
-profile AS (SELECT customerID AS id, {", ".join(PLAN_COLUMNS)},
-  CASE WHEN churn_flag = 1 THEN 'Yes' ELSE 'No' END AS Churn FROM staged),
-items AS ({" UNION ALL ".join(f"SELECT id, '{c}=' || {c} AS item FROM profile" for c in (*PLAN_COLUMNS, "Churn"))})"""
+profile AS MATERIALIZED (SELECT row_number() OVER () AS id, * FROM (
+  SELECT {", ".join(PLAN_COLUMNS)}, CASE WHEN churn_flag = 1 THEN 'Yes' ELSE 'No' END AS Churn, count(*) AS w
+  FROM staged GROUP BY ALL)),
+items AS MATERIALIZED ({" UNION ALL ".join(
+    f"SELECT id, w, '{c}=' || {c} AS item FROM profile" for c in (*PLAN_COLUMNS, "Churn"))})"""
 
 
 def _sets(items_cte: str, support: float) -> str:
-    """Frequent sets of one to three items by self joins."""
+    """Frequent sets of one to three items by self joins of the profiles' frequent items."""
     return f"""{items_cte},
-total AS (SELECT count(DISTINCT id)::DOUBLE AS n FROM items),
-one AS (SELECT item AS a, count(*) AS c FROM items GROUP BY item),
-two AS (SELECT x.item AS a, y.item AS b, count(*) AS c FROM items x JOIN items y
+total AS MATERIALIZED (SELECT sum(w)::DOUBLE AS n FROM profile),
+one AS MATERIALIZED (SELECT item AS a, sum(w) AS c FROM items, total GROUP BY item, n HAVING sum(w) / n >= {support}),
+kept AS MATERIALIZED (SELECT id, w, item FROM items JOIN one ON item = a),
+two AS MATERIALIZED (SELECT x.item AS a, y.item AS b, sum(x.w) AS c FROM kept x JOIN kept y
   ON x.id = y.id AND x.item < y.item GROUP BY ALL),
-three AS (SELECT x.item AS a, y.item AS b, z.item AS d, count(*) AS c FROM items x JOIN items y
-  ON x.id = y.id AND x.item < y.item JOIN items z ON x.id = z.id AND y.item < z.item GROUP BY ALL),
+three AS MATERIALIZED (SELECT x.item AS a, y.item AS b, z.item AS d, sum(x.w) AS c FROM kept x JOIN kept y
+  ON x.id = y.id AND x.item < y.item JOIN kept z ON x.id = z.id AND y.item < z.item GROUP BY ALL),
 sets AS (SELECT [a] AS s, c FROM one UNION ALL SELECT [a, b], c FROM two
   UNION ALL SELECT [a, b, d], c FROM three),
-frequent AS (SELECT s, c, c / n AS support FROM sets, total WHERE c / n >= {support})"""
+frequent AS MATERIALIZED (SELECT s, CAST(c AS BIGINT) AS c, c / n AS support FROM sets, total WHERE c / n >= {support})"""
 
 
 def _rules(items_cte: str, support: float, confidence: float, lift: float, target: str | None) -> str:
@@ -309,9 +313,10 @@ rules AS (SELECT array_to_string(lhs, ' & ') AS antecedent, consequent, {rnd("su
 _CHURN_RULES = _rules(_ITEMS, target=rules.TARGET, support=RULE_LIMITS["min_support"],
                       confidence=RULE_LIMITS["min_confidence"], lift=RULE_LIMITS["min_lift"])
 _LINE_NAMES = ("o_orderpriority", "o_orderstatus", "p_type", "l_linestatus", "l_returnflag")
-_LINE_ITEMS = f"""profile AS (SELECT row_number() OVER () AS id, {", ".join(_LINE_NAMES)} FROM lineitem
-  JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
-items AS ({" UNION ALL ".join(f"SELECT id, '{c}=' || {c} AS item FROM profile" for c in _LINE_NAMES)})"""
+_LINE_ITEMS = f"""profile AS MATERIALIZED (SELECT row_number() OVER () AS id, * FROM (
+  SELECT {", ".join(_LINE_NAMES)}, count(*) AS w FROM lineitem
+  JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY ALL)),
+items AS MATERIALIZED ({" UNION ALL ".join(f"SELECT id, w, '{c}=' || {c} AS item FROM profile" for c in _LINE_NAMES)})"""
 
 
 def _one_hot() -> str:
@@ -378,8 +383,10 @@ SELECT *, {rnd("(observation_count / sum(observation_count) OVER () * 100.0::DOU
     WHEN signal_strength_dbm < -85 THEN 'Weak Signal / Cell Edge (Coverage Gap)'
     WHEN throughput_mbps > 400 THEN 'Optimal High-Performance 5G Core'
     ELSE 'Healthy Baseline Operation (Normal QoS)' END AS operational_interpretation FROM p""",
-    "f9_transactions": f"WITH {_ITEMS} SELECT id AS customerID, string_agg(item, ' & ' ORDER BY item) AS items "
-                       "FROM items GROUP BY id",
+    "f9_transactions": f"WITH {STAGED_CUSTOMER_SQL}, items AS (" + " UNION ALL ".join(
+        f"SELECT customerID, '{c}=' || {x} AS item FROM staged" for c, x in (
+            *((c, c) for c in PLAN_COLUMNS), ("Churn", "CASE WHEN churn_flag = 1 THEN 'Yes' ELSE 'No' END")))
+        + ") SELECT customerID, string_agg(item, ' & ' ORDER BY item) AS items FROM items GROUP BY customerID",
     "f10_frequent_itemsets": f"WITH {_sets(_ITEMS, 0.05)} SELECT array_to_string(s, ' & ') AS itemset, "
                              "CAST(len(s) AS INTEGER) AS items, c AS row_count, support FROM frequent",
     "f11_association_rules": f"WITH {_CHURN_RULES} SELECT * FROM rules",

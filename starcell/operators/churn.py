@@ -23,12 +23,12 @@ from starcell.operators.features import Preprocessor
 from starcell.operators.quality import null_counts, require_zero
 from starcell.plans.marts import PLAN_COLUMNS
 from starcell.plans.ordering import totals_before
-from starcell.plans.sizing import BROADCAST_ROWS, broadcast_if_small
+from starcell.plans.sizing import broadcast_if_small
 from starcell.session import write_and_read
 
 TARGET = "churn_flag"
 IDENTIFIERS = ("customerID",)
-NUMERIC = {"tenure": 0, "monthly_charges": 6, "total_charges": 6}
+NUMERIC = {"tenure": 0, "monthly_charges": None, "total_charges": None}
 CATEGORICAL = ("gender", "SeniorCitizen", "Partner", "Dependents", *PLAN_COLUMNS, "tenure_band")
 
 # Texts for the direction of a coefficient beyond +-0.05.
@@ -91,36 +91,51 @@ def split_quotas(sizes: DataFrame, label: str, test_size: float) -> DataFrame:
     return rows.select(label, (F.col("__low") + extra).alias("quota"))
 
 
+def _quota_edges(counts: DataFrame, quotas: DataFrame, label: str, part: str) -> DataFrame:
+    """Per class: the bucket in which its quota ends, and what is left of the quota before it.
+
+    `counts` has (label, part, n), of which there are few per class.
+    """
+    ordered = Window.partitionBy(label).orderBy(part)
+    upto = counts.withColumn("__upto", F.sum("n").over(ordered))
+    edges = upto.join(quotas, label).where(
+        (F.col("__upto") >= F.col("quota")) & (F.col("__upto") - F.col("n") < F.col("quota")))
+    return edges.select(label, part, (F.col("quota") - F.col("__upto") + F.col("n")).alias("quota"))
+
+
 def stratified_split(df: DataFrame, label: str, key: str, test_size: float = 0.2, seed: int = 42,
                      bucket_digits: int = 4) -> DataFrame:
     """Exact split per class: the rows with the smallest hashes are the test set.
 
     Rows are counted per class and hash bucket. The quota of a class ends inside one
-    bucket; buckets before it are test, those after it train, and only the rows of
-    that bucket (one in 16^bucket_digits) are ranked. No class passes through a task.
+    bucket; buckets before it are test, those after it train. The rows of that bucket are
+    counted by the next digits of their hash, and only those of the bucket in which the
+    quota ends then (one row in 16^(2 * bucket_digits)) are ranked. No class passes
+    through a task.
     """
     arguments.number(test_size, "test_size", 0.0, 1.0)
-    hashed = df.withColumn("__hash", split_hash(key, seed))
-    hashed = hashed.withColumn("__bucket", F.substring("__hash", 1, bucket_digits))
-    held = hashed.groupBy(label, "__bucket").agg(F.count(F.lit(1)).alias("n"))
-    # At most 16^bucket_digits rows per class from here on.
-    held = write_and_read(held, "split-buckets")
+    hashed = df.withColumn("__hash", split_hash(key, seed)).withColumns({
+        "__bucket": F.substring("__hash", 1, bucket_digits),
+        "__fine": F.substring("__hash", bucket_digits + 1, bucket_digits)})
+    held = write_and_read(hashed.groupBy(label, "__bucket").agg(F.count(F.lit(1)).alias("n")), "split-buckets")
     sizes = held.groupBy(label).agg(F.sum("n").alias("class_rows"))
-    ordered = Window.partitionBy(label).orderBy("__bucket")
-    upto = held.withColumn("__upto", F.sum("n").over(ordered))
-    edges = upto.join(split_quotas(sizes, label, test_size), label).where(
-        (F.col("__upto") >= F.col("quota")) & (F.col("__upto") - F.col("n") < F.col("quota")))
-    edges = edges.select(F.col(label).alias("__label"), F.col("__bucket").alias("__edge"),
-                         (F.col("quota") - F.col("__upto") + F.col("n")).alias("__left"))
-    rows = hashed.join(broadcast_if_small(edges), hashed[label] == edges["__label"], "left")
-    on_edge = F.coalesce(F.col("__bucket") == F.col("__edge"), F.lit(False))
-    clear = rows.where(~on_edge).withColumn(
-        "split", F.when(F.col("__bucket") < F.col("__edge"), "test").otherwise("train"))
+    edges = write_and_read(_quota_edges(held, split_quotas(sizes, label, test_size), label, "__bucket"),
+                           "split-edges")
+    fine = (hashed.join(broadcast_if_small(edges.drop("quota")), [label, "__bucket"])
+            .groupBy(label, "__fine").agg(F.count(F.lit(1)).alias("n")))
+    ends = _quota_edges(fine, edges.select(label, "quota"), label, "__fine")
+    ends = write_and_read(edges.drop("quota").join(ends, label).select(
+        F.col(label).alias("__label"), F.col("__bucket").alias("__edge"), F.col("__fine").alias("__end"),
+        F.col("quota").alias("__left")), "split-ends")
+    rows = hashed.join(broadcast_if_small(ends), hashed[label] == ends["__label"], "left")
+    place, edge = F.concat("__bucket", "__fine"), F.concat("__edge", "__end")
+    on_edge = F.coalesce(place == edge, F.lit(False))
+    clear = rows.where(~on_edge).withColumn("split", F.when(place < edge, "test").otherwise("train"))
     rank = F.row_number().over(Window.partitionBy(label).orderBy("__hash", key))
-    edge = rows.where(on_edge).withColumn("__rank", rank).withColumn(
+    last = rows.where(on_edge).withColumn("__rank", rank).withColumn(
         "split", F.when(F.col("__rank") <= F.col("__left"), "test").otherwise("train"))
     names = [*df.columns, "split"]
-    return clear.select(*names).unionByName(edge.select(*names))
+    return clear.select(*names).unionByName(last.select(*names))
 
 
 def class_distribution(df: DataFrame, label: str = TARGET, split: str = "split") -> DataFrame:
@@ -130,19 +145,18 @@ def class_distribution(df: DataFrame, label: str = TARGET, split: str = "split")
     return counts.withColumn("share_pct", round_half_up(F.col("row_count") / whole * 100.0, 2))
 
 
-def balanced_weights(df: DataFrame, label: str = TARGET) -> dict:
-    """Weight per class: rows / (classes * rows of the class)."""
-    counts = {r[label]: r["n"] for r in
-              df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).take(1000)}
-    total = sum(counts.values())
-    return {c: total / (len(counts) * n) for c, n in counts.items()}
+def balanced_weights(df: DataFrame, label: str = TARGET) -> DataFrame:
+    """(label, weight) per class: rows / (classes * rows of the class)."""
+    counts = write_and_read(df.groupBy(label).agg(F.count(F.lit(1)).alias("n")), "class-counts")
+    rows, classes = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    return counts.select(label, (F.lit(float(rows)) / (F.lit(float(classes)) * F.col("n"))).alias("weight"))
 
 
-def with_weights(df: DataFrame, weights: Mapping, label: str = TARGET) -> DataFrame:
-    chosen = F.lit(None).cast("double")
-    for value, weight in weights.items():
-        chosen = F.when(F.col(label) == value, weight).otherwise(chosen)
-    return df.withColumn("weight", chosen)
+def with_weights(df: DataFrame, weights: DataFrame, label: str = TARGET) -> DataFrame:
+    """Adds each row's class weight; a class without one, NULL included, has none."""
+    side = weights.withColumnRenamed(label, "__class")
+    joined = df.drop("weight").join(broadcast_if_small(side), F.col(label) == F.col("__class"), "left")
+    return joined.drop("__class")
 
 
 def fit_logistic(train: DataFrame, label: str = TARGET, strength: float = 1.0,
@@ -193,8 +207,7 @@ def classification_metrics(matrix: DataFrame) -> DataFrame:
     })
 
 
-def roc_auc(df: DataFrame, label: str = TARGET, probability: str = "probability",
-            max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def roc_auc(df: DataFrame, label: str = TARGET, probability: str = "probability") -> DataFrame:
     """Area under the ROC curve with ties counted half, in one row.
 
     Rows are counted per distinct score first; the negatives below each score then
@@ -203,7 +216,7 @@ def roc_auc(df: DataFrame, label: str = TARGET, probability: str = "probability"
     groups = df.groupBy(F.col(probability).alias("score")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
     groups = write_and_read(groups, "scores")
-    ranked = totals_before(groups, ["score"], "neg", "below", max_rows)
+    ranked = totals_before(groups, ["score"], "neg", "below")
     pos, neg, below = (F.col(c).cast("decimal(19,0)") for c in ("pos", "neg", "below"))
     area = ranked.agg(F.sum(pos * (below * 2 + neg)).alias("area"), F.sum("pos").alias("p"),
                       F.sum("neg").alias("n"))

@@ -329,7 +329,7 @@ def alert_onsets(df: DataFrame, cell: str = "cell_id", ts: str = "timestamp",
         F.lag("__last.__active").over(per_cell).alias("__carried"))
     within = Window.partitionBy(cell, "__chunk").orderBy(*order)
     rows = rows.withColumn("__before", F.lag("__active").over(within))
-    rows = rows.join(carried, (rows[cell] == carried["__cell"])
+    rows = rows.join(carried, rows[cell].eqNullSafe(carried["__cell"])
                      & (rows["__chunk"] == carried["__at"]), "left")
     before = F.coalesce("__before", "__carried", F.lit(0))
     fresh = F.array(*[_alert(kind, limits, _past(kind, limits) & (before.bitwiseAND(F.lit(bit)) == 0))

@@ -12,7 +12,7 @@ from starcell.functions.timeparts import calendar_parts
 from starcell.operators import quality
 from starcell.plans.marts import KPIS, PLAN_COLUMNS
 from starcell.plans.ordering import number_in_order
-from starcell.plans.sizing import BROADCAST_ROWS, broadcast_if_small
+from starcell.plans.sizing import broadcast_if_small
 from starcell.session import write_and_read
 from starcell.sources.warehouse import Warehouse
 
@@ -72,11 +72,11 @@ def stage_network(raw: DataFrame, strict: bool = True) -> DataFrame:
 
 
 def build_dimension(staged: DataFrame, columns: Sequence[str | Column], natural: Sequence[str],
-                    key: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+                    key: str) -> DataFrame:
     """Distinct members with a surrogate key in natural-key order."""
     # Stored, so that counting and numbering do not each scan the staged rows.
     members = write_and_read(staged.select(*columns).distinct(), "members")
-    return number_in_order(members, natural, key, max_rows)
+    return number_in_order(members, natural, key)
 
 
 def resolve_keys(staged: DataFrame, dimensions: Mapping[str, tuple[DataFrame, Mapping[str, str]]],

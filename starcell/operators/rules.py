@@ -16,9 +16,6 @@ from starcell.session import write_and_read
 
 TARGET = "Churn=Yes"
 
-# Items worth collecting to thin out baskets; with more, baskets stay as they are.
-PRUNE_ITEMS = 5_000
-
 
 def item_array(columns: Mapping[str, Column]) -> Column:
     """Sorted distinct `name=value` items; a NULL value gives no item."""
@@ -54,41 +51,42 @@ def churn_baskets(fact: DataFrame, plan: DataFrame) -> DataFrame:
     return baskets(rows, {**{c: F.col(c) for c in PLAN_COLUMNS}, "Churn": churn}, F.col("n"))
 
 
-def _combinations(items: Column, longest: int) -> Column:
-    """All subsets of 1 to `longest` items, each sorted."""
-    level = F.transform(items, lambda item: F.array(item))
-    levels = [level]
-    for _ in range(1, longest):
-        level = F.flatten(F.transform(level, lambda chosen: F.transform(
-            F.filter(items, lambda item: item > F.element_at(chosen, -1)),
-            lambda item: F.array_append(chosen, item))))
-        levels.append(level)
-    return F.flatten(F.array(*levels)) if len(levels) > 1 else level
+def _grown(sets: Column) -> Column:
+    """Sets of one more item from sorted ones of a basket: two that agree in all but the last item join."""
+    def beginning(chosen: Column) -> Column:
+        return F.slice(chosen, 1, F.size(chosen) - 1)
+
+    return F.flatten(F.transform(sets, lambda one: F.transform(
+        F.filter(sets, lambda two: (beginning(one) == beginning(two))
+                 & (F.element_at(two, -1) > F.element_at(one, -1))),
+        lambda two: F.array_append(one, F.element_at(two, -1)))))
 
 
 def frequent_itemsets(counted: DataFrame, min_support: float = 0.05, max_items: int = 3) -> DataFrame:
     """Item sets up to `max_items` held by at least a share `min_support` of all rows.
 
-    `counted` holds (items, weight). Rare items are dropped from the baskets, then
-    the subsets of each basket are counted with map-side combining.
+    `counted` holds (items, weight). Sets grow by one item at a time: a basket keeps those
+    of its sets that are frequent, found by a join, and makes longer ones of them alone.
+    Counting combines map-side, and no list of items leaves the cluster.
     """
     min_support = arguments.number(min_support, "min_support", 0.0, 1.0)
     max_items = arguments.whole_number(max_items, "max_items", 1)
-    counted = write_and_read(counted, "baskets")
-    size = counted.agg(F.sum("weight")).first()[0] or 0
+    baskets_of = write_and_read(counted.groupBy("items").agg(F.sum("weight").alias("weight")), "baskets")
+    size = baskets_of.agg(F.sum("weight")).first()[0] or 0
     share = F.col("row_count") / F.lit(float(size))
-    single = counted.select(F.explode("items").alias("item"), "weight").groupBy("item").agg(
-        F.sum("weight").alias("row_count")).where(share >= min_support)
-    # One item more than is used tells whether the list is complete.
-    frequent = [r["item"] for r in single.select("item").take(PRUNE_ITEMS + 1)]
-    kept = F.col("items")
-    if len(frequent) <= PRUNE_ITEMS:
-        kept = F.array_sort(F.array_intersect(kept, F.lit(frequent).cast("array<string>")))
-    thin = counted.groupBy(kept.alias("items")).agg(F.sum("weight").alias("weight"))
-    sets = thin.select(F.explode(_combinations(F.col("items"), max_items)).alias("itemset"), "weight")
-    return sets.groupBy("itemset").agg(F.sum("weight").alias("row_count")).select(
-        "itemset", F.size("itemset").alias("items"), "row_count", share.alias("support")).where(
-        F.col("support") >= min_support)
+    sets = F.transform("items", lambda item: F.array(item))
+    found = None
+    for length in range(1, max_items + 1):
+        held = baskets_of.select("items", "weight", F.explode(sets).alias("itemset"))
+        frequent = write_and_read(held.groupBy("itemset").agg(F.sum("weight").alias("row_count"))
+                                  .where(share >= min_support), "frequent")
+        found = frequent if found is None else found.unionByName(frequent)
+        if length < max_items:
+            kept = held.join(broadcast_if_small(frequent.select("itemset")), "itemset")
+            baskets_of = write_and_read(kept.groupBy("items").agg(
+                F.first("weight").alias("weight"), F.collect_list("itemset").alias("sets")), "baskets")
+            sets = _grown(F.col("sets"))
+    return found.select("itemset", F.size("itemset").alias("items"), "row_count", share.alias("support"))
 
 
 def association_rules(itemsets: DataFrame, min_confidence: float = 0.35, min_lift: float = 1.2,
@@ -135,20 +133,20 @@ def _wanted(rules: DataFrame, target: str | None, min_confidence: float) -> Data
 
 
 def query_rules(rules: DataFrame, target: str | None = TARGET, min_confidence: float = 0.5,
-                limit: int = 50) -> DataFrame:
-    """The strongest rules that reach a confidence, by lift."""
-    limit = arguments.whole_number(limit, "limit", 1, 500)
-    return ranked(_wanted(rules, target, min_confidence)).limit(limit)
+                limit: int | None = None) -> DataFrame:
+    """The rules that reach a confidence, by lift; `limit` keeps the strongest."""
+    found = ranked(_wanted(rules, target, min_confidence))
+    return found if limit is None else found.limit(arguments.whole_number(limit, "limit", 1))
 
 
 def query_totals(rules: DataFrame, target: str | None = TARGET, min_confidence: float = 0.5,
-                 limit: int = 50) -> DataFrame:
+                 limit: int | None = None) -> DataFrame:
     """How many rules exist and how many `query_rules` returns, in one row."""
-    limit = arguments.whole_number(limit, "limit", 1, 500)
+    most = 2**63 - 1 if limit is None else arguments.whole_number(limit, "limit", 1)
     hits = _wanted(rules.withColumn("__hit", F.lit(1)), target, min_confidence)
     both = rules.select(F.lit(0).alias("__hit")).unionByName(hits.select("__hit"))
     return both.agg(F.count_if(F.col("__hit") == 0).alias("total_rules_available"),
-                    F.least(F.count_if(F.col("__hit") == 1), F.lit(limit)).cast("bigint").alias(
+                    F.least(F.count_if(F.col("__hit") == 1), F.lit(most)).cast("bigint").alias(
                         "filtered_rules_count"))
 
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starcell.functions import arguments
-from starcell.functions.numeric import round_half_up
+from starcell.functions.numeric import as_column, round_half_up
 from starcell.functions.timeparts import stamp_text
 from starcell.plans import measures
 from starcell.plans.marts import KPIS
@@ -25,6 +25,15 @@ def storage_rounding(df: DataFrame) -> DataFrame:
         for kpi, (places, _) in KPIS.items() if kpi in df.columns})
 
 
+def require_cell(star: Star, cell_id: str | None) -> None:
+    """Raise for a cell that the star does not know; at most one row is read back."""
+    if cell_id is None:
+        return
+    home = star.attributes["cell_id"].home
+    known = star.fact if home is None else star.dimensions[home].frame
+    require_key(known, star.attributes["cell_id"].column, cell_id)
+
+
 def _same_text(star: Star, name: str, value: str) -> Condition:
     attribute = star.attributes[name]
     return Condition(F.lower(attribute.column) == arguments.text(value).lower(), attribute.home)
@@ -53,6 +62,7 @@ def filter_options(star: Star) -> DataFrame:
 
 def cell_detail(star: Star, cell_id: str | None = None) -> DataFrame:
     """Observation count with first and last time, of one cell or of all."""
+    require_cell(star, cell_id)
     where = [] if cell_id is None else star.conditions("cell_id", cell_id)
     ts = star.attributes["timestamp"]
     block = [measures.row_count("available_observation_count")]
@@ -67,13 +77,15 @@ def cell_detail(star: Star, cell_id: str | None = None) -> DataFrame:
 
 
 def cell_telemetry(star: Star, cell_id: str, start_time: str | None = None,
-                   end_time: str | None = None, limit: int = 100) -> DataFrame:
-    """The first observations of a cell in an inclusive time range."""
-    limit = arguments.whole_number(limit, "limit", 1, 1000)
+                   end_time: str | None = None, limit: int | None = None) -> DataFrame:
+    """A cell's observations in an inclusive time range, in order; `limit` keeps the first ones."""
+    limit = None if limit is None else arguments.whole_number(limit, "limit", 1)
+    require_cell(star, cell_id)
     where = [*star.conditions("cell_id", cell_id), *star.time_conditions(start_time, end_time)]
     rows = star.rows([*PLACE, "timestamp"], where)
     # All columns in the order make the cut the same on every run.
-    rows = rows.orderBy("timestamp", "technology", *KPIS).limit(limit)
+    rows = rows.orderBy("timestamp", "technology", *KPIS)
+    rows = rows if limit is None else rows.limit(limit)
     return storage_rounding(rows.select(
         stamp_text("timestamp").alias("timestamp"), "region", "cell_id", "technology", *KPIS))
 
@@ -91,6 +103,7 @@ def _summary_block(digits: Mapping[str, int | None]) -> list[measures.Measure]:
 
 def cell_summary(star: Star, digits: Mapping[str, int | None], cell_id: str | None = None) -> DataFrame:
     """Minimum, maximum and average of every KPI, one wide row per cell."""
+    require_cell(star, cell_id)
     where = [] if cell_id is None else star.conditions("cell_id", cell_id)
     return star.aggregate(_summary_block(digits), PLACE, where)
 
@@ -117,10 +130,10 @@ def known_keys(requested: DataFrame, dimension: DataFrame, key: str) -> DataFram
     return wanted.join(dimension.select(key), key, "left_semi")
 
 
-def require_key(dimension: DataFrame, key: str, value: str) -> None:
+def require_key(dimension: DataFrame, key: str | Column, value: str) -> None:
     """Raise when a single key does not exist; at most one row is read back."""
-    if not dimension.where(F.col(key) == value).select(key).take(1):
-        raise ValueError(f"{key} {value!r} does not exist")
+    if dimension.where(as_column(key) == value).limit(1).isEmpty():
+        raise ValueError(f"key {value!r} does not exist")
 
 
 def first_baselines(star: Star, cell_id: str | None = None) -> DataFrame:
@@ -129,6 +142,7 @@ def first_baselines(star: Star, cell_id: str | None = None) -> DataFrame:
     The minimum of (time, values) is one map-side combined aggregate, so a busy
     cell costs one row per task; on equal times the smallest values win.
     """
+    require_cell(star, cell_id)
     where = [] if cell_id is None else star.conditions("cell_id", cell_id)
     ts = star.attributes["timestamp"]
     if ts.home is None:

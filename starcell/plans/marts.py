@@ -53,9 +53,9 @@ PLAN_COLUMNS = {
 # Plan attributes whose filter values are checked; others just match no row.
 CHECKED_NAMES = ("contract", "internet_service", "payment_method")
 
-# Decimals kept by exact sums unless a mart says otherwise: enough for any source
-# that writes up to six.
-EXACT_DIGITS = 6
+# Without declared decimals values are summed as doubles. A mart that knows its decimals
+# declares them, and its sums are exact; values must then have no more, and no NaN.
+EXACT_DIGITS = None
 
 # The seven KPIs: decimals in storage, decimals in a per-cell summary's average.
 KPIS = {

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from starcell.plans.sizing import BROADCAST_ROWS
 from starcell.session import write_and_read
 
 # monotonically_increasing_id holds the part in the bits above these.
@@ -35,24 +34,15 @@ def sorted_parts(rows: DataFrame, order: Sequence, values: Sequence[str] = ()) -
     return placed.join(F.broadcast(starts), "__part")
 
 
-def number_in_order(rows: DataFrame, order: Sequence, name: str,
-                    max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Consecutive numbers from 1; a counted small table is numbered by one window."""
-    if rows.count() <= max_rows:
-        return rows.select(F.row_number().over(Window.orderBy(*order)).cast("bigint").alias(name), "*")
+def number_in_order(rows: DataFrame, order: Sequence, name: str) -> DataFrame:
+    """Consecutive numbers from 1."""
     number = F.col("__rows_before") + F.col("__place") + 1
     return sorted_parts(rows, order).select(number.cast("bigint").alias(name), *rows.columns)
 
 
-def totals_before(rows: DataFrame, order: Sequence, value: str, name: str,
-                  max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def totals_before(rows: DataFrame, order: Sequence, value: str, name: str) -> DataFrame:
     """Adds the sum of `value` over all rows ordered before this one."""
-    def before(partition: Sequence[Column]) -> Column:
-        window = Window.partitionBy(*partition).orderBy(*order)
-        return F.coalesce(F.sum(value).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-
-    if rows.count() <= max_rows:
-        return rows.withColumn(name, before([]))
+    window = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     parts = sorted_parts(rows, order, [value])
-    within = parts.withColumn(name, F.col(f"{value}__before") + before([F.col("__part")]))
+    within = parts.withColumn(name, F.col(f"{value}__before") + F.coalesce(F.sum(value).over(window), F.lit(0)))
     return within.select(*rows.columns, name)

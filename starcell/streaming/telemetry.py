@@ -12,7 +12,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,11 +96,10 @@ def onset_stream(stream: DataFrame, out: str, state: str, checkpoint: str, tie:
     def sink(batch_rows: DataFrame, batch: int) -> None:
         spark = batch_rows.sparkSession
         fresh = batch_rows.select(*columns, F.lit(1).alias("__new"))
-        try:
+        rows = fresh
+        if batch > 0:   # only the first batch has no state; any other must find it
             held = spark.read.parquet(batch_folder(state, batch - 1))
             rows = fresh.unionByName(held.withColumn("__new", F.lit(0)))
-        except AnalysisException:
-            rows = fresh
         onsets = alert_onsets(rows, tie=[*tie, "__new"], thresholds=thresholds)
         onsets.where("__new = 1").drop("__new").write.mode("overwrite").parquet(batch_folder(out, batch))
         whole = F.struct(*[F.col(c) for c in columns])
