@@ -19,7 +19,7 @@ from functools import lru_cache
 import numpy as np
 
 # Stretches whose ids a worker keeps in each of two generations, and the longest one kept.
-KEPT_STRETCHES = 300_000
+KEPT_STRETCHES = 500_000
 KEPT_CHARS = 64
 # New stretches after which the library is called, and how many it gets joined in one text.
 CALL_STRETCHES = 50_000

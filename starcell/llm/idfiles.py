@@ -45,6 +45,8 @@ def pack_bits(ids: np.ndarray, bits: int) -> bytes:
 
 def unpack_bits(payload: bytes, bits: int, first: int, count: int) -> np.ndarray:
     """Ids [first, first + count) of packed bits, touching only their bytes."""
+    if bits in (8, 16, 32):
+        return np.frombuffer(payload, f"<u{bits // 8}", count, first * bits // 8).astype(np.uint32)
     low = first * bits // 8
     held = np.frombuffer(payload[low:((first + count) * bits + 7) // 8] + bytes(8), np.uint8)
     at = np.arange(first, first + count, dtype=np.int64) * bits - low * 8

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starcell.llm import classifier, idfiles, jaccard, mixing, packing, quality, suffixes, tokens, urlrules, vectors
+from starcell.llm import classifier, idfiles, jaccard, mixing, packing, quality, sql, suffixes, tokens, urlrules, vectors
 from starcell.session import fresh_path
 
 BPE_50K = public_tokenizers.path("byte_bpe_50k.json")
@@ -99,4 +99,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_suffix_dedup, op2_embedding_dedup, op3_token_counts, op4_url_filters, op5_id_files, op6_best_fit_packing, op7_quality_rules,
     op8_quality_classifier, op9_source_mix, op10_jaccard_join)}
-SQL: dict[str, str] = {}
+SQL = {
+    "op2_embedding_dedup": sql.EMBEDDINGS,
+    "op4_url_filters": sql.URLS,
+    "op7_quality_rules": sql.quality(quality.MAX_COVERED, quality.MAX_LINE_COVERED, quality.MAX_SYMBOLS_PCT),
+    "op9_source_mix": sql.mix(MIX_SHARE, MIX_EPOCHS, MIX_SEED),
+    "op10_jaccard_join": sql.JACCARD,
+}
