@@ -11,7 +11,7 @@ from driver.sql import KPIS, LINE_DIGITS, LINES, OBS, avg, rnd
 from driver.tables import customer_star, line_kpis, network_star, table
 from starcell.functions.numeric import round_half_up
 from starcell.functions.timeparts import stamp_text
-from starcell.operators import churn, clusters, features, loading, quality, rules
+from starcell.operators import churn, clusters, features, loading, quality, results, rules
 from starcell.plans import measures
 from starcell.plans.marts import PLAN_COLUMNS
 from starcell.session import fresh_path, write_and_read
@@ -181,6 +181,22 @@ def line_rules(s, d):
     return rules.association_rules(rules.frequent_itemsets(counted, 0.01), 0.3, 1.0, target=None)
 
 
+def stored_profiles(s, d):
+    """Profiles of fixed labels, written as a result table and read again."""
+    kept = results.Results(s, fresh_path(s, "results"))
+    kept.write("cluster_profiles", clusters.cluster_profiles(fixed_clusters(s, d), digits=LINE_DIGITS))
+    return kept.read("cluster_profiles")
+
+
+def stored_overview(s, d):
+    """The overview read from stored metrics, sweep and rules."""
+    kept = results.Results(s, fresh_path(s, "results"))
+    kept.write("churn_metrics", trained(s, d).evaluation())
+    kept.write("clustering_metrics", sweep(s, d))
+    kept.write("association_rules", stored_rules(s, d))
+    return results.overview(kept)
+
+
 QUERIES = {
     "e1_modelling_table": modelling,
     "e2_feature_nulls": lambda s, d: quality.null_counts(
@@ -210,6 +226,7 @@ QUERIES = {
     "f6_assigned_clusters": assigned,
     "f7_cluster_profiles": lambda s, d: clusters.cluster_profiles(
         fixed_clusters(s, d), digits=LINE_DIGITS),
+    "f7_stored_profiles": stored_profiles,
     "f8_profiles_by_model": lambda s, d: clusters.cluster_profiles(assigned(s, d), digits=LINE_DIGITS),
     "f9_transactions": lambda s, d: rules.transactions(
         loading.stage_customer(raw_customer(s, d)),
@@ -223,6 +240,7 @@ QUERIES = {
     "f13_rule_totals": lambda s, d: rules.query_totals(stored_rules(s, d), limit=500),
     "f14_mining_overview": lambda s, d: clusters.mining_overview(
         s, trained(s, d).evaluation(), sweep(s, d), stored_rules(s, d)),
+    "f14_stored_overview": stored_overview,
     "f15_rule_search": lambda s, d: rules.search_rules(stored_rules(s, d), "FIBER"),
     "f16_rule_strength": lambda s, d: rules.with_strength(stored_rules(s, d)),
 }
@@ -399,6 +417,7 @@ SELECT *, {rnd("(observation_count / sum(observation_count) OVER () * 100.0::DOU
     "f16_rule_strength": f"WITH {_CHURN_RULES} SELECT *, CASE WHEN lift > 2 THEN 'High Affinity' WHEN lift > 1.3 "
                          "THEN 'Moderate Affinity' ELSE 'Baseline' END AS strength FROM rules",
 }
+SQL["f7_stored_profiles"] = SQL["f7_cluster_profiles"]
 _AUC = f"""WITH {_PRED}, g AS (SELECT probability, count(*) FILTER (churn_flag = 1) AS pos,
   count(*) FILTER (churn_flag = 0) AS neg FROM pred GROUP BY 1),
 r AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY probability ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)

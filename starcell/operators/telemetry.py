@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,6 @@ from starcell.functions.numeric import as_column, round_half_up
 from starcell.functions.timeparts import stamp_text
 from starcell.plans import measures
 from starcell.plans.marts import KPIS
-from starcell.plans.sizing import broadcast_if_small
 from starcell.plans.star import Condition, Star
 
 PLACE = ("cell_id", "region", "technology")
@@ -158,12 +158,29 @@ def first_baselines(star: Star, cell_id: str | None = None) -> DataFrame:
 
 
 def baselines_at(star: Star, requests: DataFrame) -> DataFrame:
-    """Observations at requested (cell_id, timestamp) pairs, timestamps as text."""
+    """Observations at requested (cell_id, timestamp) pairs, timestamps as text.
+
+    Requests are turned into the fact's keys first, and the fact is cut down to them (and
+    to their days, where it is partitioned by day) before any name is joined to it.
+    """
     wanted = requests.select(
-        F.col("cell_id").alias("__cell"),
-        F.col("timestamp").cast("timestamp_ntz").alias("__ts")).distinct()
-    rows = star.rows([*PLACE, "timestamp"])
-    rows = rows.join(broadcast_if_small(wanted),
-                     (rows["cell_id"] == wanted["__cell"]) & (rows["timestamp"] == wanted["__ts"]))
+        F.col("cell_id").alias("__cell_id"),
+        F.col("timestamp").cast("timestamp_ntz").alias("__timestamp")).distinct()
+    if star.day_column:
+        wanted = wanted.withColumn("__day", F.col("__timestamp").cast("date"))
+    fact, match = star.fact, []
+    for name in ("cell_id", "timestamp"):
+        attribute = star.attributes[name]
+        if attribute.home is None:
+            match.append(attribute.column == F.col(f"__{name}"))
+            continue
+        dimension = star.dimensions[attribute.home]
+        side = dimension.frame.select(F.col(dimension.key).alias(f"__key_{name}"),
+                                      attribute.column.alias(f"__of_{name}"))
+        wanted = wanted.join(side, F.col(f"__{name}") == F.col(f"__of_{name}")).drop(f"__of_{name}")
+        match.append(fact[dimension.fact_key] == F.col(f"__key_{name}"))
+    if star.day_column:
+        match.append(fact[star.day_column] == F.col("__day"))
+    rows = replace(star, fact=fact.join(wanted, match, "left_semi")).rows([*PLACE, "timestamp"])
     rows = rows.select(*PLACE, stamp_text("timestamp").alias("timestamp"), *KPIS)
     return storage_rounding(rows)

@@ -241,6 +241,17 @@ def test_inertia_is_the_training_cost(spark, points):
     assert got == pytest.approx(model.summary.trainingCost, rel=1e-3)
 
 
+def test_stored_results_are_read_back(spark, tmp_path):
+    from starcell.operators import results
+    kept = results.Results(spark, str(tmp_path))
+    assigned = results.store_clusters(kept, line_kpis(spark, SF_DIR), LINE_DIGITS, (2, 3), restarts=2)
+    assert {r.cluster_id for r in kept.read("cluster_profiles").collect()} == {0, 1, 2}
+    assert [r.k for r in kept.read("clustering_metrics").orderBy("k").collect()] == [2, 3]
+    scaling, model = results.load_clusters(kept)
+    assert model.getK() == 3 and set(scaling.stats) == set(clusters.KPIS)
+    assert assigned.count() == line_kpis(spark, SF_DIR).count()
+
+
 def test_profile_labels(spark):
     base = dict(call_drop_rate_pct=1.0, latency_ms=20.0, signal_strength_dbm=-60.0, throughput_mbps=100.0)
     cases = [({"call_drop_rate_pct": 5.1}, 0), ({"latency_ms": 100.1, "signal_strength_dbm": -90.0}, 0),
