@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from starcell.llm.encoding import encoder
-from starcell.llm.shared import dropped_shuffles
+from starcell.llm.shared import step_settings
 
 # Ids after which a block is closed; a longer document makes a longer block.
 BLOCK_IDS = 1 << 17
@@ -112,7 +112,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 0,
     order = [F.col("doc_id"), F.xxhash64("text")]
     rows = (docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
             .repartitionByRange(*order).sortWithinPartitions(*order))
-    with dropped_shuffles(docs.sparkSession):
+    with step_settings(docs.sparkSession):
         rows.mapInArrow(run, BLOCK_SCHEMA).write.option("compression", "none").parquet(path)
 
 

@@ -42,7 +42,7 @@ SAMPLE_DOCS = 4000
 LONG_FROM = 12
 SPLITS = 64
 # Documents whose postings are packed together.
-PACKED_DOCS = 2000
+PACKED_DOCS = 1000
 # Buckets of postings for each shuffle partition.
 BUCKETS = 8
 # Blocks that a group is cut into before they grow, their size until then, and after it.

@@ -20,23 +20,27 @@ MIX_A = np.uint64(0x9E3779B97F4A7C15)
 MIX_B = np.uint64(0xBF58476D1CE4E5B9)
 MIX_C = np.uint64(0x94D049BB133111EB)
 
-SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# While a step is stored: its shuffle files go when it is done, as only what is stored is read
+# later, and texts come to Python in small batches.
+STEP_SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+                 "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 @contextmanager
-def dropped_shuffles(spark: SparkSession):
-    """Within it, a finished write drops its shuffle files; only what is stored is read later."""
-    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
+def step_settings(spark: SparkSession):
+    before = {name: spark.conf.get(name) for name in STEP_SETTINGS}
+    for name, value in STEP_SETTINGS.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(SHUFFLE_CLEANUP, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The frame, written to the shared folder and read again; its shuffle files go at once."""
-    with dropped_shuffles(df.sparkSession):
+    with step_settings(df.sparkSession):
         return write_and_read(df, name)
 
 
