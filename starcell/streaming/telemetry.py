@@ -89,25 +89,45 @@ def onset_stream(stream: DataFrame, out: str, state: str, checkpoint: str, tie:
                  thresholds: Mapping[str, float] | None = None) -> None:
     """Alerts that a cell's previous observation did not have, across micro-batches.
 
-    Observations of a cell are expected in time order from batch to batch.
+    Observations may come late. A batch decides anew on all of a cell from its earliest new
+    observation on, and says so in `out/since`; `read_onsets` leaves out what a later batch
+    has decided. `state` keeps the observations, a folder per batch; a folder may be dropped
+    when none older than its newest observation is expected, but for each cell's last one.
     """
     columns = ["cell_id", "timestamp", *tie, *KPIS]
+    place = F.struct("timestamp", *tie)
 
     def sink(batch_rows: DataFrame, batch: int) -> None:
         spark = batch_rows.sparkSession
-        fresh = batch_rows.select(*columns, F.lit(1).alias("__new"))
-        rows = fresh
-        if batch > 0:   # only the first batch has no state; any other must find it
-            held = spark.read.parquet(batch_folder(state, batch - 1))
-            rows = fresh.unionByName(held.withColumn("__new", F.lit(0)))
-        onsets = alert_onsets(rows, tie=[*tie, "__new"], thresholds=thresholds)
-        onsets.where("__new = 1").drop("__new").write.mode("overwrite").parquet(batch_folder(out, batch))
-        whole = F.struct(*[F.col(c) for c in columns])
-        last = rows.groupBy("cell_id").agg(F.max(F.struct("timestamp", *tie, whole.alias("row"))).alias("l"))
-        last.select("l.row.*").write.mode("overwrite").parquet(batch_folder(state, batch))
+        batch_rows.select(*columns).write.mode("overwrite").parquet(batch_folder(state, batch))
+        # What is stored is read, so that every step of a batch sees the same rows.
+        held = spark.read.schema(batch_rows.select(*columns).schema).parquet(
+            *[batch_folder(state, n) for n in range(batch + 1)])
+        fresh = spark.read.schema(held.schema).parquet(batch_folder(state, batch))
+        fresh.groupBy("cell_id").agg(F.min(place).alias("since")).write.mode("overwrite").parquet(
+            batch_folder(f"{out}/since", batch))
+        since = spark.read.parquet(batch_folder(f"{out}/since", batch)).withColumnRenamed("cell_id", "__cell")
+        rows = held.join(since, held["cell_id"].eqNullSafe(since["__cell"])).drop("__cell")
+        again = rows.where(place >= F.col("since")).drop("since").withColumn("__again", F.lit(1))
+        before = rows.where(place < F.col("since")).groupBy("cell_id").agg(
+            F.max(F.struct("timestamp", *tie, F.struct(*columns).alias("row"))).alias("l"))
+        rows = again.unionByName(before.select("l.row.*", F.lit(0).alias("__again")))
+        onsets = alert_onsets(rows, tie=[*tie, "__again"], thresholds=thresholds)
+        onsets.where("__again = 1").drop("__again").write.mode("overwrite").parquet(
+            batch_folder(f"{out}/rows", batch))
 
     run_available(stream.select(*columns), checkpoint, sink)
 
 
+def read_onsets(spark: SparkSession, out: str, tie: Sequence[str] = ()) -> DataFrame:
+    """The onsets of `onset_stream`, each as the last batch that looked at it has decided."""
+    rows = spark.read.parquet(f"{out}/rows")
+    later = spark.read.parquet(f"{out}/since").select(
+        F.col("cell_id").alias("__cell"), "since", F.col("batch").alias("__later"))
+    decided = (rows["cell_id"].eqNullSafe(later["__cell"]) & (F.col("__later") > F.col("batch"))
+               & (F.struct("timestamp", *tie) >= F.col("since")))
+    return rows.join(later, decided, "left_anti").drop("batch")
+
+
 def read_batches(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.parquet(out).drop("batch")

@@ -1,10 +1,13 @@
 """A stream of several files gives what the batch operators give."""
 
+from datetime import datetime, timedelta
+
 import pytest
 from pyspark.sql import functions as F
 
 from driver.tables import EVENT_DIGITS, event_cube, event_kpis
 from starcell.operators import health
+from starcell.plans.marts import KPIS
 from starcell.streaming import telemetry
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -50,5 +53,23 @@ def test_onsets_and_restart(spark, folder, tmp_path):
     places = [str(tmp_path / n) for n in ("out", "state", "progress")]
     for _ in range(2):  # the second run finds nothing new
         telemetry.onset_stream(stream(spark, folder), *places, tie=["event_id"])
-    assert lines(telemetry.read_batches(spark, places[0])) == lines(
+    assert lines(telemetry.read_onsets(spark, places[0], ["event_id"])) == lines(
         health.alert_onsets(event_kpis(spark, SF_DIR), tie=["event_id"]))
+
+
+def test_late_readings_change_earlier_onsets(spark, tmp_path):
+    schema = event_kpis(spark, SF_DIR).select("cell_id", "timestamp", *KPIS).schema
+    quiet = {"latency_ms": 10.0, "throughput_mbps": 1.0, "packet_loss_pct": 0.0, "call_drop_rate_pct": 0.0,
+             "signal_strength_dbm": -60.0, "handover_success_pct": 99.0, "active_connections": 1}
+    at = lambda h: datetime(2024, 1, 1) + timedelta(hours=h)
+    folder = str(tmp_path / "in")
+    batches = [[("a", 1, 90.0), ("a", 3, 90.0), (None, 1, 90.0)], [("a", 2, 90.0), (None, 30, 90.0)],
+               [("a", 0, 90.0), ("b", 5, 90.0)], [("a", 2.5, 10.0)]]
+    for rows in batches:
+        spark.createDataFrame([(c, at(h), *(quiet | {"latency_ms": v}).values()) for c, h, v in rows], schema) \
+            .coalesce(1).write.mode("append").parquet(folder)
+    places = [str(tmp_path / n) for n in ("out", "state", "progress")]
+    telemetry.onset_stream(telemetry.read_stream(spark, folder, schema, files_per_batch=1), *places)
+    got = telemetry.read_onsets(spark, places[0])
+    assert lines(got) == lines(health.alert_onsets(spark.read.parquet(folder)))
+    assert sorted((str(r.cell_id), r.timestamp) for r in got.collect()) == [("None", at(1)), ("a", at(0)), ("a", at(3)), ("b", at(5))]
