@@ -19,7 +19,7 @@ from starcell.plans.marts import EXACT_DIGITS, KPIS, customer_block, kpi_means
 from starcell.plans.measures import Measure
 from starcell.plans.star import Attribute, Condition, Star
 
-# Thresholds a dice accepts: name -> (KPI, comparison).
+# Thresholds a dice accepts, name -> (KPI, comparison).
 THRESHOLDS = {
     "call_drop_rate_gt": ("call_drop_rate_pct", ">"),
     "call_drop_rate_pct_gt": ("call_drop_rate_pct", ">"),

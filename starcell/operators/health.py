@@ -103,6 +103,7 @@ UNCHANGED = ("NORMAL", "RECOVERY")
 SCENARIO_NAMES = ("NORMAL", "CONGESTION", "SIGNAL_DEGRADATION", "CELL_OVERLOAD", "RECOVERY")
 SEVERITIES = ("LOW", "MEDIUM", "HIGH")
 
+# Names of the KPIs in results.
 DISPLAY_NAMES = {
     "latency_ms": "Latency (ms)",
     "throughput_mbps": "Throughput (Mbps)",
@@ -113,7 +114,7 @@ DISPLAY_NAMES = {
     "active_connections": "Active Connections",
 }
 
-# Direction in which a change is bad; KPIs not named have none.
+# Direction in which a change is bad; KPIs not named have none.
 WORSE_UP = ("latency_ms", "call_drop_rate_pct", "packet_loss_pct")
 WORSE_DOWN = ("throughput_mbps", "signal_strength_dbm", "handover_success_pct")
 

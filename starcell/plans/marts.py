@@ -34,7 +34,7 @@ GENDERS = ("Male", "Female")
 REGIONS = ("Central", "East", "North", "South", "West")
 TECHNOLOGIES = ("LTE", "5G")
 
-# Plan attributes in table order: source column -> (name for callers, domain).
+# Plan attributes in table order, source column -> (name for callers, domain).
 PLAN_COLUMNS = {
     "Contract": ("contract", CONTRACTS),
     "PhoneService": ("phone_service", YES_NO),
@@ -57,7 +57,7 @@ CHECKED_NAMES = ("contract", "internet_service", "payment_method")
 # declares them, and its sums are exact; values must then have no more, and no NaN.
 EXACT_DIGITS = None
 
-# The seven KPIs: decimals in storage, decimals in a per-cell summary's average.
+# The seven KPIs, their decimals in storage, decimals in a per-cell summary's average.
 KPIS = {
     "latency_ms": (2, 2),
     "throughput_mbps": (2, 2),
