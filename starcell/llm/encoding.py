@@ -19,7 +19,7 @@ from functools import lru_cache
 import numpy as np
 
 # Stretches whose ids a worker keeps in each of two generations, and the longest one kept.
-KEPT_STRETCHES = 500_000
+KEPT_STRETCHES = 300_000
 KEPT_CHARS = 64
 # New stretches after which the library is called, and how many it gets joined in one text.
 CALL_STRETCHES = 50_000
@@ -109,6 +109,11 @@ class Encoder:
             self.known, self.older = {}, self.known
 
 
+    def rest(self) -> None:
+        """Keep the younger generation alone until the worker's next task."""
+        self.older = {}
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
     return Encoder(path)

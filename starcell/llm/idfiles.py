@@ -108,6 +108,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 0,
                         place, number, names, ids, held = place + held, number + 1, [], [], 0
         if names:
             yield block()
+        own.rest()
 
     order = [F.col("doc_id"), F.xxhash64("text")]
     rows = (docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")

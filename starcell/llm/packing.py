@@ -104,5 +104,6 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = 0,
             columns = list(zip(*rows)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, pa.int32() if n == "piece" else pa.int64()) for n, c in zip(names, columns)], names)
+        own.rest()
 
     return docs.selectExpr("cast(doc_id as bigint) as doc_id", "text").mapInArrow(run, SCHEMA)
