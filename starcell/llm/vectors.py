@@ -8,8 +8,10 @@
    medoid (and from the node itself where it is a member), and what it finds within range is
    expanded over neighbours in range until nothing new turns up. Cosines are computed in
    double precision, and only those that reach the limit count: nothing is approximate there.
-4. A bounded sample of queries is compared with all nodes; where recall is below its target,
-   nodes are dealt to more shards and the beam is widened, up to all shards.
+4. Sampled queries are compared with all nodes, until enough of them have links. Where the
+   mean recall of those with few, or with many, links is below its target, nodes are dealt to
+   more shards and the beam is widened, up to all shards. After that, and where the sample
+   has too few queries with links to prove anything, all pairs are compared, block by block.
 
 A node's links are counted in the one shard that is home to the other end, weighted by its
 copies. Pairs never leave a task: links come out as counts, and as a tree that connects what
@@ -31,9 +33,13 @@ from starcell.llm.jaccard import Forest
 from starcell.llm.shared import components, stored
 
 COSINE = 0.9
-# Bounds of what the driver gets: sampled vectors for the centroids, and queries for the audit.
+# Bound of what the driver gets: sampled vectors, for the centroids and as queries of the audit.
 SAMPLE = 10_000
+# Queries of the audit's first round; each further one has four times as many.
 AUDITED = 200
+# Queries with links that an audit needs, and how many of them with fewer than ten links,
+# unless all vectors are queries.
+LINKED, FEW_LINKED = 100, 50
 RECALL = 0.98
 SHARD_ROWS = 2000
 MOST_SHARD_ROWS = 4096
@@ -44,8 +50,12 @@ BEAM = 16
 # Cosine below the limit at which the expansion still goes on.
 SLACK = 0.05
 QUERIES = 512
+# Nodes of a block where all pairs are compared.
+BLOCK_ROWS = 8192
 
 DEALT = "shard int, node bigint, copies bigint, rank int, vector binary"
+BLOCKS = "one int, two int, block int, node bigint, copies bigint, vector binary"
+FOUND = "node bigint, links bigint, a bigint, b bigint"
 ROWS = "shard int, part int, node bigint, copies bigint, member boolean, home boolean, vector binary"
 
 
@@ -199,26 +209,27 @@ def _deal(centre: np.ndarray, probes: int, batches: Iterator[pa.RecordBatch]) ->
                 ["shard", "node", "copies", "rank", "vector"])
 
 
-def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one shard part after the other; the input is sorted by them."""
+def _by_key(names: tuple[str, str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one key of two ints, such as a shard part, after the other; the input is sorted by them."""
     held: list[pa.RecordBatch] = []
+    last = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        key = batch.column("shard").to_numpy().astype(np.int64) << 32 | batch.column("part").to_numpy()
+        key = batch.column(names[0]).to_numpy().astype(np.int64) << 32 | batch.column(names[1]).to_numpy()
         cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
         for i, j in zip(cuts, cuts[1:]):
-            if held and (held[-1].column("shard")[0], held[-1].column("part")[0]) != \
-                    (batch.column("shard")[i], batch.column("part")[i]):
+            if held and key[i] != last:
                 yield pa.concat_batches(held)
                 held = []
+            last = key[i]
             held.append(batch.slice(i, j - i))
     if held:
         yield pa.concat_batches(held)
 
 
 def _build(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows in _by_shard(batches):
+    for rows in _by_key(("shard", "part"), batches):
         node = rows.column("node").to_numpy()
         if len(node) < 2:
             continue
@@ -228,7 +239,7 @@ def _build(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 
 def _search(width: int, limit: float, beam: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows in _by_shard(batches):
+    for rows in _by_key(("shard", "part"), batches):
         node, copies = rows.column("node").to_numpy(), rows.column("copies").to_numpy()
         member = np.flatnonzero(rows.column("member").to_numpy(zero_copy_only=False))
         if not len(member):
@@ -270,16 +281,98 @@ def _search(width: int, limit: float, beam: int, batches: Iterator[pa.RecordBatc
 
 def _compared(queries: np.ndarray, names: np.ndarray, limit: float,
               batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    step = max(1, (1 << 22) // len(names))
     for batch in batches:
         if not batch.num_rows:
             continue
         v = unit(np.asarray(batch.column("embedding").flatten(), np.float64).reshape(batch.num_rows, -1))
         node, copies = batch.column("node").to_numpy(), batch.column("copies").to_numpy()
         found = np.zeros(len(names), np.int64)
-        for i in range(0, len(v), 4096):
-            near = (queries @ v[i:i + 4096].T >= limit) & (names[:, None] != node[None, i:i + 4096])
-            found += near @ copies[i:i + 4096]
-        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(found)], ["node", "links"])
+        for i in range(0, len(v), step):
+            near = (queries @ v[i:i + step].T >= limit) & (names[:, None] != node[None, i:i + step])
+            found += near @ copies[i:i + step]
+        some = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array(found[some])], ["node", "links"])
+
+
+def _audit(nodes: DataFrame, drawn: np.ndarray, names: np.ndarray, count: int, limit: float) -> tuple[dict, bool]:
+    """Links of the sampled queries that have any, and whether they are enough to prove a recall."""
+    true: dict[int, int] = {}
+    low, high = 0, AUDITED
+    while low < len(names):
+        rows = nodes.mapInArrow(partial(_compared, drawn[low:high], names[low:high], limit), "node bigint, links bigint") \
+            .groupBy("node").agg(F.sum("links").alias("links")).collect()      # one row per audited query
+        true |= {r["node"]: r["links"] for r in rows}
+        if len(true) >= LINKED and sum(n < 10 for n in true.values()) >= FEW_LINKED:
+            return true, True
+        low, high = high, 5 * high
+    return true, len(names) == count
+
+
+def reached(true: dict[int, int], got: dict[int, int], recall: float) -> bool:
+    """Whether the mean recall of queries is high enough, for each power of ten of their links."""
+    kinds: dict[int, list[float]] = {}
+    for x, n in true.items():
+        kinds.setdefault(len(str(n)), []).append(min(n, got.get(x, 0)) / n)
+    return all(sum(r) >= recall * len(r) for r in kinds.values())
+
+
+def _blocks(blocks: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each node once for every pair of blocks that its own is in."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        v = unit(np.asarray(batch.column("embedding").flatten(), np.float64).reshape(batch.num_rows, -1))
+        held, own = pa.array([x.tobytes() for x in v], pa.binary()), batch.column("block").to_numpy()
+        for other in range(blocks):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.minimum(own, other).astype(np.int32)), pa.array(np.maximum(own, other).astype(np.int32)),
+                 batch.column("block"), batch.column("node"), batch.column("copies"), held],
+                ["one", "two", "block", "node", "copies", "vector"])
+
+
+def _scan(width: int, limit: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links and ties of all pairs between two blocks, or within one."""
+    for rows in _by_key(("one", "two"), batches):
+        rows = rows.take(pa.array(np.argsort(rows.column("node").to_numpy())))
+        node, copies = rows.column("node").to_numpy(), rows.column("copies").to_numpy()
+        block = rows.column("block").to_numpy()
+        v = _matrix(rows.column("vector"), width)
+        within = rows.column("one")[0] == rows.column("two")[0]
+        left = np.flatnonzero(block == rows.column("one")[0].as_py())
+        right = left if within else np.flatnonzero(block != rows.column("one")[0].as_py())
+        counts, root, forest = np.zeros(len(node), np.int64), np.arange(len(node)), Forest(len(node))
+        its, weights = v[right], copies[right]
+        for i in range(0, len(left), QUERIES):
+            own = left[i:i + QUERIES]
+            near = v[own] @ its.T >= limit
+            if within:
+                near[np.arange(len(own)), np.arange(i, i + len(own))] = False
+            counts[own] += near @ weights
+            if not within:
+                counts[right] += copies[own] @ near
+            q, m = np.nonzero(near)
+            x, y = root[own[q]], root[right[m]]
+            ties = np.unique(x[x != y] * len(node) + y[x != y])
+            for tie in ties.tolist():
+                forest.join(*divmod(tie, len(node)))
+            if len(ties):
+                root = np.array([forest.root(x) for x in range(len(node))])
+        some, tied = np.flatnonzero(counts), np.flatnonzero(root != np.arange(len(node)))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([*node[some].tolist(), *[None] * len(tied)], pa.int64()),
+             pa.array([*counts[some].tolist(), *[None] * len(tied)], pa.int64()),
+             pa.array([*[None] * len(some), *node[root[tied]].tolist()], pa.int64()),
+             pa.array([*[None] * len(some), *node[tied].tolist()], pa.int64())], ["node", "links", "a", "b"])
+
+
+def _compared_all(nodes: DataFrame, count: int, width: int, limit: float) -> DataFrame:
+    """What _found gives, of all pairs."""
+    blocks = -(-count // BLOCK_ROWS)
+    rows = nodes.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int")) \
+        .mapInArrow(partial(_blocks, blocks), BLOCKS)
+    return stored(rows.repartition("one", "two").sortWithinPartitions("one", "two")
+                  .mapInArrow(partial(_scan, width, limit), FOUND), "vector-found")
 
 
 def _found(nodes: DataFrame, centre: np.ndarray, width: int, limit: float, overlap: int, probes: int,
@@ -300,8 +393,7 @@ def _found(nodes: DataFrame, centre: np.ndarray, width: int, limit: float, overl
     lists = edges.groupBy("node").agg(F.collect_set("next").alias("next"))
     joined = rows.join(lists, "node", "left").withColumn("next", F.when(F.col("member"), F.col("next")))
     return stored(joined.repartition("shard", "part").sortWithinPartitions("shard", "part")
-                  .mapInArrow(partial(_search, width, limit, beam), "node bigint, links bigint, a bigint, b bigint"),
-                  "vector-found")
+                  .mapInArrow(partial(_search, width, limit, beam), FOUND), "vector-found")
 
 
 def near_duplicates(vectors: DataFrame, limit: float = COSINE, recall: float = RECALL) -> DataFrame:
@@ -326,28 +418,29 @@ def near_duplicates(vectors: DataFrame, limit: float = COSINE, recall: float = R
         .withColumn("node", F.monotonically_increasing_id()), "vector-nodes")
     count = nodes.count()
     share = int(min(1.0, SAMPLE / max(1, count)) * (1 << 30))
-    sample = nodes.where(F.pmod(F.xxhash64("embedding"), F.lit(1 << 30)) < share).select("node", "embedding").toPandas()
+    place = F.pmod(F.xxhash64("embedding"), F.lit(1 << 30))
+    sample = nodes.where(place < share).select("node", "embedding", place.alias("place")).toPandas() \
+        .sort_values("place", kind="stable")
     if len(sample) < 2:
         sample = nodes.limit(2).select("node", "embedding").toPandas()
     if len(sample):
         drawn = unit(np.stack(sample["embedding"]).astype(np.float64))
         k = max(1, min(len(drawn) // 8, -(-OVERLAP * count // SHARD_ROWS)))
         centre = centroids(drawn, k)
-        asked, names = drawn[:AUDITED], sample["node"].to_numpy()[:AUDITED]
-        true = nodes.mapInArrow(partial(_compared, asked, names, limit), "node bigint, links bigint") \
-            .groupBy("node").agg(F.sum("links").alias("links"))
-        true = {r["node"]: r["links"] for r in true.collect()}      # one row per audited query
+        names = sample["node"].to_numpy()
+        true, proves = _audit(nodes, drawn, names, count, limit)
         overlap, probes, beam = min(OVERLAP, k), min(PROBES, k), BEAM
-        while True:
+        while proves:
             found = _found(nodes, centre, width, limit, overlap, probes, beam)
-            got = {r["node"]: r["links"] for r in found.where(F.col("node").isin(names.tolist()))
-                   .groupBy("node").agg(F.sum("links").alias("links")).collect()}
-            wanted = sum(true.values())
-            if sum(min(n, got.get(x, 0)) for x, n in true.items()) >= recall * wanted or probes == k:
+            got = found.join(F.broadcast(rows.sparkSession.createDataFrame([(x,) for x in true], "node bigint")), "node") \
+                .groupBy("node").agg(F.sum("links").alias("links")).collect()      # one row per audited query
+            if reached(true, {r["node"]: r["links"] for r in got}, recall) or probes == k:
                 break
             overlap, probes, beam = min(k, overlap + 1), min(k, 2 * probes), 2 * beam
+        if not proves or not reached(true, {r["node"]: r["links"] for r in got}, recall):
+            found = _compared_all(nodes, count, width, limit)
     else:
-        found = rows.sparkSession.createDataFrame([], "node bigint, links bigint, a bigint, b bigint")
+        found = rows.sparkSession.createDataFrame([], FOUND)
     links = found.where("node is not null").groupBy("node").agg(F.sum("links").alias("links"))
     classes = components(found.where("a is not null").select("a", "b"), "vector-classes")
     named = nodes.join(links, "node", "left").join(classes, "node", "left") \

@@ -59,3 +59,49 @@ def test_graph_is_searchable():
     q, found = shard.search(vectors.unit(v[:200] + r.normal(size=(200, 24)) * 0.02), np.full(200, -1), 0.9, 32)
     true = {(i, int(m)) for i in range(200) for m in [i]}
     assert len(true & set(zip(q.tolist(), found.tolist()))) >= 190
+
+
+def paired(seed, n, pairs, copies):
+    """Far apart vectors, some with one partner just in range, and one large group of near copies."""
+    r = np.random.default_rng(seed)
+    v = vectors.unit(r.normal(size=(n, 24)))
+    aside = vectors.unit(r.normal(size=(pairs, 24)))
+    near = vectors.unit(v[:pairs] + 0.4 * aside)
+    large = vectors.unit(r.normal(size=(1, 24)) + r.normal(size=(copies, 24)) * 0.02)
+    return [(i, x.tolist()) for i, x in enumerate(np.concatenate((v, near, large)).astype(np.float32))]
+
+
+def links_of(rows):
+    v = vectors.unit(np.array([v for _, v in rows], np.float64))
+    return ((v @ v.T >= 0.9).sum(1) - 1).tolist()
+
+
+@pytest.mark.parametrize("missed,copies,sample", [("all", 0, 10_000), ("small", 300, 10_000), ("small", 300, 800)])
+def test_audit_sees_what_a_search_misses(spark, monkeypatch, missed, copies, sample):
+    """A search without any links, or with those of the large group alone, is never final."""
+    monkeypatch.setattr(vectors, "SAMPLE", sample)
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 500)
+    rows = paired(4, 1200, 20, copies)
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").repartition(3)
+    search = vectors._found
+
+    def lossy(nodes, *more):
+        found = search(nodes, *more)
+        if missed == "all":
+            return found.where("false")
+        group = nodes.where("least >= 1220").select("node")
+        return found.where("node is not null").join(group, "node", "left_semi").union(
+            found.where("a is not null").join(group.withColumnRenamed("node", "a"), "a", "left_semi")
+            .select("node", "links", "a", "b"))
+
+    monkeypatch.setattr(vectors, "_found", lossy)
+    got = {r.vec_id: r for r in vectors.near_duplicates(df).collect()}
+    assert [got[i].n_links for i in range(len(rows))] == links_of(rows)
+    want = [i - 1200 if 1200 <= i < 1220 else min(i, 1220) for i in range(len(rows))]
+    assert [got[i].component_id for i in range(len(rows))] == want
+
+
+def test_recall_is_a_mean_over_queries():
+    true = {i: 2000 for i in range(40)} | {100 + i: 1 for i in range(40)}
+    got = dict.fromkeys(range(40), 2000)
+    assert not vectors.reached(true, got, 0.98) and vectors.reached(true, true, 0.98)
