@@ -370,10 +370,10 @@ def _long_lists(texts: DataFrame, size: int, documents: int, sample: int) -> tup
 
 
 def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, sample: int = SAMPLE_DOCS) -> DataFrame:
-    """Per row of `docs` (doc_id, text): doc_id, mark, n_shingles, node and component_id.
+    """Per row of `docs` (doc_id, text): doc_id, mark, n_shingles, node, component and component_id.
 
-    `node` names a distinct set, `mark` the text; component_id is the smallest doc_id
-    reachable by links. Null and empty texts, or such without words, have no shingles and
+    `node` names a distinct set, `mark` the text, `component` (a node) the class; component_id
+    is the smallest doc_id reachable by links, which classes share where ids are null or used again. Null and empty texts, or such without words, have no shingles and
     link with nothing, so that their component is their own doc_id. Repeated rows, and any
     with equal sets, are in one class; a class whose ids are all null has a null id. An
     empty table gives an empty result, and other columns are ignored.
@@ -416,9 +416,9 @@ def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, sample
     named = nodes.select("node", "least").join(found, "node", "left") \
         .withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = stored(named.join(least, "component").select("node", "component_id"), "jaccard-names")
+    named = stored(named.join(least, "component").select("node", "component", "component_id"), "jaccard-names")
     return sets.join(named, "node", "left").select(
-        "doc_id", "mark", "n_shingles", "node",
+        "doc_id", "mark", "n_shingles", "node", "component",
         F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
@@ -429,7 +429,7 @@ def keep_one(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Da
     of them. Documents without shingles all stay. Names that start with two underscores are reserved.
     """
     found = stored(classes(docs, size, percent), "jaccard-kept")
-    first = found.where("n_shingles > 0").groupBy("component_id").agg(
+    first = found.where("n_shingles > 0").groupBy("component").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "mark")).alias("at"))
     kept = (found.where("n_shingles = 0").select("doc_id", "mark", F.lit(False).alias("one"))
             .union(first.select("at.doc_id", "at.mark", F.lit(True))).distinct()

@@ -70,3 +70,10 @@ def test_empty_table_and_extra_columns(spark):
     docs = frame(spark, rows, "doc_id bigint, text string, node int, component_id string")
     kept = jaccard.keep_one(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
+@pytest.mark.parametrize("names", [[None, None, None, None], [7, 7, 7, 7], [None, 7, None, 7]])
+def test_one_of_each_class_whatever_the_ids(spark, names):
+    held = ["a b c d e f g", "h i j k l m n", "o p q r s t u", "A b c d e f g"]
+    kept = [r.text for r in jaccard.keep_one(frame(spark, list(zip(names, held)))).collect()]
+    assert len(kept) == 3 and {t.lower() for t in kept} == set(held[:3])
