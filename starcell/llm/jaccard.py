@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starcell.llm.shared import (LOWER, components, gram_hashes, mixed, row_blocks, run_hashes, stored,
-                                 text_bytes, words_of)
+                                 text_bytes, text_mark, words_of)
 
 SHINGLE = 5
 PERCENT = 75
@@ -55,7 +55,7 @@ ENTRY = np.dtype([("key", "<u8"), ("node", "<u8"), ("size", "<u2"), ("length", "
 _LONG = np.uint64(1 << 62)
 _SIZE_STEP = 2000
 
-SETS = "doc_id bigint, mark int, n_shingles bigint, node binary"
+SETS = "doc_id bigint, mark binary, n_shingles bigint, node binary"
 PACKED = "bucket int, entries binary"
 MEMBERS = "grp bigint, one int, two int, block int, node binary, shingles binary"
 
@@ -382,7 +382,7 @@ def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, sample
         raise ValueError("percent lies in 1..100, and a shingle has a word at least")
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"),
-                        F.hash(F.coalesce("text", F.lit(""))).alias("mark"), "text")
+                        text_mark().alias("mark"), "text")
     sets = stored(texts.mapInArrow(partial(_sets, size), SETS), "jaccard-sets")
     long, counts = _long_lists(texts, size, sets.count(), sample)
     nodes = stored(sets.where("node is not null").groupBy("node").agg(
@@ -436,7 +436,7 @@ def keep_one(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Da
             .select(F.col("doc_id").alias("__doc"), F.col("mark").alias("__mark"), F.col("one").alias("__one")))
     names = [f"`{c}`" for c in docs.columns]
     held = docs.withColumns({"__key": F.col("doc_id").cast("bigint"),
-                             "__its": F.hash(F.coalesce("text", F.lit("")))})
+                             "__its": text_mark()})
     same = F.col("__key").eqNullSafe(F.col("__doc")) & (F.col("__its") == F.col("__mark"))
     held = held.join(kept, same)
     if not found.where("n_shingles > 0").groupBy("doc_id", "mark").count().where("count > 1").isEmpty():

@@ -7,7 +7,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starcell.session import write_and_read
@@ -44,6 +44,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         return write_and_read(df, name)
 
 
+def text_mark() -> Column:
+    """128 bits that tell apart rows that share a doc_id; rows with the same text have the same."""
+    return F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """64-bit finaliser, in place."""
     x ^= x >> np.uint64(30)

@@ -31,11 +31,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from starcell.llm.shared import BLOCK_BYTES, MIX_A, MIX_B, MIX_C, mixed, stored, text_bytes
+from starcell.llm.shared import BLOCK_BYTES, MIX_A, MIX_B, MIX_C, mixed, stored, text_bytes, text_mark
 
 LENGTH = 200
 
@@ -43,11 +43,11 @@ _PLACE = np.uint64((1 << 24) - 1)
 # Strings of a longer text that are handled together.
 PIECE = 1 << 20
 
-RUNS = "doc_id bigint, mark int, low int, size int, digit bigint, stretch bigint"
-CUTS = "doc_id bigint, mark int, low int, again boolean, digit bigint, hot boolean, bytes binary"
-STRINGS = "doc_id bigint, mark int, low int, start int, again boolean, s1 bigint, s2 bigint"
-EDGES = "doc_id bigint, mark int, begin int, end int"
-CELLS = ("doc_id bigint, mark int, low int, count int, again boolean, digit bigint, cell int, core bigint, "
+RUNS = "doc_id bigint, mark binary, low int, size int, digit bigint, stretch bigint"
+CUTS = "doc_id bigint, mark binary, low int, again boolean, digit bigint, hot boolean, bytes binary"
+STRINGS = "doc_id bigint, mark binary, low int, start int, again boolean, s1 bigint, s2 bigint"
+EDGES = "doc_id bigint, mark binary, begin int, end int"
+CELLS = ("doc_id bigint, mark binary, low int, count int, again boolean, digit bigint, cell int, core bigint, "
          "whole bigint, bytes binary")
 # Strings of a cell; cells are counted from the first digit, so that equal strings lie in equal ones.
 CELL = 8
@@ -266,7 +266,7 @@ def _hot_edges(runs: DataFrame, length: int) -> DataFrame:
     rest = (cells.where("whole is null").select(*names)
             .union(full.join(wholes.select(*key), key, "left_anti").select(*names))
             # Strings of a repeated cell may be those of an open one, so that one of each counts too.
-            .union(wholes.select(F.lit(None).cast("bigint"), F.lit(0), F.lit(0), F.lit(True), "bytes")))
+            .union(wholes.select(F.lit(None).cast("bigint"), F.lit(None).cast("binary"), F.lit(0), F.lit(True), "bytes")))
     strings = rest.mapInArrow(_strings(length), STRINGS)
     twice = strings.groupBy("s1", "s2").agg(weight.alias("n")).where("n > 1").select("s1", "s2")
     single = (strings.where("not again").join(twice, ["s1", "s2"]).groupBy("doc_id", "mark", "low")
@@ -340,11 +340,6 @@ def _whole_groups(digit: np.ndarray) -> Iterator[tuple[int, int]]:
         first = last
 
 
-def text_mark() -> Column:
-    """Tells apart rows that share a doc_id; rows with the same text then have the same spans."""
-    return F.hash(F.coalesce("text", F.lit("")))
-
-
 def _beside(docs: DataFrame, side: DataFrame, how: str) -> DataFrame:
     """Rows of `docs` (doc_id, mark, others) with what `side` has for theirs; null ids are equal."""
     side = side.withColumnsRenamed({"doc_id": "__doc", "mark": "__its_mark"})

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from starcell.llm import jaccard
 from tests.llm.samples import WORD, frame, same, texts
@@ -77,3 +78,10 @@ def test_one_of_each_class_whatever_the_ids(spark, names):
     held = ["a b c d e f g", "h i j k l m n", "o p q r s t u", "A b c d e f g"]
     kept = [r.text for r in jaccard.keep_one(frame(spark, list(zip(names, held)))).collect()]
     assert len(kept) == 3 and {t.lower() for t in kept} == set(held[:3])
+
+
+def test_texts_of_one_short_hash_are_told_apart(spark):
+    numbered = spark.range(300_000).selectExpr("concat('n', id, ' of many unlike texts here') AS text")
+    pair = numbered.groupBy(F.hash("text")).agg(F.collect_list("text").alias("both")).where("size(both) > 1").first().both
+    docs = frame(spark, [(None, t) for t in pair])
+    assert sorted(r.text for r in jaccard.keep_one(docs).collect()) == sorted(pair)

@@ -2,6 +2,7 @@ import hashlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from starcell.llm import suffixes
 from tests.llm.samples import frame, same, texts
@@ -54,3 +55,15 @@ def test_cut_text_keeps_whole_characters(spark):
     rows = [(1, "aè" + shared + "b"), (2, "cé" + shared + "ê"), (3, None)]
     got = {r.doc_id: r.text for r in suffixes.cut_repeats(frame(spark, rows), 200).collect()}
     assert got[3] is None and got[1] == "aèb" and got[2] == "cê"
+
+
+def test_texts_of_one_short_hash_are_cut_apart(spark):
+    shared = "".join(chr(97 + i * i % 23) + str(i) for i in range(60))
+    ids = spark.range(200_000)
+    with_it = ids.selectExpr(f"concat('{shared}', id) AS a").withColumn("h", F.hash("a"))
+    other = "".join(chr(97 + i * i * i % 23) + str(i) for i in range(100, 180))
+    without = ids.selectExpr(f"concat(id, '{other}') AS b").withColumn("h", F.hash("b"))
+    pair = with_it.join(without, "h").first()
+    docs = frame(spark, [(None, pair.a), (None, pair.b), (1, shared + "z")])
+    got = {r.text: r.n_removed for r in suffixes.mark_repeats(docs, 100).collect()}
+    assert got == {pair.a: len(shared), pair.b: 0, shared + "z": len(shared)}
