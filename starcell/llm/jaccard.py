@@ -16,7 +16,8 @@ of either's n shingles (T-occurrence).
    search (DivideSkip). Pairs that earlier links already connect are skipped.
 
 The index keys are shortened hashes. Where two shingles or documents share one, a document
-stays or is tied that need not be; links are decided on the sets alone.
+stays or is tied that need not be; links are decided on the sets alone. Of a document whose
+own shingles share keys, T is lowered by the keys it lacks.
 
 Classes are the connected components of the links, found by stored rounds of joins.
 """
@@ -50,8 +51,10 @@ BLOCKS = 20
 BLOCK_ROWS = 128
 MOST_BLOCK_ROWS = 2048
 
-# A posting: list key, document (48 bits of its node), size code, and the list's length once known.
-ENTRY = np.dtype([("key", "<u8"), ("node", "<u8"), ("size", "<u2"), ("length", "<u4")])
+# A posting: list key, document (48 bits of its node), size code, how many keys fewer than shingles
+# the document has (MANY stands for that or more), and the list's length once known.
+ENTRY = np.dtype([("key", "<u8"), ("node", "<u8"), ("size", "<u2"), ("lacks", "u1"), ("length", "<u4")])
+MANY = 255
 _LONG = np.uint64(1 << 62)
 _SIZE_STEP = 2000
 
@@ -142,7 +145,7 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
 
 def _postings(size: int, long: np.ndarray, buckets: int,
               batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All postings in 11 bytes: 3 of the shingle, 6 of the document, 2 of its size.
+    """All postings in 12 bytes: 3 of the shingle, 6 of the document, 2 of its size, 1 of what it lacks.
 
     Those of very long lists hold the list's number, in buckets after the others.
     """
@@ -158,8 +161,13 @@ def _postings(size: int, long: np.ndarray, buckets: int,
             known = long[at] == keys
             bucket = np.where(known, np.uint64(buckets) + nodes % np.uint64(buckets), bucket)
             short = np.where(known, at.astype(np.uint64), short)
+        ends = np.cumsum(lengths)
+        own = bucket << np.uint64(24) | short
+        lacks = [n - len(np.unique(own[e - n:e])) for e, n in zip(ends, lengths)]
+        lacks = np.repeat(np.minimum(lacks, MANY).astype(np.uint8), lengths)
         entries = np.concatenate((short.view(np.uint8).reshape(-1, 8)[:, :3],
-                                  nodes.view(np.uint8).reshape(-1, 8)[:, :6], code.view(np.uint8).reshape(-1, 2)), 1)
+                                  nodes.view(np.uint8).reshape(-1, 8)[:, :6], code.view(np.uint8).reshape(-1, 2),
+                                  lacks.reshape(-1, 1)), 1)
         return _rows(bucket.astype(np.int64), entries)
 
     for batch in batches:
@@ -178,16 +186,17 @@ def _lists(counts: np.ndarray, buckets: int, batches: Iterator[pa.RecordBatch])
     """Postings of lists with several documents, with the lists' lengths, dealt by document."""
     ready, held = [], 0
     for bucket, packed in _gathered(batches):
-        raw = np.frombuffer(packed, np.uint8).reshape(-1, 11)
+        raw = np.frombuffer(packed, np.uint8).reshape(-1, 12)
         wide = np.zeros((len(raw), 2, 8), np.uint8)
         wide[:, 0, :3], wide[:, 1, :6] = raw[:, :3], raw[:, 3:9]
         key, node = np.ascontiguousarray(wide.view("<u8")[:, :, 0]).T
-        code = np.ascontiguousarray(raw[:, 9:]).view("<u2")[:, 0]
+        code = np.ascontiguousarray(raw[:, 9:11]).view("<u2")[:, 0]
+        lacks = raw[:, 11]
         by = np.lexsort((node, key))
-        key, node, code = key[by], node[by], code[by]
+        key, node, code, lacks = key[by], node[by], code[by], lacks[by]
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-        key, node, code = key[new], node[new], code[new]
+        key, node, code, lacks = key[new], node[new], code[new], lacks[new]
         out = np.zeros(len(key), ENTRY)
         if bucket >= buckets:
             out["length"] = counts[key.astype(np.int64)]
@@ -196,7 +205,7 @@ def _lists(counts: np.ndarray, buckets: int, batches: Iterator[pa.RecordBatch])
             first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             out["length"] = np.repeat(np.diff(np.append(first, len(key))), np.diff(np.append(first, len(key))))
             key = key | np.uint64(bucket << 24)
-        out["key"], out["node"], out["size"] = key, node, code
+        out["key"], out["node"], out["size"], out["lacks"] = key, node, code, lacks
         out = out[out["length"] > 1]
         ready.append(out)
         held += len(out)
@@ -219,7 +228,9 @@ def _short_lists(percent: int, buckets: int, batches: Iterator[pa.RecordBatch])
         e = e[new]
         first = np.flatnonzero(np.concatenate(([True], e["node"][1:] != e["node"][:-1])))
         count = np.diff(np.append(first, len(e)))
-        short = count - -(-percent * size_of(e["size"][first]) // 100) + 1
+        lacks = e["lacks"][first].astype(np.int64)
+        short = count - (-(-percent * size_of(e["size"][first]) // 100) - lacks) + 1
+        short = np.where(lacks == MANY, count, np.minimum(short, count))
         e = e[np.arange(len(e)) - np.repeat(first, count) < np.repeat(short, count)]
         if len(e):
             part = np.where(e["key"] >= _LONG, e["node"] % np.uint64(SPLITS), np.uint64(0))

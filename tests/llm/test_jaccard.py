@@ -1,3 +1,5 @@
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,3 +87,16 @@ def test_texts_of_one_short_hash_are_told_apart(spark):
     pair = numbered.groupBy(F.hash("text")).agg(F.collect_list("text").alias("both")).where("size(both) > 1").first().both
     docs = frame(spark, [(None, t) for t in pair])
     assert sorted(r.text for r in jaccard.keep_one(docs).collect()) == sorted(pair)
+
+
+@pytest.mark.parametrize("many", [255, 3])
+def test_shingles_that_share_a_key(monkeypatch, many):
+    """A text and its first three quarters, in one bucket, where a few shingles share keys."""
+    monkeypatch.setattr(jaccard, "MANY", many, raising=False)
+    words = [f"w{i}" for i in range(20_004)]
+    held = [" ".join(words), " ".join(words[:15_004])]
+    texts_of = pa.RecordBatch.from_arrays([pa.array(held)], ["text"])
+    postings = jaccard._postings(5, np.zeros(0, np.uint64), 1, iter([texts_of]))
+    lists = jaccard._lists(np.zeros(0, np.uint32), 1, postings)
+    ties = list(jaccard._ties(75, jaccard._short_lists(75, 1, lists)))
+    assert sum(b.num_rows for b in ties) == 1
