@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starcell.llm import classifier, idfiles, jaccard, mixing, packing, quality, sql, suffixes, tokens, urlrules, vectors
+from starcell.llm import classifier, idfiles, jaccard, langid, merkle, mixing, packing, phrases, quality, sql, suffixes, tokens, urlrules, vectors
 from starcell.session import fresh_path
 
 BPE_50K = public_tokenizers.path("byte_bpe_50k.json")
@@ -96,13 +96,34 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(docs, 5, 75).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 5
+    model = langid.fit(docs.where(fold != 0), PIECE_32K)
+    return langid.predict(docs.select("doc_id", "text"), model).select(
+        "doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    cut = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit("")))
+    return merkle.audit(docs, tampered={"text": F.coalesce(cut, "text")})
+
+
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_suffix_dedup, op2_embedding_dedup, op3_token_counts, op4_url_filters, op5_id_files, op6_best_fit_packing, op7_quality_rules,
-    op8_quality_classifier, op9_source_mix, op10_jaccard_join)}
+    op8_quality_classifier, op9_source_mix, op10_jaccard_join,
+    op11_language_id, op12_merkle_manifest, op13_phrase_mining)}
 SQL = {
     "op2_embedding_dedup": sql.EMBEDDINGS,
     "op4_url_filters": sql.URLS,
     "op7_quality_rules": sql.quality(quality.MAX_COVERED, quality.MAX_LINE_COVERED, quality.MAX_SYMBOLS_PCT),
     "op9_source_mix": sql.mix(MIX_SHARE, MIX_EPOCHS, MIX_SEED),
     "op10_jaccard_join": sql.JACCARD,
+    "op12_merkle_manifest": sql.MERKLE,
+    "op13_phrase_mining": sql.PHRASES,
 }

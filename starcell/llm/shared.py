@@ -84,6 +84,30 @@ def row_blocks(starts: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[i
         first = last
 
 
+def word_blocks(data: np.ndarray, starts: np.ndarray,
+                limit: int = BLOCK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bounds, rows): consecutive ranges of `data` of about `limit` bytes in all, and the row of each.
+
+    Short texts are whole ranges; a text of more than `limit` bytes comes in ranges that end
+    before white space, so that no word is cut.
+    """
+    for i, j in row_blocks(starts, limit):
+        at, end = int(starts[i]), int(starts[j])
+        if j - i > 1 or end - at <= limit:
+            yield starts[i:j + 1], np.arange(i, j)
+            continue
+        while at < end:
+            to = min(at + limit, end)
+            while to < end:
+                found = np.flatnonzero(IS_SPACE[data[to:min(to + 4096, end)]])
+                if len(found):
+                    to += int(found[0])
+                    break
+                to = min(to + 4096, end)
+            yield np.array([at, to]), np.array([i])
+            at = to
+
+
 # Words are runs of bytes that are neither space nor \t \n \v \f \r, which UTF-8
 # never uses inside another character.
 IS_SPACE = np.zeros(256, bool)

@@ -119,3 +119,75 @@ link AS MATERIALIZED (SELECT a, b FROM both_in JOIN sizes x ON x.doc_id = a JOIN
 {REACH}
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, d.doc_id) AS component_id FROM documents d
 LEFT JOIN sizes ON sizes.doc_id = d.doc_id LEFT JOIN least ON least.a = d.doc_id"""
+
+
+_ENCODED = "CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_ENCODED.format(c=c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def _tree(name: str, leaves: str) -> str:
+    """Nodes of trees from leaves (tree, i, total, h), and what stands beside each in its run."""
+    return f"""{name} AS (SELECT tree, 0 AS lv, i, total, h FROM {leaves} UNION ALL
+  SELECT tree, lv + 1, i // 3, (any_value(total) + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM {name}
+  WHERE total > 1 GROUP BY tree, lv, i // 3),
+{name}_beside AS MATERIALIZED (SELECT a.tree, a.lv, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l,
+  coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r FROM {name} a LEFT JOIN {name} b
+  ON a.tree = b.tree AND a.lv = b.lv AND a.i // 3 = b.i // 3 AND a.i <> b.i WHERE a.total > 1 GROUP BY a.tree, a.lv, a.i)"""
+
+
+# Unsigned crc32 of a decimal number, bit by bit.
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+  lambda s, b: list_reduce(list_prepend(xor(s, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+    lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)), 4294967295)"""
+
+MERKLE = f"""WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS tree,
+  {_leaf("text")} AS leaf, CASE WHEN {_CRC} % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf("text")} END AS given
+  FROM documents),
+leaves AS MATERIALIZED (SELECT *, leaf AS h, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+  count(*) OVER (PARTITION BY tree) AS total FROM d),
+{_tree("inside", "leaves")},
+subs AS MATERIALIZED (SELECT '' AS tree, tree AS name, h, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS total
+  FROM inside WHERE total = 1),
+{_tree("above", "subs")},
+walk AS (SELECT tree, i AS leaf_i, 0 AS part, 0 AS lv, i AS at, given AS h, '' AS proof FROM leaves UNION ALL
+  SELECT w.tree, w.leaf_i, CASE WHEN b.tree IS NULL THEN 1 ELSE w.part END,
+    CASE WHEN b.tree IS NULL AND w.part = 0 THEN 0 ELSE w.lv + 1 END,
+    CASE WHEN b.tree IS NULL AND w.part = 0 THEN s.i WHEN b.tree IS NULL AND u.tree IS NULL THEN -1 ELSE w.at // 3 END,
+    CASE WHEN b.tree IS NOT NULL THEN sha256(b.l || w.h || b.r) WHEN u.tree IS NOT NULL THEN sha256(u.l || w.h || u.r) ELSE w.h END,
+    w.proof || CASE WHEN b.tree IS NOT NULL THEN b.l || b.r WHEN u.tree IS NOT NULL THEN u.l || u.r ELSE '' END
+  FROM walk w JOIN subs s ON s.name = w.tree
+  LEFT JOIN inside_beside b ON w.part = 0 AND b.tree = w.tree AND b.lv = w.lv AND b.i = w.at
+  LEFT JOIN above_beside u ON w.part = 1 AND u.lv = w.lv AND u.i = w.at WHERE w.at >= 0)
+SELECT l.doc_id, l.leaf, s.h AS subroot, t.h AS root, sha256(w.proof) AS proof_sha256, w.h AS folded_root, w.h = t.h AS verified
+FROM walk w JOIN leaves l ON l.tree = w.tree AND l.i = w.leaf_i JOIN subs s ON s.name = w.tree
+JOIN above t ON t.total = 1 WHERE w.at = -1"""
+
+
+_PHRASE = " UNION ALL ".join(
+    f"SELECT lang, concat_ws(' ', {', '.join(['word', 'w2', 'w3', 'w4'][:n])}) AS phrase, count(*) AS a FROM g "
+    f"WHERE w{n} IS NOT NULL GROUP BY ALL HAVING count(*) >= 30" for n in (2, 3, 4))
+PHRASES = f"""WITH t AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang,
+  regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[.,;:!?\x0A-\x0D]') AS pieces FROM documents),
+p AS (SELECT d, lang, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS p FROM t),
+q AS (SELECT d, lang, p, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p),
+w AS MATERIALIZED (SELECT d, lang, p, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM q),
+g AS MATERIALIZED (SELECT lang, word, lead(word, 1) OVER x AS w2, lead(word, 2) OVER x AS w3, lead(word, 3) OVER x AS w4 FROM w
+  WINDOW x AS (PARTITION BY d, p ORDER BY i)),
+c AS MATERIALIZED ({_PHRASE}),
+f AS MATERIALIZED (SELECT *, string_split(phrase, ' ') AS words FROM c),
+known AS MATERIALIZED (SELECT lang, word AS part, count(*) AS f FROM w GROUP BY ALL UNION ALL SELECT lang, phrase, a FROM c),
+cut AS (SELECT lang, phrase, a, words, unnest(range(1, len(words))) AS k FROM f),
+scored AS (SELECT cut.lang, phrase, a, k, x.f AS l, y.f AS r, CAST((2000000::HUGEINT * a) // (x.f + y.f) AS BIGINT) AS score
+  FROM cut JOIN known x ON x.lang = cut.lang AND x.part = array_to_string(words[1:k], ' ')
+  JOIN known y ON y.lang = cut.lang AND y.part = array_to_string(words[k + 1:], ' ')),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+m AS (SELECT lang, a, words, unnest(range(2, len(words))) AS m FROM f WHERE len(words) > 2),
+s AS (SELECT lang, a, words, m, unnest(range(1, len(words) - m + 2)) AS i FROM m),
+inner_ones AS (SELECT lang, array_to_string(words[i:i + m - 1], ' ') AS phrase, max(a) AS longer FROM s GROUP BY ALL),
+kept AS (SELECT best.* FROM best LEFT JOIN inner_ones USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * a),
+total AS (SELECT lang, count(*) AS n FROM w GROUP BY lang)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang
+  ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) JOIN total USING (lang) WHERE rank <= 2000"""
