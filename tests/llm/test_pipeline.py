@@ -30,7 +30,7 @@ def test_stages_on_odd_rows(spark):
 
 def test_run_is_registered(spark):
     known = entry.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in queries.QUERIES} and "pipeline" in known
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in queries.QUERIES} and "pipeline" in known
 
 
 def test_components(spark):
