@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from starcell.llm.shared import BLOCK_BYTES, LOWER, MIX_A, MIX_B, mixed, row_blocks, stored, text_bytes
+from starcell.llm.shared import BLOCK_BYTES, LOWER, MIX_A, MIX_B, mixed, row_blocks, run_hashes, stored, text_bytes
 
 MOST_WORDS = 4
 MIN_COUNT = 30
@@ -161,8 +161,14 @@ class HatTrie:
             yield entries
 
 
-def word_hash(lang: str, word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word, xxhash.xxh3_64_intdigest(lang.encode()))
+def lang_seed(lang: str) -> np.uint64:
+    return np.uint64(xxhash.xxh3_64_intdigest(lang.encode()))
+
+
+def word_hashes(words: pa.Array, seeds: np.ndarray | np.uint64) -> np.ndarray:
+    """Hashes of words (none empty) in the languages of the seeds."""
+    data, starts = text_bytes(words)
+    return mixed(run_hashes(data, starts[:-1], starts[1:]) ^ seeds)
 
 
 def chain_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -186,19 +192,15 @@ class Frequent:
         at = (hashes & self.mask).astype(np.int64)
         return (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
-    def has_one(self, hashed: int) -> bool:
-        at = hashed & int(self.mask)
-        return bool(self.bits[at >> 3] >> (at & 7) & 1)
-
 
 def bitmap(frequent: DataFrame, n: int, size: int = BITMAP_BITS) -> np.ndarray:
     """The bits of all (lang, phrase) of n words, brought together in buckets of 4 KB by Spark."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = np.zeros(batch.num_rows, np.uint64)
-            for i, (lang, phrase) in enumerate(zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist())):
-                words = np.array([word_hash(lang, w) for w in phrase.encode().split(b" ")], np.uint64)
-                hashes[i] = chain_hashes(words, n)[0]
+            seeds = {lang: lang_seed(lang) for lang in pc.unique(batch.column("lang")).to_pylist()}
+            seeds = np.repeat(np.array([seeds[x] for x in batch.column("lang").to_pylist()], np.uint64), n)
+            words = pc.split_pattern(batch.column("phrase"), " ").flatten()
+            hashes = chain_hashes(word_hashes(words, seeds), n)[::n]
             at = (hashes & np.uint64(size - 1)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(at // _BUCKET), pa.array(at % _BUCKET)], ["bucket", "bit"])
 
@@ -271,23 +273,32 @@ class Counter:
 
     def _renew(self) -> None:
         self.trie = HatTrie(self.burst)
-        self.ids: dict[tuple[str, bytes], int] = {}
-        self.hashes, self.langs, self.words = [0], [""], [b""]
-
-    def _id(self, lang: str, word: bytes) -> int:
-        """An id from 1 on, or 0 for a word that is not frequent."""
-        key = (lang, word)
-        found = self.ids.get(key)
-        if found is None:
-            hashed = word_hash(lang, word)
-            found = 0
-            if self.frequent_words is None or self.frequent_words.has_one(hashed):
-                found = len(self.words)
-                self.hashes.append(hashed)
-                self.langs.append(lang)
-                self.words.append(word)
-            self.ids[key] = found
-        return found
+        # All words met of each language, with their ids and hashes; words with an id, in its order.
+        self.known: dict[str, tuple[pa.Array, np.ndarray, np.ndarray]] = {}
+        self.met, self.named = 0, 1
+        self.words, self.langs = [pa.array([b""], pa.large_binary())], [("", 1)]
+
+    def _ids(self, lang: str, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids, from 1 on, or 0 for words that are not frequent, and hashes of distinct words."""
+        none = pa.array([], pa.large_binary()), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        known, ids, hashes = self.known.get(lang, none)
+        at = pc.index_in(words, value_set=known)
+        if at.null_count:
+            new = words.filter(at.is_null())
+            new_hashes = word_hashes(new, lang_seed(lang))
+            good = np.ones(len(new), bool) if self.frequent_words is None else self.frequent_words.has(new_hashes)
+            new_ids = np.where(good, self.named - 1 + np.cumsum(good), 0)
+            self.words.append(new.filter(pa.array(good)))
+            self.langs.append((lang, int(good.sum())))
+            self.named += int(good.sum())
+            self.met += len(new)
+            at = at.to_numpy(zero_copy_only=False)
+            at = np.where(np.isnan(at), len(ids) - 1 + np.cumsum(np.isnan(at)), at).astype(np.int64)
+            known, ids, hashes = self.known[lang] = (
+                pa.concat_arrays([known, new]), np.append(ids, new_ids), np.append(hashes, new_hashes))
+        else:
+            at = at.to_numpy()
+        return ids[at], hashes[at]
 
     def add(self, langs: list[str], data: np.ndarray, bounds: np.ndarray, new: int) -> None:
         """Count a block; `langs` has the language of each range."""
@@ -297,12 +308,15 @@ class Counter:
         names = {lang: i for i, lang in enumerate(dict.fromkeys(langs))}
         lang = np.array([names[x] for x in langs])[owner]
         coded = words.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        pairs, inverse = np.unique(lang * len(distinct) + coded.indices.to_numpy().astype(np.int64), return_inverse=True)
-        by_number = list(names)
-        known = np.array([self._id(by_number[p // len(distinct)], distinct[p % len(distinct)]) for p in pairs.tolist()], np.int64)
-        ids = known[inverse]
-        hashes = np.array([self.hashes[k] for k in known.tolist()], np.uint64)[inverse]
+        codes = coded.indices.to_numpy()
+        order = np.argsort(lang, kind="stable")
+        cuts = np.concatenate(([0], np.cumsum(np.bincount(lang, minlength=len(names)))))
+        ids, hashes = np.zeros(len(codes), np.int64), np.zeros(len(codes), np.uint64)
+        for name, i in names.items():
+            rows = order[cuts[i]:cuts[i + 1]]
+            used, inverse = np.unique(codes[rows], return_inverse=True)
+            found, keys = self._ids(name, coded.dictionary.take(pa.array(used)))
+            ids[rows], hashes[rows] = found[inverse], keys[inverse]
         for n in self.lengths:
             count = len(ids) - n + 1
             if count <= 0:
@@ -321,13 +335,14 @@ class Counter:
 
     def runs(self, rest: bool = False) -> Iterator[pa.RecordBatch]:
         """Sorted runs of what has to be spilled by now, or of all that is left."""
-        renew = len(self.ids) > self.most_ids
+        renew = self.met > self.most_ids
         if not (rest or renew or len(self.trie) > self.full):
             return
-        words = pa.array(self.words, pa.binary()).cast(pa.string())
+        words = pa.concat_arrays(self.words).cast(pa.large_string()).cast(pa.string())
         ranks = np.empty(len(words), np.uint64)
         ranks[pc.sort_indices(words).to_numpy()] = np.arange(len(words), dtype=np.uint64)
-        langs = pa.array(self.langs, pa.string())
+        langs = pa.array([lang for lang, _ in self.langs], pa.string()).take(
+            pa.array(np.repeat(np.arange(len(self.langs)), [n for _, n in self.langs])))
         mask = np.uint64(0xFFFFFFFF)
         for high, low, counts in self.trie.spill(0 if rest or renew else self.full // 2):
             ids = [(x >> s & mask).astype(np.int64) for x in (high, low) for s in (np.uint64(32), np.uint64(0))]
