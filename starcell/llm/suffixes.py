@@ -19,8 +19,8 @@ lets most suffixes drop out early, and treat suffixes that stay neighbours toget
 The first two passes are aggregations with partial sums, and the joins back to runs may
 split hot keys. The last ones sort the runs of a first digit in one task as long as those
 are few. Many different runs of a first digit are cut into cells of neighbouring strings, whose
-common bytes and whose whole bytes are two more digits, counted by aggregations; only strings
-of cells that these leave open are counted one by one. Digits are 64-bit hashes, refined pass by pass: a second digit only counts within
+common bytes and whose whole bytes are two more digits, counted by aggregations; cells that
+these leave open are halved, pass by pass, down to single strings. Digits are 64-bit hashes, refined pass by pass: a second digit only counts within
 its first, and single strings agree in all digits that cover them.
 """
 
@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,11 +46,10 @@ PIECE = 1 << 20
 
 RUNS = "doc_id bigint, mark binary, low int, size int, digit bigint, stretch bigint"
 CUTS = "doc_id bigint, mark binary, low int, again boolean, digit bigint, hot boolean, bytes binary"
-STRINGS = "doc_id bigint, mark binary, low int, start int, again boolean, s1 bigint, s2 bigint"
 EDGES = "doc_id bigint, mark binary, begin int, end int"
-CELLS = ("doc_id bigint, mark binary, low int, count int, again boolean, digit bigint, cell int, core bigint, "
-         "whole bigint, bytes binary")
-# Strings of a cell; cells are counted from the first digit, so that equal strings lie in equal ones.
+CELLS = ("doc_id bigint, mark binary, run int, low int, skip int, count int, again boolean, digit bigint, cell int, "
+         "core bigint, whole bigint, bytes binary")
+# Strings of a cell at first; cells are counted from the first digit, so that equal strings lie in equal ones.
 CELL = 8
 # Different runs of one first digit whose strings are sorted in one task, and rows sorted together.
 HOT_RUNS = 256
@@ -163,8 +163,14 @@ def _runs(length: int):
 
 
 def _cut_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the runs asked for, cut out of their texts."""
+    """The bytes of the runs asked for, cut out of their texts, and of equal rows out of one per task."""
+    seen: set[tuple] = set()
     for batch in batches:
+        keys = list(zip(batch.column("doc_id").to_pylist(), batch.column("mark").to_pylist()))
+        new = [key not in seen and not seen.add(key) for key in keys]
+        if not any(new):
+            continue
+        batch = batch.filter(pa.array(new))
         data, starts = text_bytes(batch.column("text"))
         runs = batch.column("runs").flatten().flatten()
         low, size = (np.asarray(runs[i]).astype(np.int64) for i in (0, 1))
@@ -190,89 +196,106 @@ def _string_places(cuts: pa.Array, length: int, width: int):
     return keys, run, inside, begin[run] + inside
 
 
-def _strings(length: int):
-    """One row for each string of a run, with two hashes of all of it."""
+def _cell_rows(batch: pa.RecordBatch, cut: pa.Array, length: int, size: int, row: np.ndarray, at: np.ndarray,
+               cell: np.ndarray, strings: np.ndarray, keys: np.ndarray, begin: np.ndarray, data: np.ndarray) -> pa.RecordBatch:
+    """Rows of CELLS: cells of `size` strings from `at` on (before 0: cut off) of rows with so many strings.
+
+    `core` stands for the bytes that all strings of a cell hold, `whole` for all bytes of a full one.
+    """
+    width = digit_width(length)
+    first, last = np.maximum(at, 0), np.minimum(at + size, strings[row])
+    core = spans_hash(keys, width, begin[row] + at + size - 1, np.full(len(row), length - size + 1), MIX_A)
+    full = last - first == size
+    whole = np.zeros(len(row), np.uint64)
+    whole[full] = spans_hash(keys, width, begin[row][full] + first[full], np.full(int(full.sum()), length + size - 1))
+    cuts = [data[i:j].tobytes() for i, j in zip(begin[row] + first, begin[row] + last - 1 + length)]
+    low = batch.column("low").to_numpy()[row] + first
+    row = pa.array(row)
+    return pa.RecordBatch.from_arrays(
+        [batch.column("doc_id").take(row), batch.column("mark").take(row), cut.take(row), pa.array(low.astype(np.int32)),
+         pa.array((first - at).astype(np.int32)), pa.array((last - first).astype(np.int32)), batch.column("again").take(row),
+         batch.column("digit").take(row), pa.array(cell.astype(np.int32)), pa.array(core.view(np.int64)),
+         pa.array(whole.view(np.int64), mask=~full), pa.array(cuts, pa.binary())],
+        [c.split()[0] for c in CELLS.split(", ")])
+
+
+def _parts(batches: Iterator[pa.RecordBatch], width: int):
+    """Some rows at a time, with their bytes, the digits at every place, and where each row begins."""
+    for whole in batches:
+        for first in range(0, whole.num_rows, 2000):
+            batch = whole.slice(first, 2000)
+            data, starts = text_bytes(batch.column("bytes"))
+            data, starts = data[starts[0]:starts[-1]], starts - starts[0]
+            yield batch, data, digits(data, width), starts
+
+
+def _cells(length: int):
+    """Cells of runs."""
     width = digit_width(length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for first in range(0, whole.num_rows, 2000):
-                batch = whole.slice(first, 2000)
-                keys, row, inside, at = _string_places(batch.column("bytes"), length, width)
-                same = np.full(len(at), length)
-                hashes = [spans_hash(keys, width, at, same, seed).view(np.int64) for seed in (MIX_A, MIX_C)]
-                low = batch.column("low").to_numpy()[row]
-                row = pa.array(row)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(row), batch.column("mark").take(row), pa.array(low),
-                     pa.array((low + inside).astype(np.int32)), batch.column("again").take(row),
-                     *map(pa.array, hashes)],
-                    ["doc_id", "mark", "low", "start", "again", "s1", "s2"])
+        for batch, data, keys, starts in _parts(batches, width):
+            begin, strings = starts[:-1], np.diff(starts) - length + 1
+            place = least_places(keys, length - width + 1)[begin] - begin
+            least = -place // CELL
+            count = (strings - 1 - place) // CELL - least + 1
+            row = np.repeat(np.arange(len(begin)), count)
+            cell = least[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            yield _cell_rows(batch, batch.column("low"), length, CELL, row, cell * CELL + place[row], cell, strings,
+                             keys, begin, data)
 
     return run
 
 
-def _cells(length: int):
-    """Cells of runs, with the bytes that all strings of a cell hold (core) and, of full ones, all bytes."""
+def _halves(length: int, size: int):
+    """Cells of `size` strings from cells of twice as many."""
     width = digit_width(length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for all_rows in batches:
-            for part in range(0, all_rows.num_rows, 2000):
-                batch = all_rows.slice(part, 2000)
-                data, starts = text_bytes(batch.column("bytes"))
-                data, starts = data[starts[0]:starts[-1]], starts - starts[0]
-                keys, begin = digits(data, width), starts[:-1]
-                strings = np.diff(starts) - length + 1
-                place = least_places(keys, length - width + 1)[begin] - begin
-                least = -place // CELL
-                count = (strings - 1 - place) // CELL - least + 1
-                row = np.repeat(np.arange(len(begin)), count)
-                cell = least[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-                at = cell * CELL + place[row]
-                first, last = np.maximum(at, 0), np.minimum(at + CELL, strings[row])
-                core = spans_hash(keys, width, begin[row] + at + CELL - 1,
-                                  np.full(len(row), length - CELL + 1), MIX_A)
-                full = last - first == CELL
-                whole = np.zeros(len(row), np.uint64)
-                whole[full] = spans_hash(keys, width, begin[row][full] + first[full],
-                                         np.full(int(full.sum()), length + CELL - 1))
-                cuts = [data[i:j].tobytes() for i, j in zip(begin[row] + first, begin[row] + last - 1 + length)]
-                low = batch.column("low").to_numpy()[row] + first
-                row = pa.array(row)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(row), batch.column("mark").take(row), pa.array(low.astype(np.int32)),
-                     pa.array((last - first).astype(np.int32)), batch.column("again").take(row),
-                     batch.column("digit").take(row), pa.array(cell.astype(np.int32)), pa.array(core.view(np.int64)),
-                     pa.array(whole.view(np.int64), mask=~full), pa.array(cuts, pa.binary())],
-                    ["doc_id", "mark", "low", "count", "again", "digit", "cell", "core", "whole", "bytes"])
+        for batch, data, keys, starts in _parts(batches, width):
+            strings, skip, cell = (batch.column(n).to_numpy().astype(np.int64) for n in ("count", "skip", "cell"))
+            row = np.repeat(np.arange(len(cell)), 2)
+            half = np.tile([0, 1], len(cell))
+            at = half * size - skip[row]
+            good = np.maximum(at, 0) < np.minimum(at + size, strings[row])
+            row, half, at = row[good], half[good], at[good]
+            yield _cell_rows(batch, batch.column("run"), length, size, row, at, 2 * cell[row] + half, strings,
+                             keys, starts[:-1], data)
 
     return run
 
 
 def _hot_edges(runs: DataFrame, length: int) -> DataFrame:
-    """EDGES of the runs of first digits that have many, without gathering a digit's runs."""
+    """EDGES of the runs of first digits that have many, without gathering a digit's runs.
+
+    In each pass cells whose core occurs once leave, full cells that occur again are repeated with
+    all their strings, and the others are halved, down to single strings. One cell of each
+    repeated group goes on too, as its strings may be those of an open cell.
+    """
     weight = F.sum(F.when(F.col("again"), 2).otherwise(1))
+    size, found = CELL, []
     cells = stored(runs.mapInArrow(_cells(length), CELLS), "suffix-cells")
-    cores = cells.groupBy("digit", "cell", "core").agg(weight.alias("n")).where("n > 1").drop("n")
-    cells = stored(cells.join(cores, ["digit", "cell", "core"]), "suffix-cores")
-    full = cells.where("whole is not null")
-    wholes = stored(full.groupBy("digit", "cell", "whole").agg(weight.alias("n"), F.min("bytes").alias("bytes"))
-                    .where("n > 1"), "suffix-wholes")
-    key = ["digit", "cell", "whole"]
-    done = full.where("not again").join(wholes.select(*key), key).select(
-        "doc_id", "mark", F.col("low").alias("begin"), (F.col("low") + F.col("count") - 1 + length).alias("end"))
-    names = ["doc_id", "mark", "low", "again", "bytes"]
-    rest = (cells.where("whole is null").select(*names)
-            .union(full.join(wholes.select(*key), key, "left_anti").select(*names))
-            # Strings of a repeated cell may be those of an open one, so that one of each counts too.
-            .union(wholes.select(F.lit(None).cast("bigint"), F.lit(None).cast("binary"), F.lit(0), F.lit(True), "bytes")))
-    strings = rest.mapInArrow(_strings(length), STRINGS)
-    twice = strings.groupBy("s1", "s2").agg(weight.alias("n")).where("n > 1").select("s1", "s2")
-    single = (strings.where("not again").join(twice, ["s1", "s2"]).groupBy("doc_id", "mark", "low")
-              .agg(F.min("start").alias("begin"), (F.max("start") + length).alias("end"))
-              .select("doc_id", "mark", "begin", "end"))
-    return done.union(single)
+    while True:
+        core, key = ["digit", "cell", "core"], ["digit", "cell", "whole"]
+        # What is joined is stored before, so that hot keys of the join can be split.
+        cores = stored(cells.groupBy(*core).agg(weight.alias("n")).where("n > 1").drop("n"), "suffix-cores")
+        cells = stored(cells.join(cores, core), "suffix-open")
+        full = cells.where("whole is not null")
+        one = F.struct("doc_id", "mark", "run", "low", "skip", "count", F.lit(True).alias("again"), "digit", "cell", "bytes")
+        wholes = stored(full.groupBy(*key).agg(weight.alias("n"), F.first(one).alias("one")).where("n > 1"), "suffix-wholes")
+        found.append(full.where("not again").join(wholes.select(*key), key).select(
+            "doc_id", "mark", "run", F.col("low").alias("begin"), (F.col("low") + F.col("count") - 1 + length).alias("end")))
+        if size == 1:
+            break
+        size //= 2
+        names = ["doc_id", "mark", "run", "low", "skip", "count", "again", "digit", "cell", "bytes"]
+        rest = (cells.where("whole is null").select(*names)
+                .union(full.join(wholes.select(*key), key, "left_anti").select(*names))
+                .union(wholes.select("one.*")))
+        cells = stored(rest.mapInArrow(_halves(length, size), CELLS), "suffix-cells")
+    # All strings of a run hold its first digit, so what is repeated of it is one stretch.
+    return reduce(DataFrame.union, found).groupBy("doc_id", "mark", "run").agg(
+        F.min("begin").alias("begin"), F.max("end").alias("end")).drop("run")
 
 
 def sorted_edges(rows: pa.RecordBatch, length: int, width: int) -> pa.RecordBatch:
@@ -353,9 +376,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     runs = stored(texts.mapInArrow(_runs(length), RUNS), "suffix-runs")
 
     # First digit.
-    shared = (runs.groupBy("digit").agg(F.count(F.lit(1)).alias("n"), F.min("stretch").alias("least"),
-                                        F.max("stretch").alias("most"))
-              .where("n > 1").select("digit", (F.col("least") != F.col("most")).alias("open")))
+    shared = runs.groupBy("digit").agg(F.count(F.lit(1)).alias("n"), F.min("stretch").alias("least"),
+                                       F.max("stretch").alias("most"))
+    # Stored before the join, so that a hot digit can be split there.
+    shared = stored(shared.where("n > 1").select("digit", (F.col("least") != F.col("most")).alias("open")), "suffix-digits")
     runs = stored(runs.join(shared, "digit"), "suffix-shared")
 
     # Second digit.
@@ -383,6 +407,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return stored(spans.union(edges), "suffix-spans")
 
 
+def span_lists(spans: DataFrame) -> DataFrame:
+    """The spans of each text. Equal rows have equal spans, of which one is kept before any shuffle."""
+    return spans.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("begin", "end")).alias("__spans"))
+
+
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
     """Maximal ranges of overlapping or touching spans, in order."""
     out: list[tuple[int, int]] = []
@@ -446,15 +475,15 @@ def mark_repeats(docs: DataFrame, length: int = LENGTH, cut_text: bool = False)
     A byte is removed if a string of `length` bytes that covers it also starts somewhere
     else, in another row or the same. Null and empty texts count as empty. Every row is a
     document of its own, so repeated rows repeat each other, whatever their doc_id (null
-    too); an empty table gives an empty result. Columns of the input with the added names
-    are replaced; names that start with two underscores are reserved. With `cut_text` the
+    too); an empty table gives an empty result. Texts of any length are read in pieces of
+    PIECE bytes. Columns of the input with the added names are replaced; names that start with
+    two underscores are reserved. With `cut_text` the
     text loses the removed bytes, except for characters that only partly lie in them.
     """
     spans = repeated_spans(docs, length)
-    per_text = spans.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("begin", "end")).alias("__spans"))
+    per_text = span_lists(spans)
     docs = docs.drop(*ADDED)
     names = docs.columns
-    keyed = docs.withColumns({"__key": F.col("doc_id").cast("bigint"), "__text_mark": text_mark()})
     held = docs.withColumns({"__doc_key": F.col("doc_id").cast("bigint"), "__text_mark": text_mark()})
     per_text = per_text.withColumnsRenamed({"doc_id": "__doc", "mark": "__mark"})
     same = F.col("__doc_key").eqNullSafe(F.col("__doc")) & (F.col("__text_mark") == F.col("__mark"))

@@ -33,6 +33,30 @@ def test_brute_force(spark, monkeypatch, length, hot):
     same(got, brute(rows, length))
 
 
+def test_equal_rows_share_their_spans(spark):
+    text = "".join(chr(97 + i * i % 23) + str(i) for i in range(400))
+    held = []
+    for n in (300, 2000):
+        docs = frame(spark, [(7, text)] * n + [(8, text[:900] + "!" + text[900:])])
+        lists = suffixes.span_lists(suffixes.repeated_spans(docs, 200)).select(F.size("__spans").alias("n")).collect()
+        held.append(sum(r.n for r in lists))
+        got = suffixes.mark_repeats(docs, 200).groupBy("doc_id", "n_removed").count().collect()
+        assert {(r.doc_id, r.n_removed, r["count"]) for r in got} == {(7, len(text), n), (8, len(text), 1)}
+    assert held[0] == held[1]
+
+
+@pytest.mark.parametrize("size", [1, 2, 8])
+def test_halved_cells(spark, monkeypatch, size):
+    monkeypatch.setattr(suffixes, "HOT_RUNS", 1)
+    monkeypatch.setattr(suffixes, "CELL", size)
+    core = "".join(chr(97 + i * i % 23) + str(i) for i in range(60))[:150]
+    rows = [(i, f"{i:05}" * 20 + "left"[i % 5:] + core + "right"[:i % 4] + f"{i:04}" * 20) for i in range(40)]
+    rows += rows[:3] + [(None, core * 2)]
+    for length in (100, 152):
+        got = suffixes.mark_repeats(frame(spark, rows), length).select("doc_id", *ADDED).collect()
+        same(got, brute(rows, length))
+
+
 def test_long_text_in_pieces(spark):
     rows = [(1, "ab" * 700_000), (2, "".join(chr(97 + i * i % 23) + str(i) for i in range(250_000))), (3, "cd" * 90)]
     got = {r.doc_id: r for r in suffixes.mark_repeats(frame(spark, rows), 200).collect()}
