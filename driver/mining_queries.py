@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from driver.raw import STAGED_CUSTOMER_SQL, raw_customer, warehouse
@@ -11,7 +12,7 @@ from driver.sql import KPIS, LINE_DIGITS, LINES, OBS, avg, rnd
 from driver.tables import customer_star, line_kpis, network_star, table
 from starcell.functions.numeric import round_half_up
 from starcell.functions.timeparts import stamp_text
-from starcell.operators import churn, clusters, features, loading, quality, results, rules
+from starcell.operators import churn, clusters, features, kmeans, loading, quality, results, rules
 from starcell.plans import measures
 from starcell.plans.marts import PLAN_COLUMNS
 from starcell.session import fresh_path, write_and_read
@@ -142,6 +143,23 @@ def sweep(s, d):
     return clusters.k_sweep(kmeans_inputs(s, d))
 
 
+# Centres of a pass whose result SQL can say: equally spaced on the diagonal.
+PASS_EDGE = 1.5
+
+
+def lloyd_pass(s, d):
+    """One shared pass of four models from fixed centres: sizes, inertia and the means that centres move to."""
+    points, names = clusters.point_columns(kmeans_inputs(s, d))
+    starts = [np.outer(np.linspace(-PASS_EDGE, PASS_EDGE, k), np.ones(len(names))) for k in clusters.K_RANGE]
+    found, _ = kmeans.lloyd_pass(points, [kmeans.Model(c) for c in starts], names)
+    rows = [(m.k, j, int(m.sizes[j]), m.inertia, *map(float, m.sums[j] / max(m.sizes[j], 1)))
+            for m in found for j in range(m.k) if m.sizes[j]]
+    kpis = ", ".join(f"{k} double" for k in KPIS)
+    held = s.createDataFrame(rows, f"k int, cluster_id int, row_count bigint, inertia double, {kpis}")
+    return held.select("k", "cluster_id", "row_count", round_half_up("inertia", 2).alias("inertia"),
+                       *[round_half_up(k, 4).alias(k) for k in KPIS])
+
+
 def assigned(s, d):
     return clusters.assign(chosen_model(s, d), kmeans_inputs(s, d))
 
@@ -221,6 +239,7 @@ QUERIES = {
     "f1_kpi_table": kpi_rows,
     "f2_standardised_kpis": standardised,
     "f3_k_sweep": sweep,
+    "f3_lloyd_pass": lloyd_pass,
     "f4_inertia": fixed_inertia,
     "f5_silhouette": silhouettes,
     "f6_assigned_clusters": assigned,
@@ -417,6 +436,16 @@ SELECT *, {rnd("(observation_count / sum(observation_count) OVER () * 100.0::DOU
     "f16_rule_strength": f"WITH {_CHURN_RULES} SELECT *, CASE WHEN lift > 2 THEN 'High Affinity' WHEN lift > 1.3 "
                          "THEN 'Moderate Affinity' ELSE 'Baseline' END AS strength FROM rules",
 }
+SQL["f3_lloyd_pass"] = f"""WITH {LINES}, st AS ({_stats(LINE_DIGITS, 'lines')}),
+z AS MATERIALIZED (SELECT row_number() OVER () AS id, {", ".join(f"({x}::DOUBLE - st.{x}_m) / st.{x}_d AS {x}" for x in KPIS)} FROM lines, st),
+c AS (SELECT k, unnest(range(k)) AS j FROM (VALUES (2), (3), (4), (5)) t(k)),
+spots AS (SELECT k, CAST(j AS INTEGER) AS j, {-PASS_EDGE}::DOUBLE + {2 * PASS_EDGE}::DOUBLE * j / (k - 1) AS p FROM c),
+away AS (SELECT id, k, j, {" + ".join(f"({x} - p) * ({x} - p)" for x in KPIS)} AS away FROM z, spots),
+near AS (SELECT id, k, arg_min(j, away) AS cluster_id, min(away) AS away FROM away GROUP BY id, k),
+cost AS (SELECT k, sum(away) AS inertia FROM near GROUP BY k)
+SELECT CAST(k AS INTEGER) AS k, cluster_id, count(*) AS row_count, {rnd("any_value(inertia)", 2)} AS inertia,
+  {", ".join(f"{rnd(f'avg({x})', 4)} AS {x}" for x in KPIS)}
+FROM near JOIN z USING (id) JOIN cost USING (k) GROUP BY k, cluster_id"""
 SQL["f7_stored_profiles"] = SQL["f7_cluster_profiles"]
 _AUC = f"""WITH {_PRED}, g AS (SELECT probability, count(*) FILTER (churn_flag = 1) AS pos,
   count(*) FILTER (churn_flag = 0) AS neg FROM pred GROUP BY 1),

@@ -232,6 +232,12 @@ def test_sweep_improves_with_k(spark, points):
     assert all(-1 <= r.silhouette_score <= 1 for r in rows)
 
 
+def test_sweep_is_as_good_as_separate_fits(spark, points):
+    row = clusters.k_sweep(points, (4,), restarts=5).first()
+    model = clusters.best_model(points, 4, restarts=5)
+    assert row.inertia <= model.summary.trainingCost * 1.001
+
+
 def test_inertia_is_the_training_cost(spark, points):
     model = clusters.best_model(points, 3, restarts=1)
     scaled = model.transform(points)
