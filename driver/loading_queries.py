@@ -143,6 +143,44 @@ def append_twice(s, d):
     return ids
 
 
+# What spoils a raw row, as SQL that both sides run on the raw text; clicks come twice.
+SPOILED = {
+    "latency_ms": "CASE WHEN latency_ms LIKE '%7' THEN 'n/a' ELSE latency_ms END",
+    "region": "CASE WHEN cell_id LIKE '%13 ' THEN 'Nowhere' ELSE region END",
+    "handover_success_pct": "CASE WHEN cell_id LIKE '%5 ' THEN '100.5' ELSE handover_success_pct END",
+}
+
+
+def spoiled_network(s, d):
+    raw = raw_network(s, d)
+    raw = raw.select(*[F.expr(SPOILED.get(c, c)).alias(c) for c in raw.columns])
+    return raw.unionByName(raw.where("region = 'North'"))
+
+
+def quarantined_load(s, d):
+    return loading.load_network(Warehouse(s, fresh_path(s, "quarantine")), spoiled_network(s, d), quarantine=True)
+
+
+def rejected_rules(s, d):
+    """How many rows each rule set apart, read from the quarantine table."""
+    house = Warehouse(s, fresh_path(s, "quarantine"))
+    loading.load_network(house, spoiled_network(s, d), quarantine=True)
+    rows = house.read("rejected_network").select(F.explode("broken_rules").alias("rule"), "copies")
+    return rows.groupBy("rule").agg(F.sum("copies").alias("row_count"))
+
+
+def append_again(s, d):
+    """The first half of the month, then all of it twice, with what is known skipped: rows and distinct keys."""
+    house = Warehouse(s, fresh_path(s, "again"))
+    raw = raw_network(s, d)
+    loading.load_network(house, raw.where("timestamp < '2024-01-16'"))
+    for _ in range(2):
+        loading.load_network(house, raw, reset=False, on_known="skip")
+    return house.read("fact_network_kpi").agg(
+        F.count(F.lit(1)).alias("row_count"), F.count_distinct("cell_key", "time_key").alias("natural_keys"),
+        F.count_distinct("network_kpi_key").alias("fact_ids"))
+
+
 def reset_twice(s, d):
     """A rebuild replaces what was there."""
     house = Warehouse(s, fresh_path(s, "reset"))
@@ -234,6 +272,7 @@ QUERIES = {
     "a18_customer_fact": customer_fact,
     "a18_network_fact": network_fact,
     "a18b_append": append_twice,
+    "a18b_append_again": append_again,
     "a18b_reset": reset_twice,
     "a19_orphans": orphans,
     "a20_row_counts": count_reconciliation,
@@ -241,6 +280,8 @@ QUERIES = {
     "a21_network_totals": network_reconciliation,
     "a22_network_audit": lambda s, d: loading.load_network(
         Warehouse(s, fresh_path(s, "audit")), raw_network(s, d)),
+    "a22_quarantined_load": quarantined_load,
+    "a22_rejected_rules": rejected_rules,
     "a23_csv_result": result_round_trip,
     "a23_json_result": json_round_trip,
     "a24_inferred_result": inferred_result,
@@ -285,6 +326,15 @@ def _recon(pairs: dict) -> str:
                               f"warehouse_value, 0.0::DOUBLE AS difference FROM staged" for m, v in pairs.items())
     return rows
 
+# Spoiled rows as the loader stages them, with the rules they break, and one per key of the good ones.
+_SPOILED = f"""WITH {raw_network_sql()},
+once AS (SELECT raw.* REPLACE ({", ".join(f"{e} AS {c}" for c, e in SPOILED.items())}) FROM raw),
+twice AS (SELECT * FROM once UNION ALL SELECT * FROM once WHERE region = 'North'),
+staged AS (SELECT trim(cell_id) AS cell_id, trim(region) AS region, trim(technology) AS technology, timestamp,
+  latency_ms = 'n/a' AS no_latency, trim(region) = 'Nowhere' AS no_region, handover_success_pct = '100.5' AS no_handover FROM twice),
+good AS (SELECT * FROM staged WHERE NOT (no_latency OR no_region OR no_handover)),
+kept AS (SELECT DISTINCT cell_id, region, technology, timestamp FROM good)"""
+
 
 SQL = {
     "a1_scan_customer_csv": f"WITH {RAW_CUSTOMER_SQL} SELECT * FROM raw",
@@ -363,6 +413,18 @@ SQL = {
                          "count(*) AS accepted_rows, 0::BIGINT AS rejected_rows, count(DISTINCT cell_id) AS dim_cell_rows, "
                          "count(DISTINCT region) AS dim_region_rows, count(DISTINCT technology) AS dim_tech_rows, "
                          "count(DISTINCT timestamp) AS dim_time_rows, count(*) AS fact_network_kpi_rows FROM staged",
+    "a18b_append_again": f"WITH {raw_network_sql()} SELECT count(*) AS row_count, count(*) AS natural_keys, "
+                         "count(*) AS fact_ids FROM raw",
+    "a22_quarantined_load": f"{_SPOILED} SELECT (SELECT count(*) FROM staged) AS source_rows, count(*) AS staging_rows, "
+                            "count(*) AS accepted_rows, (SELECT count(*) FROM staged) - count(*) AS rejected_rows, "
+                            "count(DISTINCT cell_id) AS dim_cell_rows, count(DISTINCT region) AS dim_region_rows, "
+                            "count(DISTINCT technology) AS dim_tech_rows, count(DISTINCT timestamp) AS dim_time_rows, "
+                            "count(*) AS fact_network_kpi_rows FROM kept",
+    "a22_rejected_rules": f"""{_SPOILED} SELECT * FROM (
+  SELECT 'latency_ms not null' AS rule, count(*) FILTER (no_latency) AS row_count FROM staged UNION ALL
+  SELECT 'region in domain', count(*) FILTER (no_region) FROM staged UNION ALL
+  SELECT 'handover_success_pct in [0, 100]', count(*) FILTER (no_handover) FROM staged UNION ALL
+  SELECT 'cell_id, timestamp unique', (SELECT count(*) FROM good) - (SELECT count(*) FROM kept)) WHERE row_count > 0""",
     "a23_csv_result": _RULE_REPORT,
     "a23_json_result": _NULLS,
     "a24_inferred_result": "SELECT p_brand, count(*) AS parts, max(p_retailprice) + 0.25::DOUBLE AS dearest "

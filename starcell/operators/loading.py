@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from starcell.functions.labels import band_label
@@ -13,7 +15,7 @@ from starcell.operators import quality
 from starcell.plans.marts import KPIS, PLAN_COLUMNS
 from starcell.plans.ordering import number_in_order
 from starcell.plans.sizing import broadcast_if_small
-from starcell.session import write_and_read
+from starcell.session import fresh_path, write_and_read
 from starcell.sources.warehouse import Warehouse
 
 WHITESPACE = " \t\n\r\x0b\x0c"
@@ -132,32 +134,107 @@ def _store_fact(house: Warehouse, resolved: DataFrame, keys: Sequence[str], colu
     return house.write(rows.select(number, "*"), name, reset, partition_by)
 
 
-def _store_staged(staged: DataFrame, rules: Sequence[quality.Rule], keys: Sequence[str],
-                  name: str) -> DataFrame:
-    """Staged rows on disk, checked: rules hold and the natural key is unique."""
-    stored = write_and_read(staged, name)
-    quality.require_zero(quality.rule_report(stored, rules), "violation_count", "rules broken")
-    quality.require_zero(quality.surplus_duplicates(stored, keys), "duplicate_count",
-                         f"duplicate {list(keys)}")
-    return stored
+@dataclass
+class Staged:
+    """Accepted and rejected rows as stored, and what was counted while they were written."""
 
+    rows: DataFrame
+    rejected: DataFrame
+    counts: dict[str, int]
 
-def load_customer(house: Warehouse, raw: DataFrame, reset: bool = True) -> DataFrame:
+
+def _one_per_key(rows: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """One row of each key (the least one), and those beyond it, equal ones as one row with `copies`."""
+    columns = rows.columns
+    groups = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("copies"))
+    first = groups.groupBy(*keys).agg(F.min(F.struct(*columns)).alias("one"), F.sum("copies").alias("n"))
+    first = write_and_read(first, "keyed")
+    kept = first.select("one.*")
+    # Only keys with several rows are looked at again.
+    several = first.where("n > 1").select(*[F.col(k).alias(f"__{k}") for k in keys], "one")
+    again = groups.join(several, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    is_first = F.struct(*columns).eqNullSafe(F.col("one"))
+    beyond = again.withColumn("copies", F.col("copies") - is_first.cast("bigint")).where("copies > 0")
+    return kept, beyond.select(*columns, "copies")
+
+
+def _store_staged(staged: DataFrame, rules: Sequence[quality.Rule], keys: Sequence[str], name: str,
+                  quarantine: bool, counted: Mapping[str, Column] | None = None) -> Staged:
+    """Staged rows on disk, split by the rules; the source is read once, and counted while it is written.
+
+    Rows that break a rule, and those beyond the first of a natural key, fail the load or, with
+    `quarantine`, are set apart with the names of the rules they break.
+    """
+    broken = F.array_compact(F.array(*[F.when(r.broken(), F.lit(r.name)) for r in rules]))
+    marked = staged.withColumn("broken_rules", broken).withColumn("accepted", F.size("broken_rules") == 0)
+    watch, counted = Observation(name), dict(counted or {})
+    metrics = {"source_rows": F.count(F.lit(1)), **counted,
+               **{f"broken{i}": F.count_if(F.array_contains("broken_rules", r.name)) for i, r in enumerate(rules)}}
+    path = fresh_path(staged.sparkSession, name)
+    marked = marked.observe(watch, *[m.alias(n) for n, m in metrics.items()]).drop(*[c for c in marked.columns if c.startswith("__")])
+    marked.write.partitionBy("accepted").parquet(path)
+    found = watch.get
+    stored = staged.sparkSession.read.schema(marked.schema).parquet(path)
+    names = [c for c in marked.columns if c not in ("broken_rules", "accepted")]
+    rows = stored.where("accepted").select(*names)
+    copies = F.lit(1).cast("bigint").alias("copies")
+    rejected = stored.where("not accepted").select(*names, "broken_rules", copies)
+    if not quarantine:
+        offending = [{"rule": r.name, "violation_count": found[f"broken{i}"]}
+                     for i, r in enumerate(rules) if found[f"broken{i}"]]
+        if offending:
+            raise ValueError(f"rules broken: {offending[:20]}")
+    surplus = quality.surplus_duplicates(rows, keys).first()["duplicate_count"]
+    if surplus and not quarantine:
+        raise ValueError(f"duplicate {list(keys)}: {surplus} rows")
+    if surplus:
+        rows, beyond = _one_per_key(rows, keys)
+        rejected = rejected.unionByName(beyond.withColumn("broken_rules", F.array(F.lit(f"{', '.join(keys)} unique"))))
+        rows = write_and_read(rows, name)
+    return Staged(rows, rejected, found)
+
+
+def _unknown_only(staged: DataFrame, known: DataFrame, keys: Sequence[str], on_known: str) -> DataFrame:
+    """Rows whose keys the fact does not hold; known ones fail the load or are left out."""
+    if on_known == "fail":
+        if staged.join(known, list(keys), "left_semi").take(1):
+            raise ValueError(f"some {' and '.join(keys)} values are already loaded")
+        return staged
+    return write_and_read(staged.join(known, list(keys), "left_anti"), "unknown")
+
+
+def _append_options(on_known: str) -> None:
+    if on_known not in ("fail", "skip"):
+        raise ValueError("on_known must be 'fail' or 'skip'")
+
+
+def load_customer(house: Warehouse, raw: DataFrame, reset: bool = True, quarantine: bool = False,
+                  on_known: str = "fail") -> DataFrame:
     """Load the customer mart from text rows; returns the audit record.
 
-    Appending accounts that are already there fails, as their key is unique.
+    Rows that break a rule fail the load; with `quarantine` they are kept in the table
+    `rejected_customer` and the others are loaded. On append, accounts that the fact already
+    holds fail the load or are skipped (`on_known`). Only the fact is asked, so an append that
+    broke off before its fact was written can be repeated: members it left are found again.
     """
+    _append_options(on_known)
     plan = list(PLAN_COLUMNS)
-    staged = _store_staged(stage_customer(raw), quality.customer_rules(), ["customerID"],
-                           "staged_customer")
-    if not reset and house.exists("dim_customer"):
-        known = staged.join(house.read("dim_customer"), "customerID", "left_semi")
-        if known.take(1):
-            raise ValueError("some customerID values are already loaded")
-    who = staged.select("customerID", "gender", "SeniorCitizen", "Partner", "Dependents", "tenure")
+    blank = F.btrim("TotalCharges", F.lit(WHITESPACE)) == ""
+    old = F.btrim("tenure", F.lit(WHITESPACE)) != "0"
+    checked = raw.withColumns({"__blank": blank, "__old": blank & old})
+    rules = quality.customer_rules() + ([quality.required("total_charges")] if quarantine else [])
+    staged = _store_staged(stage_customer(checked, strict=not quarantine), rules, ["customerID"], "staged_customer",
+                           quarantine, {"blank_total_charges_cleaned": F.count_if("__blank"), "__old": F.count_if("__old")})
+    if staged.counts["__old"]:
+        warnings.warn(f"{staged.counts['__old']} accounts with a tenure have blank total charges", stacklevel=2)
+    rows = staged.rows
+    if not reset and house.exists("fact_customer_churn"):
+        known = house.read("fact_customer_churn").select("customer_key").join(house.read("dim_customer"), "customer_key")
+        rows = _unknown_only(rows, known.select("customerID"), ["customerID"], on_known)
+    who = rows.select("customerID", "gender", "SeniorCitizen", "Partner", "Dependents", "tenure")
     customers = extend_dimension(house, who, ["customerID"], "customer_key", "dim_customer", reset)
-    plans = extend_dimension(house, staged.select(*plan).distinct(), plan, "plan_key", "dim_plan", reset)
-    resolved = resolve_keys(staged, {
+    plans = extend_dimension(house, rows.select(*plan).distinct(), plan, "plan_key", "dim_plan", reset)
+    resolved = resolve_keys(rows, {
         "customer_key": (customers, {"customerID": "customerID"}),
         "plan_key": (plans, {c: c for c in plan}),
     })
@@ -165,14 +242,31 @@ def load_customer(house: Warehouse, raw: DataFrame, reset: bool = True) -> DataF
                        ["monthly_charges", "total_charges", "churn_flag",
                         F.lit(1).alias("customer_count")],
                        "customer_churn_key", "fact_customer_churn", reset, None)
-    return audit(raw, staged, {"dim_customer_rows": customers, "dim_plan_rows": plans,
-                               "fact_customer_churn_rows": fact}, blanks=blank_audit(raw))
+    if quarantine:
+        house.write(staged.rejected, "rejected_customer", reset)
+    return audit(staged, {"dim_customer_rows": customers, "dim_plan_rows": plans, "fact_customer_churn_rows": fact},
+                 ["blank_total_charges_cleaned"])
 
 
-def load_network(house: Warehouse, raw: DataFrame, reset: bool = True) -> DataFrame:
-    """Load the network mart; the fact is partitioned by day. Returns the audit record."""
-    staged = _store_staged(stage_network(raw), quality.network_rules(), ["cell_id", "timestamp"],
-                           "staged_network")
+def load_network(house: Warehouse, raw: DataFrame, reset: bool = True, quarantine: bool = False,
+                 on_known: str = "fail") -> DataFrame:
+    """Load the network mart; the fact is partitioned by day. Returns the audit record.
+
+    `quarantine` (into `rejected_network`), `on_known` and repeated appends work as in
+    `load_customer`, the natural key being the cell and the timestamp. Of the fact, only days
+    that the new rows fall on are asked.
+    """
+    _append_options(on_known)
+    staged = _store_staged(stage_network(raw, strict=not quarantine), quality.network_rules(), ["cell_id", "timestamp"],
+                           "staged_network", quarantine)
+    rows = staged.rows
+    if not reset and house.exists("fact_network_kpi"):
+        # Partition pruning at run time: the days come from the new rows.
+        days = broadcast_if_small(rows.select(F.col("date").alias("fact_date")).distinct())
+        held = house.read("fact_network_kpi").select("cell_key", "time_key", "fact_date").join(days, "fact_date", "left_semi")
+        known = (held.join(house.read("dim_cell"), "cell_key")
+                 .join(house.read("dim_time").select("time_key", "timestamp"), "time_key"))
+        rows = _unknown_only(rows, known.select("cell_id", "timestamp"), ["cell_id", "timestamp"], on_known)
     members = {
         "dim_cell": ("cell_key", ["cell_id"], [F.col("cell_id")]),
         "dim_region": ("region_key", ["region_name"], [F.col("region").alias("region_name")]),
@@ -180,7 +274,7 @@ def load_network(house: Warehouse, raw: DataFrame, reset: bool = True) -> DataFr
                              [F.col("technology").alias("technology_name")]),
         "dim_time": ("time_key", ["timestamp"], [F.col(c) for c in TIME_COLUMNS]),
     }
-    dims = {name: extend_dimension(house, staged.select(*columns).distinct(), natural, key, name, reset)
+    dims = {name: extend_dimension(house, rows.select(*columns).distinct(), natural, key, name, reset)
             for name, (key, natural, columns) in members.items()}
     keys = {
         "cell_key": (dims["dim_cell"], {"cell_id": "cell_id"}),
@@ -188,31 +282,28 @@ def load_network(house: Warehouse, raw: DataFrame, reset: bool = True) -> DataFr
         "technology_key": (dims["dim_network_tech"], {"technology": "technology_name"}),
         "time_key": (dims["dim_time"], {"timestamp": "timestamp"}),
     }
-    fact = _store_fact(house, resolve_keys(staged, keys), list(keys),
+    fact = _store_fact(house, resolve_keys(rows, keys), list(keys),
                        [*KPIS, F.lit(1).alias("reading_count"), F.col("date").alias("fact_date")],
                        "network_kpi_key", "fact_network_kpi", reset, "fact_date")
-    return audit(raw, staged, {"dim_cell_rows": dims["dim_cell"], "dim_region_rows": dims["dim_region"],
-                               "dim_tech_rows": dims["dim_network_tech"], "dim_time_rows": dims["dim_time"],
-                               "fact_network_kpi_rows": fact})
+    if quarantine:
+        house.write(staged.rejected, "rejected_network", reset)
+    return audit(staged, {"dim_cell_rows": dims["dim_cell"], "dim_region_rows": dims["dim_region"],
+                          "dim_tech_rows": dims["dim_network_tech"], "dim_time_rows": dims["dim_time"],
+                          "fact_network_kpi_rows": fact})
 
 
-def audit(raw: DataFrame, staged: DataFrame, tables: Mapping[str, DataFrame],
-          blanks: DataFrame | None = None) -> DataFrame:
-    """One row of row counts, taken from what was stored."""
-    parts = {"source_rows": raw, "staging_rows": staged, **tables}
+def audit(staged: Staged, tables: Mapping[str, DataFrame], noted: Sequence[str] = ()) -> DataFrame:
+    """One row of counts: those taken while the source was staged, and the rows of stored tables."""
+    parts = {"staging_rows": staged.rows, **tables}
     long = None
     for name, df in parts.items():
         line = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("part"), "n")
         long = line if long is None else long.unionByName(line)
-    if blanks is not None:
-        long = long.unionByName(blanks.select(
-            F.lit("blank_total_charges_cleaned").alias("part"), F.col("blank_total_charges").alias("n")))
-        parts["blank_total_charges_cleaned"] = blanks
-    counts = {n: F.max(F.when(F.col("part") == n, F.col("n"))).alias(n) for n in parts}
-    row = long.agg(*counts.values())
+    row = long.agg(*[F.max(F.when(F.col("part") == n, F.col("n"))).alias(n) for n in parts])
+    known = {n: F.lit(staged.counts[n]).cast("bigint") for n in ("source_rows", *noted)}
     return row.withColumns({
-        "accepted_rows": F.col("staging_rows"),
-        "rejected_rows": F.col("source_rows") - F.col("staging_rows"),
+        **known, "accepted_rows": F.col("staging_rows"),
+        "rejected_rows": known["source_rows"] - F.col("staging_rows"),
     })
 
 

@@ -39,7 +39,8 @@ class Warehouse:
         if partition_by:
             writer = writer.partitionBy(partition_by)
         writer.parquet(self.path(name))
-        return self.read(name)
+        # A partitioned table of no rows has no file that tells its columns.
+        return self.read(name) if self.exists(name) else self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def customer_star(self) -> Star:
         return customer_star(self.read("fact_customer_churn"), self.read("dim_customer"),

@@ -190,6 +190,79 @@ def test_network_load_rejects(spark, house, place, value):
         loading.load_network(house, network_raw(spark, [*rows[1:], tuple(bad)]))
 
 
+def test_appended_telemetry_is_not_doubled(spark, house):
+    loading.load_network(house, network_raw(spark))
+    with pytest.raises(ValueError, match="cell_id and timestamp values are already loaded"):
+        loading.load_network(house, network_raw(spark), reset=False)
+    more = [(r[0].replace("14:0", "15:0"), *r[1:]) for r in network_csv_rows()]
+    for _ in range(2):
+        audit = loading.load_network(house, network_raw(spark, network_csv_rows() + more), reset=False, on_known="skip").first()
+    fact = house.read("fact_network_kpi")
+    assert audit.fact_network_kpi_rows == 24 == fact.select("cell_key", "time_key").distinct().count()
+    assert fact.select("network_kpi_key").distinct().count() == 24
+    with pytest.raises(ValueError, match="on_known"):
+        loading.load_network(house, network_raw(spark), reset=False, on_known="replace")
+
+
+def test_customer_append_is_repeated_after_a_failure(spark, house, monkeypatch):
+    loading.load_customer(house, accounts(spark, [account(i) for i in range(5)]))
+    more = accounts(spark, [account(i, Contract="Two year") for i in range(10, 14)])
+    with monkeypatch.context() as broken:
+        def fail(*_):
+            raise RuntimeError("lost")
+        broken.setattr(loading, "_store_fact", fail)
+        with pytest.raises(RuntimeError, match="lost"):
+            loading.load_customer(house, more, reset=False)
+    assert house.read("dim_customer").count() == 9 and house.read("fact_customer_churn").count() == 5
+    audit = loading.load_customer(house, more, reset=False).first()
+    assert (audit.dim_customer_rows, audit.dim_plan_rows, audit.fact_customer_churn_rows) == (9, 2, 9)
+    assert house.read("dim_customer").select("customer_key").distinct().count() == 9
+
+
+def test_quarantine_counts_and_keeps_bad_rows(spark, house):
+    rows = [account(i) for i in range(1, 7)]
+    rows += [account(1), account(1, MonthlyCharges="30.5"), account(2, Churn="Maybe"), account(20, TotalCharges="x"),
+             account(21, Contract="Weekly", gender=None), account(21, Contract="Weekly", gender=None)]
+    audit = loading.load_customer(house, accounts(spark, rows), quarantine=True).first()
+    assert (audit.source_rows, audit.accepted_rows, audit.rejected_rows, audit.fact_customer_churn_rows) == (12, 6, 6, 6)
+    bad = house.read("rejected_customer")
+    assert bad.agg(F.sum("copies")).first()[0] == 6
+    found = {(r.customerID, tuple(sorted(r.broken_rules))) for r in bad.collect()}
+    assert found == {("0001-ABC", ("customerID unique",)), ("0002-ABC", ("churn_flag not null",)),
+                     ("0020-ABC", ("total_charges not null",)), ("0021-ABC", ("Contract in domain", "gender not null"))}
+    # Of an account's rows the least one is loaded, whatever their order.
+    kept = house.read("fact_customer_churn").join(house.read("dim_customer"), "customer_key").where("customerID = '0001-ABC'")
+    assert [r.monthly_charges for r in kept.collect()] == [20.15]
+
+
+def test_quarantine_of_nothing_and_of_everything(spark, house):
+    audit = loading.load_network(house, network_raw(spark), quarantine=True).first()
+    assert (audit.rejected_rows, house.read("rejected_network").count()) == (0, 0)
+    bad = [(*r[:6], "101", *r[7:]) for r in network_csv_rows()]
+    audit = loading.load_network(house, network_raw(spark, bad), quarantine=True).first()
+    assert (audit.source_rows, audit.accepted_rows, audit.rejected_rows) == (12, 0, 12)
+
+
+def test_source_is_read_once(spark, house, tmp_path):
+    path = str(tmp_path / "raw")
+    network_raw(spark).repartition(3).write.parquet(path)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    raw = spark.read.parquet(path)
+    loading.load_network(house, raw.mapInArrow(counted, raw.schema))
+    assert read.value == 12
+
+
+def test_blank_charges_of_old_accounts_warn(spark, house):
+    with pytest.warns(UserWarning, match="1 accounts with a tenure"):
+        loading.load_customer(house, accounts(spark, [account(0), account(5, TotalCharges=" ")]))
+
+
 def test_unresolved_keys_fail_the_write(spark, house):
     staged = spark.createDataFrame([("a",), ("b",)], "name string")
     dim = spark.createDataFrame([("a", 1)], "name string, key bigint")
