@@ -52,7 +52,8 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality.judge(docs).drop("text")
+    named = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return quality.judge(docs).drop("text").select(*named, *[m for m in quality.MEASURES if m not in named])
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
