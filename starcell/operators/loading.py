@@ -6,7 +6,7 @@ import warnings
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starcell.functions.labels import band_label
@@ -136,7 +136,7 @@ def _store_fact(house: Warehouse, resolved: DataFrame, keys: Sequence[str], colu
 
 @dataclass
 class Staged:
-    """Accepted and rejected rows as stored, and what was counted while they were written."""
+    """Accepted and rejected rows as stored, and what was counted of them."""
 
     rows: DataFrame
     rejected: DataFrame
@@ -160,22 +160,22 @@ def _one_per_key(rows: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataF
 
 def _store_staged(staged: DataFrame, rules: Sequence[quality.Rule], keys: Sequence[str], name: str,
                   quarantine: bool, counted: Mapping[str, Column] | None = None) -> Staged:
-    """Staged rows on disk, split by the rules; the source is read once, and counted while it is written.
+    """Staged rows on disk, split by the rules; the source is read once.
 
     Rows that break a rule, and those beyond the first of a natural key, fail the load or, with
     `quarantine`, are set apart with the names of the rules they break.
     """
     broken = F.array_compact(F.array(*[F.when(r.broken(), F.lit(r.name)) for r in rules]))
     marked = staged.withColumn("broken_rules", broken).withColumn("accepted", F.size("broken_rules") == 0)
-    watch, counted = Observation(name), dict(counted or {})
-    metrics = {"source_rows": F.count(F.lit(1)), **counted,
+    metrics = {"source_rows": F.count(F.lit(1)), **(counted or {}),
                **{f"broken{i}": F.count_if(F.array_contains("broken_rules", r.name)) for i, r in enumerate(rules)}}
     path = fresh_path(staged.sparkSession, name)
-    marked = marked.observe(watch, *[m.alias(n) for n, m in metrics.items()]).drop(*[c for c in marked.columns if c.startswith("__")])
     marked.write.partitionBy("accepted").parquet(path)
-    found = watch.get
     stored = staged.sparkSession.read.schema(marked.schema).parquet(path)
-    names = [c for c in marked.columns if c not in ("broken_rules", "accepted")]
+    # Counted on what is stored. An Observation would do so during the write, but a session that
+    # has held one can no longer ship models that keep their training summary.
+    found = stored.agg(*[m.alias(n) for n, m in metrics.items()]).first().asDict()
+    names = [c for c in marked.columns if c not in ("broken_rules", "accepted") and not c.startswith("__")]
     rows = stored.where("accepted").select(*names)
     copies = F.lit(1).cast("bigint").alias("copies")
     rejected = stored.where("not accepted").select(*names, "broken_rules", copies)
@@ -293,7 +293,7 @@ def load_network(house: Warehouse, raw: DataFrame, reset: bool = True, quarantin
 
 
 def audit(staged: Staged, tables: Mapping[str, DataFrame], noted: Sequence[str] = ()) -> DataFrame:
-    """One row of counts: those taken while the source was staged, and the rows of stored tables."""
+    """One row of counts: those of the staged source, and the rows of stored tables."""
     parts = {"staging_rows": staged.rows, **tables}
     long = None
     for name, df in parts.items():
