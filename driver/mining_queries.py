@@ -5,6 +5,8 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from driver.raw import STAGED_CUSTOMER_SQL, raw_customer, warehouse
@@ -50,12 +52,10 @@ def scaled(s, d):
 def encoded(s, d):
     """Encoded categories of both splits, summed per split and column."""
     rows = write_and_read(split(s, d), "split")
-    encoding = features.OneHot.fit(rows.where("split = 'train'"), churn.CATEGORICAL)
-    columns = encoding.columns()
-    sums = rows.groupBy("split").agg(*[F.sum(c).alias(f"c{i}") for i, c in enumerate(columns.values())])
-    entries = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(f"c{i}").cast("bigint").alias("ones"))
-                        for i, n in enumerate(columns)])
-    return sums.select("split", F.inline(entries))
+    encoder = features.Preprocessor.fit(rows.where("split = 'train'"), {}, churn.CATEGORICAL)
+    sums = encoder.apply(rows, ["split"]).groupBy("split").agg(Summarizer.sum(F.col("features")).alias("sums"))
+    ones = sums.select("split", F.posexplode(vector_to_array("sums")).alias("place", "ones"))
+    return ones.join(encoder.names(), "place").select("split", "feature", F.col("ones").cast("bigint").alias("ones"))
 
 
 def class_weights(s, d):

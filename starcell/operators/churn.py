@@ -227,9 +227,15 @@ def roc_auc(df: DataFrame, label: str = TARGET, probability: str = "probability"
 def feature_table(spark: SparkSession, names: Sequence[str], importances: Sequence[float],
                   coefficients: Sequence[float]) -> DataFrame:
     """Importance, coefficient, direction and ranks, one row per model feature."""
-    rows = [(n, float(i), float(c)) for n, i, c in zip(names, importances, coefficients)]
-    df = spark.createDataFrame(rows, "feature string, dt_importance double, lr_coefficient double")
-    return rank_features(df)
+    named = spark.createDataFrame(list(enumerate(names)), "place bigint, feature string")
+    return named_features(named, importances, coefficients)
+
+
+def named_features(names: DataFrame, importances: Sequence[float], coefficients: Sequence[float]) -> DataFrame:
+    """The same for names in a table (place, feature)."""
+    rows = [(place, float(i), float(c)) for place, (i, c) in enumerate(zip(importances, coefficients))]
+    figures = names.sparkSession.createDataFrame(rows, "place bigint, dt_importance double, lr_coefficient double")
+    return rank_features(names.join(figures, "place").drop("place"))
 
 
 def rank_features(df: DataFrame) -> DataFrame:
@@ -270,8 +276,8 @@ class ChurnModels:
         return lines
 
     def features(self, spark: SparkSession) -> DataFrame:
-        return feature_table(spark, self.preprocessor.names(), self.tree.featureImportances.toArray(),
-                             self.logistic.coefficients.toArray())
+        return named_features(self.preprocessor.names(), self.tree.featureImportances.toArray(),
+                              self.logistic.coefficients.toArray())
 
     def save(self, spark: SparkSession, folder: str) -> None:
         self.logistic.write().overwrite().save(os.path.join(folder, "churn_logistic_regression"))

@@ -124,14 +124,53 @@ def test_scaling_of_training_rows(spark):
         assert [r.c for r in scaling.apply(df).collect()] == [0.0] * 3
 
 
-def test_unknown_level_is_all_zero(spark):
-    train = spark.createDataFrame([("b",), ("a",), ("c",)], "g string")
-    encoding = features.OneHot.fit(train, ["g"])
-    columns = encoding.columns()
-    assert list(columns) == ["g_b", "g_c"]
-    other = spark.createDataFrame([("a",), ("c",), ("z",), (None,)], "g string")
-    rows = other.select(*[c.alias(n) for n, c in columns.items()]).collect()
-    assert [tuple(r) for r in rows] == [(0, 0), (0, 1), (0, 0), (0, 0)]
+def dense(encoder, rows):
+    return [tuple(r.features.toArray()) for r in encoder.apply(rows).collect()]
+
+
+def feature_names(encoder):
+    return [r.feature for r in encoder.names().orderBy("place").collect()]
+
+
+@pytest.mark.parametrize("inline", [100, 0])
+def test_unknown_level_is_all_zero(spark, monkeypatch, inline):
+    """Looked up in the row or joined: the same vectors."""
+    monkeypatch.setattr(features, "INLINE_LEVELS", inline)
+    train = spark.createDataFrame([("b", 1, 7, None), ("a", 2, 7, None), ("c", 10, 7, None)],
+                                  "g string, h int, one int, none string")
+    encoder = features.Preprocessor.fit(train, {"h": 0}, ["g", "one", "h", "none"])
+    assert feature_names(encoder) == ["h", "g_b", "g_c", "h_10", "h_2"]  # as texts
+    other = spark.createDataFrame([("a", 10, 7, "x"), ("c", 2, 8, None), ("z", 3, None, None), (None, 1, 7, "y")],
+                                  train.schema).coalesce(1)
+    assert [v[1:] for v in dense(encoder, other)] == [(0, 0, 1, 0), (0, 1, 0, 1), (0, 0, 0, 0), (0, 0, 0, 0)]
+    again = features.Preprocessor.from_rows(encoder.as_rows(spark))
+    assert feature_names(again) == feature_names(encoder) and dense(again, other) == dense(encoder, other)
+
+
+def test_no_rows_or_levels(spark):
+    nothing = spark.createDataFrame([], "g string, x double")
+    assert features.OneHot.fit(nothing, ["g"]).width() == 0
+    train = spark.createDataFrame([(None, 1.0), (None, 3.0)], "g string, x double")
+    encoder = features.Preprocessor.fit(train, {"x": 0}, ["g"])
+    assert dense(encoder, train.coalesce(1)) == [(-1.0,), (1.0,)]
+    only = features.Preprocessor.fit(spark.createDataFrame([("a",), ("b",)], "g string"), {}, ["g"])
+    assert feature_names(only) == ["g_b"]
+
+
+def test_many_levels_train(spark):
+    """A category of 100,000 levels is no special case: it is joined, and its vectors are sparse."""
+    levels = 100_000
+    rows = spark.range(0, 2 * levels, 1, 8).select(
+        F.concat(F.lit("v"), F.col("id") % levels).alias("g"), (F.col("id") % 10).cast("double").alias("x"),
+        (F.col("id") % levels < levels // 2).cast("int").alias("y"), F.lit(1.0).alias("weight"))
+    encoder = features.Preprocessor.fit(rows, {"x": 0}, ["g"])
+    assert encoder.width() == levels
+    ready = encoder.apply(rows, ["y", "weight"])
+    assert all(len(r.features.indices) <= 2 for r in ready.limit(100).collect())
+    model = churn.fit_logistic(ready, "y", max_iter=3)
+    table = churn.named_features(encoder.names(), [0.0] * levels, model.coefficients.toArray())
+    picked = {r.feature: r.lr_coefficient for r in table.where("feature IN ('g_v1', 'g_v99999')").collect()}
+    assert picked["g_v1"] > 0 > picked["g_v99999"]
 
 
 def test_model_quality(models):
@@ -185,7 +224,7 @@ def test_feature_ranks_share_ties(spark):
 def test_saved_models_score_the_same(spark, models, table, tmp_path):
     models.save(spark, str(tmp_path))
     preprocessor, logistic, _ = churn.load_models(spark, str(tmp_path))
-    assert preprocessor.names() == models.preprocessor.names()
+    assert feature_names(preprocessor) == feature_names(models.preprocessor)
     fresh = churn.score(logistic, preprocessor.apply(table, ["churn_flag"]))
     kept = churn.score(models.logistic, models.preprocessor.apply(table, ["churn_flag"]))
     assert fresh.exceptAll(kept).count() == 0
