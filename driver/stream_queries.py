@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from starcell.functions.timeparts import stamp_text
 from starcell.operators import health
 from starcell.session import fresh_path
-from starcell.streaming import telemetry
+from starcell.streaming import onsets, telemetry
 
 
 def _stream(s, d):
@@ -64,12 +64,31 @@ def stream_late_onsets(s, d):
     return rows.withColumn("timestamp", stamp_text(F.col("timestamp"))).drop("message")
 
 
+# Observations of the keyed stream come up to two days late.
+LATE_DAYS, DELAY = 2, "3 days"
+
+
+def stream_keyed_onsets(s, d):
+    """From keyed state, over files of about a week each; the last three days wait for the watermark."""
+    folder, out = fresh_path(s, "stream-input"), fresh_path(s, "stream-onsets")
+    rows = event_kpis(s, d)
+    arrived = F.unix_date(F.col("timestamp").cast("date")) + F.pmod(F.col("event_id"), F.lit(LATE_DAYS + 1))
+    rows = rows.withColumn("week", F.floor(arrived / 7))
+    for week in sorted(r["week"] for r in rows.select("week").distinct().collect()):
+        rows.where(F.col("week") == week).drop("week").coalesce(1).write.mode("append").parquet(folder)
+    stream = telemetry.read_stream(s, folder, rows.drop("week").schema, files_per_batch=1)
+    onsets.keyed_onset_stream(stream, out, fresh_path(s, "stream-progress"), DELAY, tie=["event_id"])
+    rows = telemetry.read_batches(s, out)
+    return rows.withColumn("timestamp", stamp_text(F.col("timestamp"))).drop("message")
+
+
 QUERIES = {
     "c2_stream_rollup_hour": stream_rollup,
     "g1_stream_health": stream_health,
     "g2_stream_alerts": stream_alerts,
     "g7_stream_onsets": stream_onsets,
     "g7_stream_late_onsets": stream_late_onsets,
+    "g7_stream_keyed_onsets": stream_keyed_onsets,
 }
 
 SQL = {
@@ -78,4 +97,8 @@ SQL = {
     "g2_stream_alerts": telemetry_queries.SQL["g2_alerts_own_thresholds"],
     "g7_stream_onsets": telemetry_queries.SQL["g7_alert_onsets"],
     "g7_stream_late_onsets": telemetry_queries.SQL["g7_alert_onsets"],
+    # Without the observations that the watermark has not passed.
+    "g7_stream_keyed_onsets": telemetry_queries.SQL["g7_alert_onsets"].replace(
+        "WHERE before", "WHERE timestamp < (SELECT strftime(max(ts) - INTERVAL 3 DAY, '%Y-%m-%d %H:%M:%S') FROM events) "
+        "AND (before") + ")",
 }

@@ -168,6 +168,11 @@ def _kinds(columns: Sequence[str]) -> list[str]:
     return [kind for kind, (kpi, *_) in ALERTS.items() if kpi in columns]
 
 
+def alert_kpis(columns: Sequence[str]) -> list[str]:
+    """The KPIs at hand that alerts are about."""
+    return [ALERTS[kind][0] for kind in _kinds(columns)]
+
+
 def _past(kind: str, limits: Mapping[str, float]) -> Column:
     """Whether the reading is past the limit of this kind."""
     kpi = ALERTS[kind][0]
@@ -200,6 +205,22 @@ def _found(thresholds: Mapping[str, float] | None, columns: Sequence[str]) -> Co
     return F.array(*[_alert(kind, limits, _past(kind, limits)) for kind in _kinds(columns)])
 
 
+def active_alerts(columns: Sequence[str], thresholds: Mapping[str, float] | None = None) -> Column:
+    """The alert kinds that an observation raises, a bit per kind."""
+    limits = _limits(thresholds)
+    return sum((F.when(_past(kind, limits), 2**place).otherwise(0)
+                for place, kind in enumerate(_kinds(columns))), F.lit(0))
+
+
+def new_alerts(columns: Sequence[str], active: Column, before: Column,
+               thresholds: Mapping[str, float] | None = None) -> Column:
+    """Array with one struct or NULL per alert kind: those in `active` but not in `before`."""
+    limits = _limits(thresholds)
+    fresh = active.bitwiseAND(F.bitwise_not(before))
+    return F.array(*[_alert(kind, limits, fresh.bitwiseAND(F.lit(2**place)) != 0)
+                     for place, kind in enumerate(_kinds(columns))])
+
+
 def alerts(thresholds: Mapping[str, float] | None = None, columns: Sequence[str] = tuple(KPIS)) -> Column:
     """Array of alert structs of one observation, in a fixed order.
 
@@ -315,12 +336,10 @@ def alert_onsets(df: DataFrame, cell: str = "cell_id", ts: str = "timestamp",
     busy cell's history. The first step of a chunk takes its predecessor from the
     last step of the cell's preceding chunk, found on one row per chunk.
     """
-    limits, kinds = _limits(thresholds), _kinds(df.columns)
     order = [F.col(ts), *[F.col(c) for c in tie]]
-    # One bit per active kind: the texts are made only for what is new.
-    bits = {kind: 2**place for place, kind in enumerate(kinds)}
-    active = sum((F.when(_past(kind, limits), bit).otherwise(0) for kind, bit in bits.items()), F.lit(0))
-    rows = df.select(cell, ts, *tie, *[ALERTS[kind][0] for kind in kinds], active.alias("__active"),
+    # The texts are made only for what is new.
+    rows = df.select(cell, ts, *tie, *alert_kpis(df.columns),
+                     active_alerts(df.columns, thresholds).alias("__active"),
                      F.date_trunc(chunk, F.col(ts)).alias("__chunk"))
     last = rows.groupBy(cell, "__chunk").agg(
         F.max(F.struct(*order, F.col("__active"))).alias("__last"))
@@ -333,6 +352,5 @@ def alert_onsets(df: DataFrame, cell: str = "cell_id", ts: str = "timestamp",
     rows = rows.join(carried, rows[cell].eqNullSafe(carried["__cell"])
                      & (rows["__chunk"] == carried["__at"]), "left")
     before = F.coalesce("__before", "__carried", F.lit(0))
-    fresh = F.array(*[_alert(kind, limits, _past(kind, limits) & (before.bitwiseAND(F.lit(bit)) == 0))
-                      for kind, bit in bits.items()])
+    fresh = new_alerts(df.columns, F.col("__active"), before, thresholds)
     return rows.select(cell, ts, *tie, F.inline(fresh)).where(F.col("alert_type").isNotNull())

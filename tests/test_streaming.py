@@ -2,13 +2,14 @@
 
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from driver.tables import EVENT_DIGITS, event_cube, event_kpis
 from starcell.operators import health
 from starcell.plans.marts import KPIS
-from starcell.streaming import telemetry
+from starcell.streaming import onsets, telemetry
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -73,3 +74,65 @@ def test_late_readings_change_earlier_onsets(spark, tmp_path):
     got = telemetry.read_onsets(spark, places[0])
     assert lines(got) == lines(health.alert_onsets(spark.read.parquet(folder)))
     assert sorted((str(r.cell_id), r.timestamp) for r in got.collect()) == [("None", at(1)), ("a", at(0)), ("a", at(3)), ("b", at(5))]
+
+
+QUIET = {"latency_ms": 10.0, "throughput_mbps": 1.0, "packet_loss_pct": 0.0, "call_drop_rate_pct": 0.0,
+         "signal_strength_dbm": -60.0, "handover_success_pct": 99.0, "active_connections": 1}
+
+
+def written(spark, folder, batches):
+    """One file per batch of (cell, minute, tie, latency); its schema."""
+    base = spark.range(0).select(F.lit(None).cast("string").alias("cell_id"),
+                                 F.lit(None).cast("timestamp_ntz").alias("timestamp"),
+                                 F.lit(None).cast("bigint").alias("n"),
+                                 *[F.lit(None).cast("int" if k == "active_connections" else "double").alias(k) for k in KPIS])
+    for rows in batches:
+        lines_ = [(c, None if m is None else datetime(2024, 1, 1) + timedelta(minutes=m), n,
+                   *[v if k == "latency_ms" else QUIET[k] for k in KPIS]) for c, m, n, v in rows]
+        spark.createDataFrame(lines_, base.schema).coalesce(1).write.mode("append").parquet(folder)
+    return base.schema
+
+
+def keyed(spark, folder, schema, tmp_path, delay):
+    out = str(tmp_path / "out")
+    onsets.keyed_onset_stream(telemetry.read_stream(spark, folder, schema, files_per_batch=1), out,
+                              str(tmp_path / "progress"), delay, tie=["n"])
+    return telemetry.read_batches(spark, out)
+
+
+def test_keyed_onsets_within_the_watermark(spark, tmp_path):
+    """Batches whose rows come up to nine minutes late give what the batch operator gives."""
+    rng = np.random.default_rng(5)
+    rows = [(["a", "b", None][rng.integers(3)], int(m), int(2**60 + i) if i % 7 else None, float(rng.choice([10, 90, 200])))
+            for i, m in enumerate(np.sort(rng.integers(0, 500, 900)))]
+    batches = [[] for _ in range(50)]
+    for row in rows:
+        batches[min((row[1] + int(rng.integers(0, 10))) // 10, 49)].append(row)
+    folder = str(tmp_path / "in")
+    schema = written(spark, folder, [b for b in batches if b])
+    got = keyed(spark, folder, schema, tmp_path, "10 minutes")
+    end = datetime(2024, 1, 1) + timedelta(minutes=max(r[1] for r in rows) - 10)
+    want = health.alert_onsets(spark.read.parquet(folder), tie=["n"]).where(F.col("timestamp") < F.lit(end))
+    # Rows that agree in cell, time and tie have no order of their own.
+    assert got.count() > 100 and lines(got) == lines(want)
+
+
+def test_keyed_onsets_leave_out_what_is_too_late(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    schema = written(spark, folder, [
+        [("a", 0, 1, 90.0), ("a", 2, 1, 10.0), ("b", 30, 1, 10.0), ("b", None, 1, 90.0)],
+        [("b", 31, 1, 10.0)],
+        [("a", 1, 1, 10.0), ("a", 40, 1, None), ("a", 41, 1, 90.0)],  # minute 1 has been decided
+        [("b", 80, 1, 10.0)]])
+    got = keyed(spark, folder, schema, tmp_path, "5 minutes")
+    assert sorted((r.cell_id, r.timestamp.minute) for r in got.collect()) == [("a", 0), ("a", 41)]
+    # A second run has nothing new, and resumes from its state.
+    assert keyed(spark, folder, schema, tmp_path, "5 minutes").count() == 2
+    written(spark, folder, [[("a", 79, 1, 90.0), ("b", 79, 1, 90.0)], [("b", 120, 1, 10.0)]])
+    got = keyed(spark, folder, schema, tmp_path, "5 minutes")
+    assert sorted((r.cell_id, r.timestamp.minute + 60 * r.timestamp.hour) for r in got.collect()) == [("a", 0), ("a", 41), ("b", 79)]
+
+
+def test_keyed_onsets_refuse_other_ties(spark, folder):
+    with pytest.raises(ValueError, match="ties"):
+        onsets.keyed_onsets(stream(spark, folder), tie=["latency_ms"])
