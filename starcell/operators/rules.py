@@ -51,42 +51,45 @@ def churn_baskets(fact: DataFrame, plan: DataFrame) -> DataFrame:
     return baskets(rows, {**{c: F.col(c) for c in PLAN_COLUMNS}, "Churn": churn}, F.col("n"))
 
 
-def _grown(sets: Column) -> Column:
-    """Sets of one more item from sorted ones of a basket: two that agree in all but the last item join."""
-    def beginning(chosen: Column) -> Column:
-        return F.slice(chosen, 1, F.size(chosen) - 1)
-
-    return F.flatten(F.transform(sets, lambda one: F.transform(
-        F.filter(sets, lambda two: (beginning(one) == beginning(two))
-                 & (F.element_at(two, -1) > F.element_at(one, -1))),
-        lambda two: F.array_append(one, F.element_at(two, -1)))))
+def _longer(classes: DataFrame) -> DataFrame:
+    """Sets of one more item: in a class of a basket's sets that differ in the last item only, any two join."""
+    one = classes.select("basket", "weight", "begin", "lasts", F.posexplode("lasts").alias("at", "last"))
+    rest = F.slice("lasts", F.col("at") + 2, F.size("lasts"))
+    return one.select("basket", "weight", F.array_append("begin", F.col("last")).alias("begin"),
+                      F.explode(rest).alias("last"))
 
 
 def frequent_itemsets(counted: DataFrame, min_support: float = 0.05, max_items: int = 3) -> DataFrame:
     """Item sets up to `max_items` held by at least a share `min_support` of all rows.
 
     `counted` holds (items, weight). Sets grow by one item at a time: a basket keeps those
-    of its sets that are frequent, found by a join, and makes longer ones of them alone.
-    Counting combines map-side, and no list of items leaves the cluster.
+    of its sets that are frequent, found by a join, in classes that share all but the last
+    item; longer sets are the pairs within a class. A class has at most the items of one
+    basket. Counting combines map-side, and no list of items leaves the cluster.
     """
     min_support = arguments.number(min_support, "min_support", 0.0, 1.0)
     max_items = arguments.whole_number(max_items, "max_items", 1)
-    baskets_of = write_and_read(counted.groupBy("items").agg(F.sum("weight").alias("weight")), "baskets")
+    # Stored, so that the numbers of baskets stay.
+    baskets_of = write_and_read(counted.groupBy("items").agg(F.sum("weight").alias("weight")).withColumn(
+        "basket", F.monotonically_increasing_id()), "baskets")
     size = baskets_of.agg(F.sum("weight")).first()[0] or 0
     share = F.col("row_count") / F.lit(float(size))
-    sets = F.transform("items", lambda item: F.array(item))
+    held = baskets_of.select("basket", "weight", F.array().cast("array<string>").alias("begin"),
+                             F.explode(F.array_distinct("items")).alias("last"))
     found = None
     for length in range(1, max_items + 1):
-        held = baskets_of.select("items", "weight", F.explode(sets).alias("itemset"))
-        frequent = write_and_read(held.groupBy("itemset").agg(F.sum("weight").alias("row_count"))
-                                  .where(share >= min_support), "frequent")
+        counts = held.groupBy("begin", "last").agg(F.sum("weight").alias("row_count"))
+        frequent = write_and_read(counts.where(share >= min_support), "frequent")
         found = frequent if found is None else found.unionByName(frequent)
         if length < max_items:
-            kept = held.join(broadcast_if_small(frequent.select("itemset")), "itemset")
-            baskets_of = write_and_read(kept.groupBy("items").agg(
-                F.first("weight").alias("weight"), F.collect_list("itemset").alias("sets")), "baskets")
-            sets = _grown(F.col("sets"))
-    return found.select("itemset", F.size("itemset").alias("items"), "row_count", share.alias("support"))
+            kept = held.join(frequent.select("begin", "last"), ["begin", "last"])
+            classes = kept.groupBy("basket", "begin").agg(
+                F.first("weight").alias("weight"), F.array_sort(F.collect_list("last")).alias("lasts"))
+            classes = classes.where(F.size("lasts") > 1)
+            # Read twice, but for those that only the last counts need.
+            held = _longer(write_and_read(classes, "classes") if length + 1 < max_items else classes)
+    itemset = F.array_append("begin", F.col("last"))
+    return found.select(itemset.alias("itemset"), F.size(itemset).alias("items"), "row_count", share.alias("support"))
 
 
 def association_rules(itemsets: DataFrame, min_confidence: float = 0.35, min_lift: float = 1.2,

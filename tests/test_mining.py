@@ -44,6 +44,21 @@ def test_itemsets_by_brute_force(spark):
     assert found == {k: n for k, n in want.items() if n / 12 >= 0.2}
 
 
+def test_longer_itemsets_and_odd_baskets(spark):
+    """Up to five items; unsorted, repeated, empty and missing items."""
+    given = [(["d", "b", "a", "c", "e"], 3), (["a", "b", "c", "d"], 2), (["a", "a", "b"], 4), ([], 1), (None, 1),
+             (["e", "c", "a"], 2), (["a", "b"], 1), (["a", "b"], 1)]
+    counted = spark.createDataFrame(given, "items array<string>, weight int")
+    for most in (1, 2, 5):
+        found = {tuple(r.itemset): r.row_count for r in rules.frequent_itemsets(counted, 0.2, most).collect()}
+        want = {}
+        for items, n in given:
+            for size in range(1, most + 1):
+                for chosen in combinations(sorted(set(items or [])), size):
+                    want[chosen] = want.get(chosen, 0) + n
+        assert found == {k: n for k, n in want.items() if n / 15 >= 0.2}
+
+
 def test_itemsets_are_those_of_fpgrowth(spark):
     house = raw.warehouse(spark, SF_DIR)
     counted = rules.churn_baskets(house.read("fact_customer_churn"), house.read("dim_plan"))
