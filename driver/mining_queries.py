@@ -171,6 +171,14 @@ def silhouettes(s, d):
     return s.createDataFrame([(clusters.SELECTED_K, float(value))], "k int, silhouette_score double")
 
 
+def fixed_silhouette(s, d):
+    """The same measure for fixed labels, which SQL can say."""
+    rows, _ = clusters.scaled_features(fixed_clusters(s, d), LINE_DIGITS)
+    value = clusters.squared_silhouette(rows.withColumn("cluster_id", F.col("cluster_id").cast("double")), "cluster_id")
+    found = s.createDataFrame([(float(value),)], "silhouette_score double")
+    return found.select(round_half_up("silhouette_score", 4).alias("silhouette_score"))
+
+
 def itemsets(s, d):
     house = warehouse(s, d)
     counted = rules.churn_baskets(house.read("fact_customer_churn"), house.read("dim_plan"))
@@ -242,6 +250,7 @@ QUERIES = {
     "f3_lloyd_pass": lloyd_pass,
     "f4_inertia": fixed_inertia,
     "f5_silhouette": silhouettes,
+    "f5_fixed_silhouette": fixed_silhouette,
     "f6_assigned_clusters": assigned,
     "f7_cluster_profiles": lambda s, d: clusters.cluster_profiles(
         fixed_clusters(s, d), digits=LINE_DIGITS),
@@ -446,6 +455,17 @@ cost AS (SELECT k, sum(away) AS inertia FROM near GROUP BY k)
 SELECT CAST(k AS INTEGER) AS k, cluster_id, count(*) AS row_count, {rnd("any_value(inertia)", 2)} AS inertia,
   {", ".join(f"{rnd(f'avg({x})', 4)} AS {x}" for x in KPIS)}
 FROM near JOIN z USING (id) JOIN cost USING (k) GROUP BY k, cluster_id"""
+# The mean squared distance of a row to a cluster follows from the cluster's sums.
+SQL["f5_fixed_silhouette"] = f"""WITH {LINES}, st AS ({_stats(LINE_DIGITS, 'lines')}),
+z AS MATERIALIZED (SELECT row_number() OVER () AS id, {LABEL_SQL} AS c,
+  {", ".join(f"({x}::DOUBLE - st.{x}_m) / st.{x}_d AS z_{x}" for x in KPIS)} FROM lines, st),
+w AS MATERIALIZED (SELECT *, {" + ".join(f"z_{x} * z_{x}" for x in KPIS)} AS w FROM z),
+m AS MATERIALIZED (SELECT c AS o, count(*) AS n, avg(w) AS q, {", ".join(f"avg(z_{x}) AS m_{x}" for x in KPIS)} FROM w GROUP BY c),
+d AS (SELECT id, c, o, n, w + q - 2 * ({" + ".join(f"z_{x} * m_{x}" for x in KPIS)}) AS away FROM w, m),
+s AS (SELECT id, any_value(n) FILTER (c = o) AS n, min(away) FILTER (c = o) AS own, min(away) FILTER (c <> o) AS b
+  FROM d GROUP BY id),
+v AS (SELECT n, own * n / nullif(n - 1, 0) AS a, b FROM s)
+SELECT {rnd("avg(CASE WHEN n = 1 THEN 0 ELSE (b - a) / greatest(a, b) END)", 4)} AS silhouette_score FROM v"""
 SQL["f7_stored_profiles"] = SQL["f7_cluster_profiles"]
 _AUC = f"""WITH {_PRED}, g AS (SELECT probability, count(*) FILTER (churn_flag = 1) AS pos,
   count(*) FILTER (churn_flag = 0) AS neg FROM pred GROUP BY 1),

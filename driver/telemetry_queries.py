@@ -176,21 +176,42 @@ FROM {source} WHERE {kpi} {test}"""
         for kind, kpi, test, critical, limit, stored, shown, before, after in kinds)
 
 
+# Fixed values, written here once more so that the SQL does not take them from what it checks:
+# factor and shift of latency, throughput, packet loss, call drops, signal, handover, connections.
+EFFECT_ROWS = """
+('NORMAL', 'LOW', 1, 0, 1, 0, 1, 0, 1, 0, 1, 0, 1, 0, 1, 0),
+('NORMAL', 'MEDIUM', 1, 0, 1, 0, 1, 0, 1, 0, 1, 0, 1, 0, 1, 0),
+('NORMAL', 'HIGH', 1, 0, 1, 0, 1, 0, 1, 0, 1, 0, 1, 0, 1, 0),
+('CONGESTION', 'LOW', 1.25, 0, 0.85, 0, 1, 0.5, 1, 0.3, 1, 0, 0.985, 0, 1.3, 0),
+('CONGESTION', 'MEDIUM', 1.65, 0, 0.65, 0, 1, 1.8, 1, 0.95, 1, -1.5, 0.96, 0, 1.75, 0),
+('CONGESTION', 'HIGH', 2.4, 0, 0.4, 0, 1, 4.5, 1, 2.4, 1, -3, 0.91, 0, 2.5, 0),
+('SIGNAL_DEGRADATION', 'LOW', 1.2, 0, 0.88, 0, 1, 1.2, 1, 0.5, 1, -10, 0.97, 0, 1, 0),
+('SIGNAL_DEGRADATION', 'MEDIUM', 1.6, 0, 0.65, 0, 1, 3.5, 1, 1.5, 1, -22, 0.92, 0, 1, -15),
+('SIGNAL_DEGRADATION', 'HIGH', 2.5, 0, 0.35, 0, 1, 8, 1, 3.8, 1, -38, 0.82, 0, 1, -40),
+('CELL_OVERLOAD', 'LOW', 1.8, 0, 0.6, 0, 1, 2.2, 1, 1.1, 1, -2, 0.94, 0, 2, 0),
+('CELL_OVERLOAD', 'MEDIUM', 3.5, 0, 0.3, 0, 1, 6.5, 1, 3.2, 1, -5, 0.88, 0, 3.5, 0),
+('CELL_OVERLOAD', 'HIGH', 8, 0, 0.1, 0, 1, 16, 1, 10.5, 1, -8, 0.75, 0, 6, 0),
+('RECOVERY', 'LOW', 1, 0, 1, 0, 1, 0, 1, 0, 1, 0, 1, 0, 1, 0),
+('RECOVERY', 'MEDIUM', 1, 0, 1, 0, 1, 0, 1, 0, 1, 0, 1, 0, 1, 0),
+('RECOVERY', 'HIGH', 1, 0, 1, 0, 1, 0, 1, 0, 1, 0, 1, 0, 1, 0)"""
+# Least and greatest reading, in the order of KPIS.
+LIMITS = [(1, 1000), (0, 1200), (0, 100), (0, 100), (-120, -35), (0, 100), (0, 5000)]
+
+
 def _effects() -> str:
-    """The scenario table as SQL rows: factor and shift per KPI."""
-    rows = []
-    for name in health.SCENARIO_NAMES:
-        for level in health.SEVERITIES:
-            effect = health.SCENARIOS.get((name, level), {})
-            values = [str(x) + "::DOUBLE" for k in KPIS for x in effect.get(k, (1.0, 0.0))]
-            rows.append(f"('{name}', '{level}', {', '.join(values)})")
-    columns = ", ".join(f"{k}_f, {k}_d" for k in KPIS)
-    return f"effects AS (SELECT * FROM (VALUES {', '.join(rows)}) AS v(scenario, severity, {columns}))"
+    """The scenario table in SQL: factor and shift per KPI."""
+    names = [f"{k}_{part}" for k in KPIS for part in "fd"]
+    doubles = ", ".join(f"{n}::DOUBLE AS {n}" for n in names)
+    return (f"effects AS (SELECT scenario, severity, {doubles} FROM (VALUES {EFFECT_ROWS}) "
+            f"AS v(scenario, severity, {', '.join(names)}))")
+
+
+def _kpi_limit(k: str, x: str) -> str:
+    return _limit(x, *LIMITS[list(KPIS).index(k)])
 
 
 def _target(k: str) -> str:
-    low, high = health.BOUNDS[k]
-    moved = _limit(f"(b.{k}::DOUBLE * {k}_f + {k}_d)", low, high)
+    moved = _kpi_limit(k, f"(b.{k}::DOUBLE * {k}_f + {k}_d)")
     return f"CASE WHEN scenario IN ('NORMAL', 'RECOVERY') THEN b.{k}::DOUBLE ELSE {moved} END AS {k}"
 
 
@@ -265,7 +286,7 @@ SQL = {
                  + _alerts("timed", "cell_id, region, technology, timestamp"),
     "g2_alerts_own_thresholds": f"WITH {EVENTS} " + _alerts("obs", "event_id", 1.0, 40.0, 12.5, 85.0),
     "g3_clamped_kpis": f"WITH {OBS} SELECT cell_id, region, technology, {TS}, " + ", ".join(
-        f"{_limit(f'({k} * {f}::DOUBLE)', *health.BOUNDS[k])} AS {k}" for k, f in
+        f"{_kpi_limit(k, f'({k} * {f}::DOUBLE)')} AS {k}" for k, f in
         {"latency_ms": 10.0, "throughput_mbps": 20.0, "packet_loss_pct": 20.0, "call_drop_rate_pct": 20.0,
          "signal_strength_dbm": 1.5, "handover_success_pct": 1.2, "active_connections": 20.0}.items())
     + " FROM obs",
