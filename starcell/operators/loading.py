@@ -250,7 +250,7 @@ def load_customer(house: Warehouse, raw: DataFrame, reset: bool = True, quaranti
 
 def load_network(house: Warehouse, raw: DataFrame, reset: bool = True, quarantine: bool = False,
                  on_known: str = "fail") -> DataFrame:
-    """Load the network mart; the fact is partitioned by day. Returns the audit record.
+    """Load the network mart; the fact holds its time and is partitioned by day. Returns the audit record.
 
     `quarantine` (into `rejected_network`), `on_known` and repeated appends work as in
     `load_customer`, the natural key being the cell and the timestamp. Of the fact, only days
@@ -263,9 +263,8 @@ def load_network(house: Warehouse, raw: DataFrame, reset: bool = True, quarantin
     if not reset and house.exists("fact_network_kpi"):
         # Partition pruning at run time: the days come from the new rows.
         days = broadcast_if_small(rows.select(F.col("date").alias("fact_date")).distinct())
-        held = house.read("fact_network_kpi").select("cell_key", "time_key", "fact_date").join(days, "fact_date", "left_semi")
-        known = (held.join(house.read("dim_cell"), "cell_key")
-                 .join(house.read("dim_time").select("time_key", "timestamp"), "time_key"))
+        held = house.read("fact_network_kpi").select("cell_key", "timestamp", "fact_date").join(days, "fact_date", "left_semi")
+        known = held.join(house.read("dim_cell"), "cell_key")
         rows = _unknown_only(rows, known.select("cell_id", "timestamp"), ["cell_id", "timestamp"], on_known)
     members = {
         "dim_cell": ("cell_key", ["cell_id"], [F.col("cell_id")]),
@@ -283,7 +282,7 @@ def load_network(house: Warehouse, raw: DataFrame, reset: bool = True, quarantin
         "time_key": (dims["dim_time"], {"timestamp": "timestamp"}),
     }
     fact = _store_fact(house, resolve_keys(rows, keys), list(keys),
-                       [*KPIS, F.lit(1).alias("reading_count"), F.col("date").alias("fact_date")],
+                       [*KPIS, F.lit(1).alias("reading_count"), "timestamp", F.col("date").alias("fact_date")],
                        "network_kpi_key", "fact_network_kpi", reset, "fact_date")
     if quarantine:
         house.write(staged.rejected, "rejected_network", reset)

@@ -145,13 +145,18 @@ def customer_star(fact: DataFrame, customer: DataFrame, plan: DataFrame) -> Star
 
 def network_star(fact: DataFrame, cell: DataFrame, region: DataFrame, technology: DataFrame,
                  time: DataFrame) -> Star:
-    """Bind the network mart; region and technology hang off the fact."""
+    """Bind the network mart; region and technology hang off the fact.
+
+    A fact that holds its `timestamp` answers questions about time itself; `time` is then only
+    a list of the times seen. Without one, times are looked up there.
+    """
     col = F.col
+    home = None if "timestamp" in fact.columns else "time"
     attributes = {
         "cell_id": Attribute(col("cell_id"), "cell"),
         "region": Attribute(col("region_name"), "region", domain=REGIONS),
         "technology": Attribute(col("technology_name"), "technology", domain=TECHNOLOGIES),
-        **time_attributes(col("timestamp"), "time"),
+        **time_attributes(col("timestamp"), home),
     }
     return Star(fact, {
         "cell": Dimension(cell, "cell_key", "cell_key"),

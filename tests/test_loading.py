@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from starcell.operators import loading, quality
+from starcell.operators import clusters, loading, quality, telemetry
 from starcell.operators.cube import CustomerCube, NetworkCube
+from starcell.plans.marts import network_star
 from starcell.plans.ordering import number_in_order, totals_before
 from starcell.sources import files
 from starcell.sources.warehouse import Warehouse
@@ -171,6 +172,34 @@ def test_network_load_and_cube(spark, house):
     assert cube.dice(start_time="2026-08-03 14:01:00", region="North").first().observation_count == 4
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_times_are_not_looked_up(spark, house):
+    """Questions about time read the fact's own column: no join with dim_time, filters at the scan."""
+    loading.load_network(house, network_raw(spark))
+    star = house.network_star()
+    cube = NetworkCube(star)
+    for df in (cube.drilldown("North"), cube.rollup("hour"), cube.slice("hour", 14), telemetry.cell_detail(star),
+               telemetry.cell_telemetry(star, "Cell_0002"), telemetry.first_baselines(star), clusters.kpi_table(star)):
+        assert "dim_time" not in plan_of(df) and "quarter" not in plan_of(df)
+    plan = plan_of(telemetry.cell_telemetry(star, "Cell_0002", "2026-08-03 14:01:00"))
+    assert "GreaterThanOrEqual(timestamp,2026-08-03T14:01" in plan
+    assert "PartitionFilters: [isnotnull(fact_date" in plan
+
+
+def test_fact_without_times_looks_them_up(spark, house):
+    """A fact that holds only keys gives the same answers by way of the time dimension."""
+    loading.load_network(house, network_raw(spark))
+    near = house.network_star()
+    far = network_star(near.fact.drop("timestamp"), *[house.read(t) for t in (
+        "dim_cell", "dim_region", "dim_network_tech", "dim_time")])
+    for ask in (lambda s: NetworkCube(s).drilldown("North"), lambda s: NetworkCube(s).rollup("minute"),
+                telemetry.cell_detail, telemetry.first_baselines):
+        assert lines(ask(far)) == lines(ask(near))
+
+
 def test_day_filter_prunes_files(spark, house):
     loading.load_network(house, network_raw(spark))
     cube = NetworkCube(house.network_star())
