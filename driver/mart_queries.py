@@ -2,24 +2,53 @@
 
 from __future__ import annotations
 
-from driver.raw import STAGED_CUSTOMER_SQL, STAGED_NETWORK_SQL, warehouse
+from driver.raw import (
+    KPI_DIGITS,
+    MONEY_DIGITS,
+    STAGED_CUSTOMER_SQL,
+    STAGED_NETWORK_SQL,
+    raw_customer,
+    raw_network,
+    warehouse,
+)
 from driver.sql import KPIS, avg, kpi_avgs, rnd
-from starcell.operators import telemetry
+from starcell.operators import loading, telemetry
 from starcell.operators.cube import CustomerCube, NetworkCube
+from starcell.session import fresh_path
+from starcell.sources.warehouse import Warehouse
 
-# Decimals of the loaded marts.
-SIX = dict.fromkeys(KPIS, 6)
+SIX = KPI_DIGITS
 
 
 def customers(s, d) -> CustomerCube:
-    return CustomerCube(warehouse(s, d).customer_star(), (6, 6))
+    return CustomerCube(warehouse(s, d).customer_star(), MONEY_DIGITS)
 
 
 def network(s, d) -> NetworkCube:
     return NetworkCube(warehouse(s, d).network_star(), SIX)
 
 
+def kept_up_days(s, d) -> NetworkCube:
+    """Telemetry in three loads, the last of which brings what is known already: answered by what the loads kept up."""
+    house = Warehouse(s, fresh_path(s, "kept"))
+    raw = raw_network(s, d)
+    for test, reset in (("timestamp < '2024-01-11'", True), ("timestamp >= '2024-01-11'", False), ("true", False)):
+        loading.load_network(house, raw.where(test), reset, on_known="skip", rollup_digits=KPI_DIGITS)
+    return NetworkCube(house.network_star(), KPI_DIGITS)
+
+
+def kept_up_profiles(s, d) -> CustomerCube:
+    """Accounts in two loads, answered by the profiles that the loads kept up."""
+    house = Warehouse(s, fresh_path(s, "kept"))
+    raw = raw_customer(s, d)
+    for test, reset in (("gender = ' Male'", True), ("gender <> ' Male'", False)):
+        loading.load_customer(house, raw.where(test), reset, rollup_digits=MONEY_DIGITS)
+    return CustomerCube(house.customer_star(), MONEY_DIGITS)
+
+
 QUERIES = {
+    "b2_kept_rollup_band": lambda s, d: kept_up_profiles(s, d).rollup(),
+    "c2_kept_rollup_day": lambda s, d: kept_up_days(s, d).rollup("day"),
     "b1_mart_summary": lambda s, d: customers(s, d).summary(),
     "b2_mart_rollup_band": lambda s, d: customers(s, d).rollup(),
     "b2b_mart_rollup_contract": lambda s, d: customers(s, d).rollup("contract"),
@@ -79,6 +108,8 @@ _PLACES = {"latency_ms": 2, "throughput_mbps": 2, "packet_loss_pct": 3, "call_dr
            "signal_strength_dbm": 2, "handover_success_pct": 2, "active_connections": 0}
 
 SQL = {
+    "b2_kept_rollup_band": _c(_ROLL, by="tenure_band"),
+    "c2_kept_rollup_day": _n(f"strftime(timestamp, '%Y-%m-%d') AS time_bucket, {_OBS}", group="1"),
     "b1_mart_summary": _c(_block("total_customers", "churned_customers", "non_churned_customers")),
     "b2_mart_rollup_band": _c(_ROLL, by="tenure_band"),
     "b2b_mart_rollup_contract": _c(_ROLL, by="Contract").replace("SELECT Contract,", "SELECT Contract AS contract,"),

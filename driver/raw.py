@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from driver.tables import table
 from starcell.operators import loading
+from starcell.plans.marts import KPIS
 from starcell.session import fresh_path
 from starcell.sources.warehouse import Warehouse
 
@@ -91,12 +92,17 @@ def raw_network(spark: SparkSession, sf_dir: str, stamp: str = "fine") -> DataFr
         text, *[F.expr(e).cast("string").alias(n) for n, e in RAW_NETWORK.items()])
 
 
+# Decimals of the loaded marts.
+MONEY_DIGITS = (6, 6)
+KPI_DIGITS = dict.fromkeys(KPIS, 6)
+
+
 @lru_cache(maxsize=16)
 def warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
-    """Both marts loaded once per session into the shared folder."""
+    """Both marts loaded once per session into the shared folder, with their partial aggregates."""
     house = Warehouse(spark, fresh_path(spark, "warehouse"))
-    loading.load_customer(house, raw_customer(spark, sf_dir))
-    loading.load_network(house, raw_network(spark, sf_dir))
+    loading.load_customer(house, raw_customer(spark, sf_dir), rollup_digits=MONEY_DIGITS)
+    loading.load_network(house, raw_network(spark, sf_dir), rollup_digits=KPI_DIGITS)
     return house
 
 

@@ -17,6 +17,7 @@ from starcell.functions.labels import TENURE_BANDS
 from starcell.plans import measures
 from starcell.plans.marts import EXACT_DIGITS, KPIS, customer_block, kpi_means
 from starcell.plans.measures import Measure
+from starcell.plans.rollups import GRAINS
 from starcell.plans.star import Attribute, Condition, Star
 
 # Thresholds a dice accepts, name -> (KPI, comparison).
@@ -111,24 +112,25 @@ class NetworkCube:
         Grouping by the keys first leaves one row per key combination, on which
         the exact distinct counts are cheap; three of them on the fact itself
         would multiply its rows. `approximate` is the allowed error of sketches
-        instead, for facts with too many key combinations to group by.
+        instead (0.001 to 0.5), for facts with too many key combinations to group by.
         """
         block = [measures.row_count("total_observations"), *self._means()]
-        columns = {**self.counted, **{n: n for n in self.counted_names}}
-        rows = self.star.rows(list(self.counted_names.values()))
-        rows = rows.withColumnsRenamed({v: k for k, v in self.counted_names.items()})
+        names = list(self.counted_names.values())
+        columns = {**self.counted, **self.counted_names}
         if approximate is not None:
-            sketch = [F.approx_count_distinct(c, approximate).alias(n) for n, c in columns.items()]
-            first = [p.first.alias(p.name) for m in block for p in m.parts]
-            merged = rows.agg(*sketch, *first)
+            error = arguments.number(approximate, "approximate", 0.001, 0.5)
+            block += [measures.members(n, c, error) for n, c in columns.items()]
+            star, _, first = self.star.answering(block, names)
+            done = measures.finish(first(star.rows(names), [], block), [], block)
         else:
-            parts = measures.first_pass(rows, list(dict.fromkeys(columns.values())), block)
+            star, _, first = self.star.answering(block, names, keys=list(self.counted.values()))
+            parts = first(star.rows(names), list(dict.fromkeys(columns.values())), block)
             merged = parts.agg(
                 *[F.count_distinct(c).alias(n) for n, c in columns.items()],
                 *[measures.MERGE[p.merge](p.name).alias(p.name) for m in block for p in m.parts])
-        done = measures.finish(merged, list(columns), block)
+            done = measures.finish(merged, list(columns), block)
         return done.select("total_observations", *columns,
-                           *[m.name for m in block if m.name != "total_observations"])
+                           *[m.name for m in block if m.name not in ("total_observations", *columns)])
 
     def rollup(self, level: str = "minute") -> DataFrame:
         """Time bucket (minute, hour, day, week, month) or any attribute by name."""
@@ -139,7 +141,8 @@ class NetworkCube:
             return self.star.aggregate(block, [tidy]).orderBy(tidy)
         ts = self.star.attributes["timestamp"]
         star = self.star.with_attribute(
-            "time_bucket", Attribute(timeparts.bucket(ts.column, tidy), ts.home))
+            "time_bucket", Attribute(timeparts.bucket(ts.column, tidy), ts.home,
+                                     grain=tidy if tidy in GRAINS else "day"))
         rows = star.aggregate(block, ["time_bucket"]).orderBy("time_bucket")
         return rows.withColumn("time_bucket", timeparts.bucket_text("time_bucket", tidy))
 
@@ -157,7 +160,8 @@ class NetworkCube:
         star = self.star
         span = []
         if ts.home is None:
-            span = [measures.lowest("first_seen", ts.column), measures.highest("last_seen", ts.column)]
+            span = [measures.lowest("first_seen", ts.column, of="timestamp"),
+                    measures.highest("last_seen", ts.column, of="timestamp")]
             rows = star.aggregate([*span, *self._means()], by, where)
         else:
             rows = self._cells_with_span(where, by)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,9 +12,13 @@ from pyspark.sql import functions as F
 from starcell.functions.labels import band_label
 from starcell.functions.timeparts import calendar_parts
 from starcell.operators import quality
-from starcell.plans.marts import KPIS, PLAN_COLUMNS
+from starcell.plans import measures
+from starcell.plans.marts import KPIS, PLAN_COLUMNS, customer_block, kpi_means
+from starcell.plans.measures import Measure
 from starcell.plans.ordering import number_in_order
+from starcell.plans.rollups import CUSTOMER_SHAPES, NETWORK_SHAPES, Shape
 from starcell.plans.sizing import broadcast_if_small
+from starcell.plans.star import Star
 from starcell.session import fresh_path, write_and_read
 from starcell.sources.warehouse import Warehouse
 
@@ -119,13 +123,36 @@ def extend_dimension(house: Warehouse, members: DataFrame, natural: Sequence[str
     return house.write(fresh.withColumn(key, F.col(key) + last), name, reset=False)
 
 
+def _next_id(house: Warehouse, surrogate: str, name: str, reset: bool) -> int:
+    if reset or not house.exists(name):
+        return 1
+    last = house.read(name).agg(F.max(surrogate).alias("n")).first()["n"]
+    return 1 if last is None else last + 1
+
+
+def _empty_rollups(house: Warehouse, shapes: Mapping[str, Shape]) -> None:
+    """Before a fact is replaced, so that a load that breaks off leaves no rollup of the old one."""
+    for name in shapes:
+        if house.exists(name):
+            house.write(house.spark.createDataFrame([], house.read(name).schema), name)
+
+
+def _keep_rollups(house: Warehouse, star: Star, shapes: Mapping[str, Shape], block: Sequence[Measure],
+                  surrogate: str, start: int) -> None:
+    """Add the fact rows from `start` on to each rollup; one that lacks earlier rows is made anew."""
+    before = star.fact.where(F.col(surrogate) < start).count() if start > 1 else 0
+    for name, shape in shapes.items():
+        parts = [*block, *[measures.members(c, c) for c in shape.sketched]]
+        held = house.read(name).agg(F.sum(measures.ROW_COUNT).alias("n")).first()["n"] if house.exists(name) else None
+        whole = start == 1 or held != before
+        rows = star.fact if whole else star.fact.where(F.col(surrogate) >= start)
+        house.write(shape.build(replace(star, fact=rows), parts), name, whole)
+
+
 def _store_fact(house: Warehouse, resolved: DataFrame, keys: Sequence[str], columns: Sequence,
                 surrogate: str, name: str, reset: bool, partition_by: str | None) -> DataFrame:
     """Write the fact with unique row ids; a key that was not found fails the write."""
-    start = 1
-    if not reset and house.exists(name):
-        last = house.read(name).agg(F.max(surrogate).alias("n")).first()["n"]
-        start = 1 if last is None else last + 1
+    start = _next_id(house, surrogate, name, reset)
     rows = resolved.select(*require_keys(keys), *columns)
     if partition_by:
         # One day per file where days are small; a day too large for one task is split.
@@ -209,15 +236,21 @@ def _append_options(on_known: str) -> None:
 
 
 def load_customer(house: Warehouse, raw: DataFrame, reset: bool = True, quarantine: bool = False,
-                  on_known: str = "fail") -> DataFrame:
+                  on_known: str = "fail", rollup_digits: Sequence[int | None] | None = None) -> DataFrame:
     """Load the customer mart from text rows; returns the audit record.
 
     Rows that break a rule fail the load; with `quarantine` they are kept in the table
     `rejected_customer` and the others are loaded. On append, accounts that the fact already
     holds fail the load or are skipped (`on_known`). Only the fact is asked, so an append that
     broke off before its fact was written can be repeated: members it left are found again.
+
+    `rollup_digits` (decimals of monthly and total charges, None for sums of doubles) keeps partial
+    aggregates in `plans.rollups.CUSTOMER_SHAPES`; a cube that declares the same ones is answered from them.
     """
     _append_options(on_known)
+    if reset:
+        _empty_rollups(house, CUSTOMER_SHAPES)
+    start = _next_id(house, "customer_churn_key", "fact_customer_churn", reset)
     plan = list(PLAN_COLUMNS)
     blank = F.btrim("TotalCharges", F.lit(WHITESPACE)) == ""
     old = F.btrim("tenure", F.lit(WHITESPACE)) != "0"
@@ -242,6 +275,9 @@ def load_customer(house: Warehouse, raw: DataFrame, reset: bool = True, quaranti
                        ["monthly_charges", "total_charges", "churn_flag",
                         F.lit(1).alias("customer_count")],
                        "customer_churn_key", "fact_customer_churn", reset, None)
+    if rollup_digits is not None:
+        _keep_rollups(house, house.customer_star(rollups=False), CUSTOMER_SHAPES,
+                      customer_block("n", "churned", "retained", tuple(rollup_digits)), "customer_churn_key", start)
     if quarantine:
         house.write(staged.rejected, "rejected_customer", reset)
     return audit(staged, {"dim_customer_rows": customers, "dim_plan_rows": plans, "fact_customer_churn_rows": fact},
@@ -249,14 +285,18 @@ def load_customer(house: Warehouse, raw: DataFrame, reset: bool = True, quaranti
 
 
 def load_network(house: Warehouse, raw: DataFrame, reset: bool = True, quarantine: bool = False,
-                 on_known: str = "fail") -> DataFrame:
+                 on_known: str = "fail", rollup_digits: Mapping[str, int | None] | None = None) -> DataFrame:
     """Load the network mart; the fact holds its time and is partitioned by day. Returns the audit record.
 
     `quarantine` (into `rejected_network`), `on_known` and repeated appends work as in
     `load_customer`, the natural key being the cell and the timestamp. Of the fact, only days
-    that the new rows fall on are asked.
+    that the new rows fall on are asked. `rollup_digits` (decimals of each KPI) keeps the hourly and
+    daily partial aggregates of `plans.rollups.NETWORK_SHAPES`.
     """
     _append_options(on_known)
+    if reset:
+        _empty_rollups(house, NETWORK_SHAPES)
+    start = _next_id(house, "network_kpi_key", "fact_network_kpi", reset)
     staged = _store_staged(stage_network(raw, strict=not quarantine), quality.network_rules(), ["cell_id", "timestamp"],
                            "staged_network", quarantine)
     rows = staged.rows
@@ -284,6 +324,14 @@ def load_network(house: Warehouse, raw: DataFrame, reset: bool = True, quarantin
     fact = _store_fact(house, resolve_keys(rows, keys), list(keys),
                        [*KPIS, F.lit(1).alias("reading_count"), "timestamp", F.col("date").alias("fact_date")],
                        "network_kpi_key", "fact_network_kpi", reset, "fact_date")
+    if rollup_digits is not None:
+        seen = F.col("timestamp")
+        block = [measures.row_count("n"), *kpi_means(rollup_digits),
+                 measures.lowest("first", seen, of="timestamp"), measures.highest("last", seen, of="timestamp")]
+        for kpi in KPIS:
+            value = F.col(kpi).cast("double")
+            block += [measures.lowest(f"min_{kpi}", value, of=kpi), measures.highest(f"max_{kpi}", value, of=kpi)]
+        _keep_rollups(house, house.network_star(rollups=False), NETWORK_SHAPES, block, "network_kpi_key", start)
     if quarantine:
         house.write(staged.rejected, "rejected_network", reset)
     return audit(staged, {"dim_cell_rows": dims["dim_cell"], "dim_region_rows": dims["dim_region"],

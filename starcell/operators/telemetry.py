@@ -67,7 +67,8 @@ def cell_detail(star: Star, cell_id: str | None = None) -> DataFrame:
     ts = star.attributes["timestamp"]
     block = [measures.row_count("available_observation_count")]
     if ts.home is None:
-        block += [measures.lowest("start_time", ts.column), measures.highest("end_time", ts.column)]
+        block += [measures.lowest("start_time", ts.column, of="timestamp"),
+                  measures.highest("end_time", ts.column, of="timestamp")]
         rows = star.aggregate(block, PLACE, where)
     else:
         block += [measures.lowest("start_time", "timestamp"), measures.highest("end_time", "timestamp")]
@@ -95,8 +96,8 @@ def _summary_block(digits: Mapping[str, int | None]) -> list[measures.Measure]:
     for kpi, (places, mean_places) in KPIS.items():
         block += [
             measures.mean(f"avg_{kpi}", kpi, digits[kpi], mean_places, empty=None),
-            measures.lowest(f"min_{kpi}", F.col(kpi).cast("double"), places),
-            measures.highest(f"max_{kpi}", F.col(kpi).cast("double"), places),
+            measures.lowest(f"min_{kpi}", F.col(kpi).cast("double"), places, of=kpi),
+            measures.highest(f"max_{kpi}", F.col(kpi).cast("double"), places, of=kpi),
         ]
     return block
 

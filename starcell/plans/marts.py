@@ -94,13 +94,14 @@ def date_attribute(ts: Column, home: str | None) -> Attribute:
         low, high = (F.lit(str(d)).cast("timestamp_ntz") for d in (start, start + timedelta(days=1)))
         return (ts >= low) & (ts < high)
 
-    return Attribute(F.date_format(ts, "yyyy-MM-dd"), home, equals=on_day)
+    return Attribute(F.date_format(ts, "yyyy-MM-dd"), home, equals=on_day, grain="day")
 
 
 def time_attributes(ts: Column, home: str | None) -> dict[str, Attribute]:
     parts = timeparts.calendar_parts(ts)
-    whole = {name: Attribute(parts[name], home, parse=integer())
-             for name in ("hour", "minute", "day", "month", "year")}
+    whole = {name: Attribute(parts[name], home, parse=integer(), grain=grain)
+             for name, grain in (("hour", "hour"), ("minute", "minute"), ("day", "day"), ("month", "day"),
+                                 ("year", "day"))}
     return {"timestamp": Attribute(ts, home), "date": date_attribute(ts, home), **whole}
 
 
@@ -109,9 +110,9 @@ def customer_block(count: str, churned: str, retained: str | None,
                    flag: str = "churn_flag", monthly: str = "monthly_charges",
                    total: str | None = "total_charges") -> list[Measure]:
     """Counts, churn rate and average charges under the given output names."""
-    block = [measures.row_count(count), measures.count_where(churned, F.col(flag) == 1)]
+    block = [measures.row_count(count), measures.count_where(churned, F.col(flag) == 1, f"{flag}__is_1")]
     if retained:
-        block.append(measures.count_where(retained, F.col(flag) == 0))
+        block.append(measures.count_where(retained, F.col(flag) == 0, f"{flag}__is_0"))
     block.append(measures.mean("churn_rate_pct", flag, 0, factor=100.0))
     block.append(measures.mean("avg_monthly_charges", monthly, digits[0]))
     if total:

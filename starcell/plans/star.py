@@ -8,7 +8,9 @@
   each map task;
 * any other dimension is joined after the fact has been aggregated per foreign key.
   That aggregation is hash-partitioned by the key the join needs and holds one row
-  per key, so a key with a third of the fact meets the join as one row.
+  per key, so a key with a third of the fact meets the join as one row;
+* where stored partial aggregates can answer, the smallest such table stands in for the
+  fact (`plans.rollups`), and the rest of the plan is the same.
 """
 
 from __future__ import annotations
@@ -20,7 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starcell.functions import arguments
-from starcell.plans.measures import Measure, finish, first_pass, second_pass
+from starcell.plans.measures import Measure, finish, first_pass, second_pass, stored_pass
+from starcell.plans.rollups import Rollups, coarse_enough
 from starcell.plans.sizing import BROADCAST_ROWS, fits_broadcast
 
 
@@ -29,7 +32,8 @@ class Attribute:
     """A name callers may group or filter by.
 
     `home` names the dimension that holds it (None: the fact itself). `equals`
-    turns a value into a predicate; the default compares the column.
+    turns a value into a predicate; the default compares the column. `grain` is the
+    unit of time that decides it, for attributes made from the time of the fact.
     """
 
     column: Column
@@ -37,11 +41,15 @@ class Attribute:
     parse: Callable = arguments.text
     domain: tuple | None = None
     equals: Callable[[object], Column] | None = None
+    grain: str | None = None
 
-    def predicate(self, name: str, value) -> Column:
+    def checked(self, name: str, value):
         parsed = self.parse(value)
         if self.domain is not None and parsed not in self.domain:
             raise ValueError(f"invalid {name} {value!r}; expected one of {sorted(self.domain)}")
+        return parsed
+
+    def predicate(self, parsed) -> Column:
         return self.equals(parsed) if self.equals else self.column == parsed
 
 
@@ -64,10 +72,16 @@ class Dimension:
 
 @dataclass(frozen=True)
 class Condition:
-    """A predicate and the table it applies to (None: the fact)."""
+    """A predicate and the table it applies to (None: the fact).
+
+    One that compares an attribute keeps its name and value; one decided by a unit of time keeps that.
+    """
 
     test: Column
     home: str | None = None
+    name: str | None = None
+    value: object = None
+    grain: str | None = None
 
 
 @dataclass(frozen=True)
@@ -77,6 +91,8 @@ class Star:
     attributes: Mapping[str, Attribute]
     # The fact's partition column holding the day of an observation, if it has one.
     day_column: str | None = None
+    # Stored partial aggregates of this fact.
+    rollups: Rollups | None = None
 
     def with_broadcast_rows(self, max_rows: int) -> Star:
         dims = {n: Dimension(d.frame, d.fact_key, d.key, max_rows) for n, d in self.dimensions.items()}
@@ -92,9 +108,11 @@ class Star:
     def conditions(self, name: str, value) -> list[Condition]:
         """The attribute equals the value; a calendar day also prunes the fact's files."""
         attribute = self.attributes[name]
-        found = [Condition(attribute.predicate(name, value), attribute.home)]
+        parsed = attribute.checked(name, value)
+        found = [Condition(attribute.predicate(parsed), attribute.home, name, parsed, attribute.grain)]
         if name == "date" and self.day_column:
-            found.append(Condition(F.col(self.day_column) == F.lit(str(value).strip()).cast("date")))
+            day = F.lit(str(value).strip()).cast("date")
+            found.append(Condition(F.col(self.day_column) == day, grain="day"))
         return found
 
     def time_conditions(self, start: str | None = None, end: str | None = None) -> list[Condition]:
@@ -158,14 +176,55 @@ class Star:
         small, large = self._sides(names, where)
         return self._attach(self._facts(names, where), {**small, **large})
 
+    def _over(self, rollup, by: Sequence[str], where: Sequence[Condition],
+              ) -> tuple[Star, list[Condition]] | None:
+        """This star with the rollup for its fact, and the conditions on it; None where it cannot answer."""
+        def reaches(home: str | None, grain: str | None) -> bool:
+            if home is not None:
+                return self.dimensions[home].fact_key in rollup.keys
+            return coarse_enough(rollup.grain, grain)
+
+        own = {n: Attribute(F.col(n)) for n in rollup.names}
+        if not all(n in own or reaches(self.attributes[n].home, self.attributes[n].grain) for n in by):
+            return None
+        moved = []
+        for condition in where:
+            if condition.name in own:
+                moved.append(Condition(F.col(condition.name) == condition.value))
+            elif reaches(condition.home, condition.grain):
+                moved.append(condition)
+            else:
+                return None
+        return replace(self, fact=rollup.frame, attributes={**self.attributes, **own}, rollups=None), moved
+
+    def answering(self, block: Sequence[Measure], by: Sequence[str] = (), where: Sequence[Condition] = (),
+                  keys: Sequence[str] = ()) -> tuple[Star, Sequence[Condition], Callable]:
+        """The star to ask, its conditions and its first pass: the smallest rollup that holds it all, or the fact.
+
+        `keys` are columns of the fact that are grouped by.
+        """
+        # A star whose fact was replaced keeps no claim on the rollups of the old one.
+        if self.rollups is None or self.rollups.fact is not self.fact:
+            return self, where, first_pass
+        stored = {p.stored for m in block for p in m.parts}
+        fitting = {}
+        for rollup in self.rollups.tables:
+            if stored <= set(rollup.frame.columns) and set(keys) <= set(rollup.keys):
+                found = self._over(rollup, by, where)
+                if found is not None:
+                    fitting[rollup.name] = found
+        name = self.rollups.smallest(fitting)
+        return (self, where, first_pass) if name is None else (*fitting[name], stored_pass)
+
     def aggregate(self, block: Sequence[Measure], by: Sequence[str] = (),
                   where: Sequence[Condition] = ()) -> DataFrame:
         """One row of measures per combination of the attributes in `by`."""
-        small, large = self._sides(by, where)
-        rows = self._attach(self._facts(by, where), small)
+        star, where, first = self.answering(block, by, where)
+        small, large = star._sides(by, where)
+        rows = star._attach(star._facts(by, where), small)
         if not large:
-            return finish(first_pass(rows, by, block), by, block)
-        early = [n for n in by if self.attributes[n].home not in large]
-        keys = dict.fromkeys(self.dimensions[h].fact_key for h in large)
-        parts = self._attach(first_pass(rows, [*keys, *early], block), large)
+            return finish(first(rows, by, block), by, block)
+        early = [n for n in by if star.attributes[n].home not in large]
+        keys = dict.fromkeys(star.dimensions[h].fact_key for h in large)
+        parts = star._attach(first(rows, [*keys, *early], block), large)
         return finish(second_pass(parts, by, block), by, block)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Mapping
+from dataclasses import dataclass, replace
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from starcell.plans.marts import customer_star, network_star
+from starcell.plans.rollups import CUSTOMER_SHAPES, NETWORK_SHAPES, Rollup, Rollups, Shape
 from starcell.plans.star import Star
 
 CUSTOMER_TABLES = ("dim_customer", "dim_plan", "fact_customer_churn")
@@ -42,11 +44,19 @@ class Warehouse:
         # A partitioned table of no rows has no file that tells its columns.
         return self.read(name) if self.exists(name) else self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def customer_star(self) -> Star:
-        return customer_star(self.read("fact_customer_churn"), self.read("dim_customer"),
+    def _with_rollups(self, star: Star, shapes: Mapping[str, Shape]) -> Star:
+        tables = [Rollup(name, self.read(name), shape.keys, shape.names, shape.grain)
+                  for name, shape in shapes.items() if self.exists(name)]
+        return replace(star, rollups=Rollups(star.fact, tables)) if tables else star
+
+    def customer_star(self, rollups: bool = True) -> Star:
+        """The customer mart; `rollups` lets stored partial aggregates answer where they can."""
+        star = customer_star(self.read("fact_customer_churn"), self.read("dim_customer"),
                              self.read("dim_plan"))
+        return self._with_rollups(star, CUSTOMER_SHAPES) if rollups else star
 
-    def network_star(self) -> Star:
-        return network_star(self.read("fact_network_kpi"), self.read("dim_cell"),
+    def network_star(self, rollups: bool = True) -> Star:
+        star = network_star(self.read("fact_network_kpi"), self.read("dim_cell"),
                             self.read("dim_region"), self.read("dim_network_tech"),
                             self.read("dim_time"))
+        return self._with_rollups(star, NETWORK_SHAPES) if rollups else star
