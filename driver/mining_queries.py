@@ -11,16 +11,17 @@ from pyspark.sql import functions as F
 
 from driver.raw import STAGED_CUSTOMER_SQL, raw_customer, warehouse
 from driver.sql import KPIS, LINE_DIGITS, LINES, OBS, avg, rnd
-from driver.tables import customer_star, line_kpis, network_star, table
+from driver.tables import customer_star, line_kpis, network_star, sites, table
 from starcell.functions.numeric import round_half_up
 from starcell.functions.timeparts import stamp_text
-from starcell.operators import churn, clusters, features, kmeans, loading, quality, results, rules
+from starcell.operators import churn, clusters, features, kmeans, loading, quality, results, rules, silhouette
 from starcell.plans import measures
 from starcell.plans.marts import PLAN_COLUMNS
 from starcell.session import fresh_path, write_and_read
 from starcell.sources import files
 
 MONEY = {"tenure": 0, "monthly_charges": 2, "total_charges": 2}
+SITE_KPIS = ("latency_ms", "throughput_mbps", "call_drop_rate_pct")
 RULE_LIMITS = {"min_support": 0.05, "min_confidence": 0.35, "min_lift": 1.2}
 
 
@@ -179,6 +180,21 @@ def fixed_silhouette(s, d):
     return found.select(round_half_up("silhouette_score", 4).alias("silhouette_score"))
 
 
+def euclidean(s, d):
+    """Euclidean silhouette of the chosen clustering, with its error."""
+    rows = chosen_model(s, d).transform(kmeans_inputs(s, d)).withColumn("z", vector_to_array("features"))
+    names = [f"z_{k}" for k in KPIS]
+    rows = rows.select("prediction", *[F.col("z")[i].alias(n) for i, n in enumerate(names)])
+    return silhouette.euclidean_silhouette(rows, names, "prediction")
+
+
+def site_silhouette(s, d):
+    """How well regions part the sites by their mean KPIs: few rows, so exact."""
+    means = line_kpis(s, d).groupBy("l_suppkey").agg(*[F.avg(k).alias(k) for k in SITE_KPIS])
+    rows = means.join(sites(s, d), F.col("l_suppkey") == F.col("s_suppkey"))
+    return silhouette.euclidean_silhouette(rows, SITE_KPIS, "region", sample=10_000)
+
+
 def itemsets(s, d):
     house = warehouse(s, d)
     counted = rules.churn_baskets(house.read("fact_customer_churn"), house.read("dim_plan"))
@@ -251,6 +267,8 @@ QUERIES = {
     "f4_inertia": fixed_inertia,
     "f5_silhouette": silhouettes,
     "f5_fixed_silhouette": fixed_silhouette,
+    "f5_euclidean_silhouette": euclidean,
+    "f5_site_silhouette": site_silhouette,
     "f6_assigned_clusters": assigned,
     "f7_cluster_profiles": lambda s, d: clusters.cluster_profiles(
         fixed_clusters(s, d), digits=LINE_DIGITS),
@@ -466,6 +484,16 @@ s AS (SELECT id, any_value(n) FILTER (c = o) AS n, min(away) FILTER (c = o) AS o
   FROM d GROUP BY id),
 v AS (SELECT n, own * n / nullif(n - 1, 0) AS a, b FROM s)
 SELECT {rnd("avg(CASE WHEN n = 1 THEN 0 ELSE (b - a) / greatest(a, b) END)", 4)} AS silhouette_score FROM v"""
+SQL["f5_site_silhouette"] = f"""WITH site AS MATERIALIZED (SELECT l_suppkey AS id, any_value(n_regionkey) AS c,
+  avg(l_quantity::DOUBLE * 4) AS x, avg(l_extendedprice::DOUBLE / 1000) AS y, avg(l_discount::DOUBLE * 100) AS z
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY l_suppkey),
+sizes AS (SELECT c AS o, count(*) AS n FROM site GROUP BY c),
+away AS (SELECT i.id, i.c, j.c AS o, sum(sqrt((i.x - j.x) * (i.x - j.x) + (i.y - j.y) * (i.y - j.y)
+  + (i.z - j.z) * (i.z - j.z))) AS t FROM site i, site j GROUP BY ALL),
+v AS (SELECT id, max(n) FILTER (c = o) AS n, max(t / nullif(n - 1, 0)) FILTER (c = o) AS a,
+  min(t / n) FILTER (c <> o) AS b FROM away JOIN sizes USING (o) GROUP BY id)
+SELECT {rnd("avg(CASE WHEN n = 1 OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END)", 4)} AS silhouette_score,
+  0.0::DOUBLE AS standard_error, 0.0::DOUBLE AS bound_99, count(*) AS sampled_rows, count(*) AS row_count FROM v"""
 SQL["f7_stored_profiles"] = SQL["f7_cluster_profiles"]
 _AUC = f"""WITH {_PRED}, g AS (SELECT probability, count(*) FILTER (churn_flag = 1) AS pos,
   count(*) FILTER (churn_flag = 0) AS neg FROM pred GROUP BY 1),
