@@ -42,6 +42,16 @@ def predictions(s, d):
     return rows.withColumn("prediction", F.when(F.col("probability") >= 0.5, 1).otherwise(0))
 
 
+def given_evaluation(s, d):
+    """The evaluation of two scores that need no model: cheap accounts churn, or new ones."""
+    rows = split(s, d).where("split = 'test'")
+    scores = {"logistic_regression": F.floor(F.lit(100) - F.least(F.col("monthly_charges") / 5000, F.lit(100.0))) / 100,
+              "decision_tree": F.lit(1.0) - F.col("tenure") / F.lit(100.0)}
+    return churn.evaluate({
+        name: rows.select("churn_flag", p.alias("probability"), F.when(p >= 0.5, 1).otherwise(0).alias("prediction"))
+        for name, p in scores.items()})
+
+
 def scaled(s, d):
     """Numerics of both splits, scaled with the training rows' statistics."""
     rows = write_and_read(split(s, d), "split")
@@ -161,6 +171,17 @@ def lloyd_pass(s, d):
                        *[round_half_up(k, 4).alias(k) for k in KPIS])
 
 
+def fixed_assignment(s, d):
+    """Rows of each technology per cluster, by four centres in a line."""
+    rows = kmeans_inputs(s, d)
+    names = [f"z_{k}" for k in KPIS]
+    wide = rows.withColumn("z", vector_to_array("features"))
+    wide = wide.select("*", *[F.col("z")[i].alias(n) for i, n in enumerate(names)])
+    centres = np.outer(np.linspace(-PASS_EDGE, PASS_EDGE, 4), np.ones(len(names)))
+    labelled = wide.withColumn("cluster_id", kmeans.nearest(names, kmeans.Model(centres)))
+    return labelled.groupBy("technology", "cluster_id").agg(F.count(F.lit(1)).alias("row_count"))
+
+
 def assigned(s, d):
     return clusters.assign(chosen_model(s, d), kmeans_inputs(s, d))
 
@@ -230,6 +251,15 @@ def stored_profiles(s, d):
     return kept.read("cluster_profiles")
 
 
+def fixed_overview(s, d):
+    """The overview of given scores, one K-Means pass and the rules, stored first."""
+    kept = results.Results(s, fresh_path(s, "results"))
+    kept.write("churn_metrics", given_evaluation(s, d))
+    kept.write("clustering_metrics", lloyd_pass(s, d).select("k", "inertia").distinct())
+    kept.write("association_rules", stored_rules(s, d))
+    return results.overview(kept)
+
+
 def stored_overview(s, d):
     """The overview read from stored metrics, sweep and rules."""
     kept = results.Results(s, fresh_path(s, "results"))
@@ -253,6 +283,7 @@ QUERIES = {
     "e8_logistic_scores": logistic_scores,
     "e9_tree_scores": tree_scores,
     "e10_evaluation": lambda s, d: trained(s, d).evaluation(),
+    "e10_given_evaluation": given_evaluation,
     "e11_confusion": lambda s, d: churn.confusion(predictions(s, d)),
     "e12_metrics": lambda s, d: churn.classification_metrics(churn.confusion(predictions(s, d))),
     "e13_roc_auc": lambda s, d: churn.roc_auc(predictions(s, d)),
@@ -268,6 +299,7 @@ QUERIES = {
     "f5_silhouette": silhouettes,
     "f5_fixed_silhouette": fixed_silhouette,
     "f5_euclidean_silhouette": euclidean,
+    "f6_fixed_assignment": fixed_assignment,
     "f5_site_silhouette": site_silhouette,
     "f6_assigned_clusters": assigned,
     "f7_cluster_profiles": lambda s, d: clusters.cluster_profiles(
@@ -287,6 +319,7 @@ QUERIES = {
     "f14_mining_overview": lambda s, d: clusters.mining_overview(
         s, trained(s, d).evaluation(), sweep(s, d), stored_rules(s, d)),
     "f14_stored_overview": stored_overview,
+    "f14_fixed_overview": fixed_overview,
     "f15_rule_search": lambda s, d: rules.search_rules(stored_rules(s, d), "FIBER"),
     "f16_rule_strength": lambda s, d: rules.with_strength(stored_rules(s, d)),
 }
@@ -317,6 +350,27 @@ _CONFUSION = """count(*) FILTER (churn_flag = 0 AND prediction = 0) AS true_nega
   count(*) FILTER (churn_flag = 1 AND prediction = 1) AS true_positive"""
 
 
+_METRICS = ", ".join(f"{rnd(f'coalesce(({a})::DOUBLE / nullif({b}, 0), 0.0::DOUBLE)', 4)} AS {n}" for n, a, b in (
+    ("accuracy", "true_positive + true_negative", "true_positive + true_negative + false_positive + false_negative"),
+    ("precision", "true_positive", "true_positive + false_positive"),
+    ("recall", "true_positive", "true_positive + false_negative"),
+    ("f1_score", "2 * true_positive", "2 * true_positive + false_positive + false_negative")))
+
+_GIVEN = f"""{_SPLIT},
+scores AS (SELECT 'logistic_regression' AS model, churn_flag,
+    floor(100 - least(monthly_charges / 5000, 100.0::DOUBLE)) / 100 AS probability FROM split WHERE split = 'test'
+  UNION ALL SELECT 'decision_tree', churn_flag, 1.0::DOUBLE - tenure / 100.0::DOUBLE FROM split WHERE split = 'test'),
+judged AS MATERIALIZED (SELECT *, CASE WHEN probability >= 0.5 THEN 1 ELSE 0 END AS prediction FROM scores),
+matrix AS (SELECT model, {_CONFUSION} FROM judged GROUP BY model),
+ties AS (SELECT model, probability, count(*) FILTER (churn_flag = 1) AS pos, count(*) FILTER (churn_flag = 0) AS neg
+  FROM judged GROUP BY ALL),
+ranks AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY model ORDER BY probability
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM ties),
+areas AS (SELECT model, {rnd("(sum(pos * (below * 2 + neg))::DOUBLE / (sum(pos)::DOUBLE * sum(neg) * 2.0::DOUBLE))", 4)}
+  AS roc_auc FROM ranks GROUP BY model),
+evaluated AS (SELECT matrix.*, {_METRICS}, roc_auc FROM matrix JOIN areas USING (model))"""
+
+
 def _unit(x: str, digits: int) -> str:
     return f"CAST(round(({x}) * {10**digits}.0::DOUBLE) AS HUGEINT)"
 
@@ -411,14 +465,7 @@ SQL = {
                         + rnd("(sum(count(*)) OVER () / (count(*) OVER () * count(*))::DOUBLE)", 6)
                         + " AS weight FROM model GROUP BY churn_flag",
     "e11_confusion": f"WITH {_PRED} SELECT {_CONFUSION} FROM pred",
-    "e12_metrics": f"WITH {_PRED}, m AS (SELECT {_CONFUSION} FROM pred) SELECT *, "
-                   + ", ".join(f"{rnd(f'coalesce(({a})::DOUBLE / nullif({b}, 0), 0.0::DOUBLE)', 4)} AS {n}" for n, a, b in (
-                       ("accuracy", "true_positive + true_negative",
-                        "true_positive + true_negative + false_positive + false_negative"),
-                       ("precision", "true_positive", "true_positive + false_positive"),
-                       ("recall", "true_positive", "true_positive + false_negative"),
-                       ("f1_score", "2 * true_positive", "2 * true_positive + false_positive + false_negative")))
-                   + " FROM m",
+    "e12_metrics": f"WITH {_PRED}, m AS (SELECT {_CONFUSION} FROM pred) SELECT *, {_METRICS} FROM m",
     "e14_feature_ranks": f"""WITH f AS (SELECT o_orderpriority AS feature,
   {rnd("(count(*) FILTER (o_orderstatus = 'F') / count(*))", 2)} AS dt_importance,
   {rnd("((count(*) FILTER (o_orderstatus = 'P') - count(*) FILTER (o_orderstatus = 'O')) / 100.0::DOUBLE)", 2)}
@@ -494,6 +541,20 @@ v AS (SELECT id, max(n) FILTER (c = o) AS n, max(t / nullif(n - 1, 0)) FILTER (c
   min(t / n) FILTER (c <> o) AS b FROM away JOIN sizes USING (o) GROUP BY id)
 SELECT {rnd("avg(CASE WHEN n = 1 OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END)", 4)} AS silhouette_score,
   0.0::DOUBLE AS standard_error, 0.0::DOUBLE AS bound_99, count(*) AS sampled_rows, count(*) AS row_count FROM v"""
+SQL["e10_given_evaluation"] = f"WITH {_GIVEN} SELECT * FROM evaluated"
+SQL["f14_fixed_overview"] = f"""WITH e AS (WITH {_GIVEN} SELECT * FROM evaluated),
+r AS (WITH {_CHURN_RULES} SELECT count(*) AS n FROM rules)
+SELECT string_agg(model, ', ' ORDER BY model) AS models_trained,
+  max(roc_auc) FILTER (model = 'logistic_regression') AS logistic_regression_roc_auc,
+  max(roc_auc) FILTER (model = 'decision_tree') AS decision_tree_roc_auc, '2, 3, 4, 5' AS k_values_evaluated,
+  3 AS selected_k, (SELECT n FROM r) AS total_rules_mined FROM e"""
+SQL["f6_fixed_assignment"] = f"""WITH {LINES}, st AS ({_stats(LINE_DIGITS, 'lines')}),
+z AS MATERIALIZED (SELECT row_number() OVER () AS id, technology,
+  {", ".join(f"({x}::DOUBLE - st.{x}_m) / st.{x}_d AS z_{x}" for x in KPIS)} FROM lines, st),
+spots AS (SELECT CAST(j AS INTEGER) AS j, {-PASS_EDGE}::DOUBLE + {2 * PASS_EDGE}::DOUBLE * j / 3 AS p FROM range(4) t(j)),
+away AS (SELECT id, technology, j, {" + ".join(f"(z_{x} - p) * (z_{x} - p)" for x in KPIS)} AS away FROM z, spots),
+near AS (SELECT id, technology, arg_min(j, away) AS cluster_id FROM away GROUP BY id, technology)
+SELECT technology, cluster_id, count(*) AS row_count FROM near GROUP BY ALL"""
 SQL["f7_stored_profiles"] = SQL["f7_cluster_profiles"]
 _AUC = f"""WITH {_PRED}, g AS (SELECT probability, count(*) FILTER (churn_flag = 1) AS pos,
   count(*) FILTER (churn_flag = 0) AS neg FROM pred GROUP BY 1),

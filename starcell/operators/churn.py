@@ -249,6 +249,22 @@ def rank_features(df: DataFrame) -> DataFrame:
     }).orderBy(F.desc("dt_importance"), F.desc("lr_abs_coef"), "feature")
 
 
+def evaluate(scored: Mapping[str, DataFrame]) -> DataFrame:
+    """Confusion counts, metrics and ROC-AUC per model, from rows with the class, a prediction and a probability.
+
+    A model without rows, or of one class only, has no ROC-AUC (NULL).
+    """
+    if not scored:
+        raise ValueError("no scored models given")
+    lines = None
+    for name, rows in scored.items():
+        rows = write_and_read(rows, "scored")
+        line = classification_metrics(confusion(rows)).select(F.lit(name).alias("model"), "*")
+        line = line.withColumn("roc_auc", F.lit(roc_auc(rows).first()["roc_auc"]).cast("double"))
+        lines = line if lines is None else lines.unionByName(line)
+    return lines
+
+
 @dataclass(frozen=True)
 class ChurnModels:
     """What one training run leaves behind."""
@@ -267,13 +283,7 @@ class ChurnModels:
 
     def evaluation(self) -> DataFrame:
         """One row of metrics per model on the test split."""
-        lines = None
-        for name, rows in self.scored().items():
-            rows = write_and_read(rows, "scored")
-            line = classification_metrics(confusion(rows)).select(F.lit(name).alias("model"), "*")
-            line = line.withColumn("roc_auc", F.lit(roc_auc(rows).first()["roc_auc"]))
-            lines = line if lines is None else lines.unionByName(line)
-        return lines
+        return evaluate(self.scored())
 
     def features(self, spark: SparkSession) -> DataFrame:
         return named_features(self.preprocessor.names(), self.tree.featureImportances.toArray(),
