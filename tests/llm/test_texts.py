@@ -178,6 +178,58 @@ def test_packing(spark):
     assert packing.pack(frame(spark, []), BPE).count() == 0
 
 
+def test_tails_of_tasks_are_joined(spark):
+    """As many sequences from one task as from sixteen, hardly more than the ids need; extra columns clash."""
+    r = random.Random(4)
+    rows = [(i, " ".join(r.choice(("data", "of", "the", "model")) for _ in range(r.randint(1, 150)))) for i in range(300)]
+    docs = frame(spark, rows).withColumns({"sequence_id": F.lit("x"), "offset": F.lit(None), "piece": F.lit(-1)})
+    made = []
+    for parts in (1, 16):
+        got = packing.pack(docs.repartition(parts, "doc_id"), BPE, 256).collect()
+        assert sorted((p.doc_id, p.piece) for p in got) == [(i, 0) for i in range(300)]
+        held = {}
+        for p in got:
+            held.setdefault(p.sequence_id, []).append((p.offset, p.length))
+        for places in held.values():
+            assert [o for o, _ in sorted(places)] == [0, *np.cumsum([n for _, n in sorted(places)])[:-1]]
+        need = -(-sum(p.length for p in got) // 256)
+        assert len(held) <= 1.03 * need + 1
+        made.append(len(held))
+    assert abs(made[0] - made[1]) <= 1
+
+
+def best_fit(sizes, capacity, most):
+    """Bounded-space best-fit by looking at all open bins."""
+    spaces, made, places = {}, 0, []
+    for n in sizes:
+        fits = [(free, b) for b, free in spaces.items() if free >= n]
+        if fits:
+            b = min(fits)[1]
+        else:
+            if len(spaces) == most:
+                del spaces[min(spaces, key=spaces.get)]
+            b, made = made, made + 1
+            spaces[b] = capacity
+        places.append(spaces[b])
+        spaces[b] -= n
+        if not spaces[b]:
+            del spaces[b]
+    return places, made, sorted(spaces.values())
+
+
+def test_bins_against_all_open_bins():
+    """The same free space is taken at every step; which of two equally full bins it is does not matter."""
+    r = random.Random(2)
+    for most in (1, 3, 20):
+        sizes = [r.randint(1, 100) for _ in range(2000)]
+        bins, taken = packing.Bins(100, most), []
+        for n in sizes:
+            taken.append(100 - bins.place(n)[1])
+        left = sorted(free for free, numbers in bins.by_free.items() for _ in numbers)
+        assert (taken, bins.made, left) == best_fit(sizes, 100, most)
+        assert len(bins.left_open()) == len(left) == bins.open
+
+
 def test_bins_take_the_tightest_and_close_the_fullest():
     bins = packing.Bins(10, 2)
     assert [bins.place(n) for n in (6, 7, 3, 5, 4)] == [(0, 0), (1, 0), (1, 7), (2, 0), (0, 6)]
