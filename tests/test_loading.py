@@ -308,3 +308,25 @@ def test_reconciliation_shows_a_difference(spark):
     assert (row.source_value, row.warehouse_value, row.difference) == (3.0, 3.5, 0.5)
     counts = loading.reconcile_counts({"a": left, "b": right.where("x > 1")}).first()
     assert (counts.a_rows, counts.b_rows, counts.all_equal) == (2, 1, False)
+
+
+def test_small_dimensions_are_resolved_first(spark, monkeypatch):
+    """A large dimension's join does not carry the natural keys of the small ones."""
+    staged = spark.createDataFrame([("a", "x", 1), ("b", "y", 2), ("c", None, 3)], "who string, kind string, n int")
+    people = spark.createDataFrame([(7, "a"), (8, "c")], "who_key bigint, name string")
+    kinds = spark.createDataFrame([(1, "x"), (2, "y")], "kind_key bigint, kind_name string")
+    monkeypatch.setattr(loading, "fits_broadcast", lambda side: "kind_key" in side.columns)
+    got = loading.resolve_keys(staged, {"who_key": (people, {"who": "name"}), "kind_key": (kinds, {"kind": "kind_name"})})
+    assert got.columns == ["who", "kind", "n", "who_key", "kind_key"]
+    assert sorted(map(tuple, got.collect())) == [("a", "x", 1, 7, 1), ("b", "y", 2, None, 2), ("c", None, 3, 8, None)]
+
+
+def test_resolving_joins_the_small_dimension_below_the_large(spark, monkeypatch, capsys):
+    staged = spark.createDataFrame([("a", "x")], "who string, kind string")
+    people = spark.createDataFrame([(7, "a")], "who_key bigint, name string")
+    kinds = spark.createDataFrame([(1, "x")], "kind_key bigint, kind_name string")
+    monkeypatch.setattr(loading, "fits_broadcast", lambda side: "kind_key" in side.columns)
+    loading.resolve_keys(staged, {"who_key": (people, {"who": "name"}), "kind_key": (kinds, {"kind": "kind_name"})}).explain(True)
+    plan = capsys.readouterr().out.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    joins = [line for line in plan.splitlines() if "Join LeftOuter" in line]
+    assert len(joins) == 2 and "__who" in joins[0] and "__kind" in joins[1]
