@@ -2,7 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from driver import mining_queries
+from starcell.operators import silhouette
 from starcell.operators.silhouette import euclidean_silhouette
 
 
@@ -57,6 +60,37 @@ def test_sampled_rows_keep_the_bound(spark):
     assert off <= row.bound_99 and off <= 4 * row.standard_error + 1e-4
 
 
+def test_all_rows_are_compared(spark, monkeypatch):
+    """Without a sample, over several blocks on both sides, with equal rows and clusters of one row and without a name."""
+    monkeypatch.setattr(silhouette, "LEFT_BLOCK", 300)
+    monkeypatch.setattr(silhouette, "RIGHT_BLOCK", 170)
+    monkeypatch.setattr(silhouette, "MOST_SUMS", 2_000)
+    x, labels = blobs((1800, 600, 1))
+    x = np.vstack([x, x[:3], x[:3]])
+    labels += [None] * 3 + ["c0"] * 3
+    row = euclidean_silhouette(frame(spark, x, labels), ["a", "b"], "label", sample=None).first()
+    assert row.silhouette_score == pytest.approx(brute(x, labels), abs=5.1e-5)
+    assert (row.standard_error, row.bound_99, row.sampled_rows, row.row_count) == (0.0, 0.0, len(x), len(x))
+
+
+def test_sites_are_not_sampled(spark, tmp_path):
+    """More sites than any sample the query ever took."""
+    sites = 11_000
+    spark.range(2).select(F.col("id").cast("int").alias("r_regionkey"),
+                          F.concat(F.lit("R"), "id").alias("r_name")).write.parquet(f"{tmp_path}/region.parquet")
+    spark.range(2).select(F.col("id").cast("int").alias("n_nationkey"),
+                          F.col("id").cast("int").alias("n_regionkey")).write.parquet(f"{tmp_path}/nation.parquet")
+    spark.range(sites).select(F.col("id").alias("s_suppkey"), F.concat(F.lit("S"), "id").alias("s_name"),
+                              (F.col("id") % 2).cast("int").alias("s_nationkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.range(sites).select(
+        F.col("id").alias("l_suppkey"), F.lit("F").alias("l_linestatus"),
+        F.lit("2024-01-01").cast("timestamp_ntz").alias("l_shipdate"), (F.col("id") % 2 * 9.0).alias("l_quantity"),
+        (F.col("id") % 1000 * 10.0).alias("l_extendedprice"), F.lit(0.05).alias("l_discount"),
+        F.lit(0.01).alias("l_tax")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    row = mining_queries.site_silhouette(spark, str(tmp_path)).first()
+    assert (row.standard_error, row.bound_99, row.sampled_rows, row.row_count) == (0.0, 0.0, sites, sites)
+
+
 def test_wrong_tables(spark):
     x, labels = blobs((5, 5))
     with pytest.raises(ValueError, match="two clusters"):
