@@ -70,13 +70,15 @@ LATE_DAYS, DELAY = 2, "3 days"
 
 def stream_keyed_onsets(s, d):
     """From keyed state, over files of about a week each; the last three days wait for the watermark."""
-    folder, out = fresh_path(s, "stream-input"), fresh_path(s, "stream-onsets")
+    folder, staged, out = (fresh_path(s, name) for name in ("stream-input", "stream-weeks", "stream-onsets"))
     rows = event_kpis(s, d)
     arrived = F.unix_date(F.col("timestamp").cast("date")) + F.pmod(F.col("event_id"), F.lit(LATE_DAYS + 1))
     rows = rows.withColumn("week", F.floor(arrived / 7))
+    rows.write.partitionBy("week").parquet(staged)
+    schema = rows.drop("week").schema
     for week in sorted(r["week"] for r in rows.select("week").distinct().collect()):
-        rows.where(F.col("week") == week).drop("week").coalesce(1).write.mode("append").parquet(folder)
-    stream = telemetry.read_stream(s, folder, rows.drop("week").schema, files_per_batch=1)
+        s.read.schema(schema).parquet(f"{staged}/week={week}").coalesce(1).write.mode("append").parquet(folder)
+    stream = telemetry.read_stream(s, folder, schema, files_per_batch=1)
     onsets.keyed_onset_stream(stream, out, fresh_path(s, "stream-progress"), DELAY, tie=["event_id"])
     rows = telemetry.read_batches(s, out)
     return rows.withColumn("timestamp", stamp_text(F.col("timestamp"))).drop("message")

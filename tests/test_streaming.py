@@ -1,10 +1,13 @@
 """A stream of several files gives what the batch operators give."""
 
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from driver.tables import EVENT_DIGITS, event_cube, event_kpis
 from starcell.operators import health
@@ -133,6 +136,64 @@ def test_keyed_onsets_leave_out_what_is_too_late(spark, tmp_path):
     assert sorted((r.cell_id, r.timestamp.minute + 60 * r.timestamp.hour) for r in got.collect()) == [("a", 0), ("a", 41), ("b", 79)]
 
 
+def test_keyed_onsets_of_many_cells(spark, tmp_path):
+    """Many cells share a few buckets; each follows its own last observation from batch to batch."""
+    rng = np.random.default_rng(7)
+    batches = [[(f"c{i}" if i else None, 60 * hour + int(rng.integers(0, 60)), hour, float(rng.choice([10, 90, 200])))
+                for i in range(600)] for hour in range(3)]
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = written(spark, folder, [*batches, [("end", 300, 9, 10.0)]])
+    onsets.keyed_onset_stream(telemetry.read_stream(spark, folder, schema, files_per_batch=1), out,
+                              str(tmp_path / "progress"), "60 minutes", tie=["n"], buckets=5)
+    want = health.alert_onsets(spark.read.parquet(folder), tie=["n"]).where("n < 9")
+    got = telemetry.read_batches(spark, out)
+    assert got.count() > 500 and lines(got) == lines(want)
+
+
+def test_state_calls_do_not_grow_with_the_cells():
+    """One bucket with many cells is read and written a few times, not once per cell."""
+    calls = []
+
+    class State:
+        def __init__(self, single):
+            self.single, self.held = single, None if single else []
+
+        def get(self):
+            calls.append("get")
+            return self.held if self.single else iter(self.held)
+
+        def update(self, value):
+            calls.append("update")
+            self.held = value
+
+        def put(self, values):
+            calls.append("put")
+            self.held = list(values)
+
+        def appendValue(self, value):
+            calls.append("append")
+            self.held.append(value)
+
+        def clear(self):
+            calls.append("clear")
+            self.held = None if self.single else []
+
+    handle = SimpleNamespace(getListState=lambda *a: State(False), getValueState=lambda *a: State(True),
+                             registerTimer=lambda ms: calls.append("timer"), deleteTimer=lambda ms: calls.append("timer"))
+    fields = "cell string, at bigint, tie0_has int, tie0 bigint, latency_ms double, active int"
+    processor = onsets.OnsetProcessor(StructType.fromDDL(fields), ["at", "tie0_has", "tie0"])
+    processor.init(handle)
+    found = []
+    for step, active in enumerate((1, 3, 0)):
+        rows = pd.DataFrame({"cell": [f"c{i}" for i in range(2000)], "at": (step + 1) * 1_000_000, "tie0_has": 1,
+                             "tie0": 1, "latency_ms": 90.0, "active": active}).astype({"tie0_has": "int32", "active": "int32"})
+        list(processor.handleInputRows((1,), iter([rows]), None))
+        clock = SimpleNamespace(getCurrentWatermarkInMs=lambda at=step: (at + 1) * 1000 + 500)
+        found += [len(part) for part in processor.handleExpiredTimer((1,), clock, None)]
+    assert found == [2000, 2000] and len(calls) < 40
+    assert processor.last.held is None and not processor.rows.held
+
+
 def test_keyed_onsets_refuse_other_ties(spark, folder):
     with pytest.raises(ValueError, match="ties"):
         onsets.keyed_onsets(stream(spark, folder), tie=["latency_ms"])
