@@ -1,8 +1,12 @@
 """Quality reports and loads, with bad rows put in on purpose."""
 
+import os
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
+from driver.raw import raw_network
 from starcell.operators import clusters, loading, quality, telemetry
 from starcell.operators.cube import CustomerCube, NetworkCube
 from starcell.plans.marts import network_star
@@ -330,3 +334,28 @@ def test_resolving_joins_the_small_dimension_below_the_large(spark, monkeypatch,
     plan = capsys.readouterr().out.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
     joins = [line for line in plan.splitlines() if "Join LeftOuter" in line]
     assert len(joins) == 2 and "__who" in joins[0] and "__kind" in joins[1]
+
+
+def test_users_beyond_a_million_stay_cells_of_their_own(spark, tmp_path):
+    """Ids that agree in their first six digits, with readings of the same time."""
+    users = [7, 105_000, 1_050_000, 1_050_001, 105_000_000_001]
+    events = spark.createDataFrame(
+        [(i, datetime(2024, 1, 5, 10, 0), user, "view", 30.0, "{}") for i, user in enumerate(users)],
+        "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    house = Warehouse(spark, str(tmp_path / "house"))
+    record = loading.load_network(house, raw_network(spark, str(tmp_path))).first()
+    assert record["fact_network_kpi_rows"] == record["dim_cell_rows"] == len(users)
+    assert {r["cell_id"] for r in house.read("dim_cell").collect()} == {
+        "Cell_000007", "Cell_105000", "Cell_1050000", "Cell_1050001", "Cell_105000000001"}
+
+
+def test_staged_rows_are_not_sorted_by_acceptance(spark, tmp_path, monkeypatch):
+    """Staging keeps accepted and rejected rows in one table, and counts and splits them as before."""
+    written = []
+    monkeypatch.setattr(loading, "fresh_path", lambda s, name: written.append(str(tmp_path / name)) or written[-1])
+    rows = spark.createDataFrame([(1, "a"), (2, "a"), (-1, "b")], "v int, k string")
+    found = loading._store_staged(rows, [quality.at_least("v", 0)], ["v"], "staged", True)
+    assert sorted(r["v"] for r in found.rows.collect()) == [1, 2] and found.counts["source_rows"] == 3
+    assert [(r["v"], r["broken_rules"], r["copies"]) for r in found.rejected.collect()] == [(-1, ["v >= 0"], 1)]
+    assert not any("accepted=" in name for name in os.listdir(written[0]))
